@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing
+from . import bpe, line_dedup, near_dedup, packing, quality, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -34,8 +34,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return url_trust.judged(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op9_quality, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
