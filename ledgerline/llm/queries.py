@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, quality, url_trust
+from . import bpe, chat, line_dedup, near_dedup, packing, quality, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -34,6 +34,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = chat.format_chats(turns.unionByName(added))
+    back = chat.read_back(chats.select("conv_id", "formatted", "pieces", F.length("formatted").cast("long").alias("formatted_chars")), "conv_id", "formatted_chars")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -45,7 +54,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op9_quality, op10_url_trust)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op6_chat, op9_quality, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
