@@ -83,12 +83,14 @@ def votes() -> dict[str, Column]:
 def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
     """The share of good documents, and log P(vote | good) - log P(vote | bad) by rule and vote (-1, 0, 1).
 
+    Votes are compared among documents on which the rule doesn't abstain; an abstention says nothing (0).
+
     Expectation-maximisation for votes that are independent given the class. It starts from documents without a
     bad vote as good, each bad vote lowering the odds twentyfold, and keeps a weak prior that a rule is right more
     often than wrong, which names the classes.
     """
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    prior_good, prior_bad = np.array([1.0, 2.0, 4.0]), np.array([4.0, 2.0, 1.0])
+    onehot = np.stack([patterns == v for v in (-1, 1)], axis=2).astype(float)
+    prior_good, prior_bad = np.array([1.0, 4.0]), np.array([4.0, 1.0])
     good = 1 / (1 + np.exp(3.0 * (patterns < 0).sum(axis=1) - 3.0))
     total = weight.sum()
     for _ in range(rounds):
@@ -100,7 +102,7 @@ def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tup
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
-    return float(share), ratio
+    return float(share), np.insert(ratio, 1, 0.0, axis=1)
 
 
 def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
