@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, line_dedup, near_dedup, packing, quality, url_trust
+from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -43,6 +43,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(documents(spark, sf_dir, "doc_id", "text", "lang"), profile_col="lang")
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), flac.described(flac.stored(F.col("text"))).alias("d"))
     return docs.select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", F.crc32("d.tail").alias("tail_crc32"), "d.media_bytes", "d.media_sha256", "d.feature")
@@ -59,7 +63,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op6_chat, op8_flac, op9_quality, op10_url_trust)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
