@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, url_trust
+from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -25,6 +25,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), words=3, similarity=0.85)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), TOKENIZER)
 
@@ -63,7 +67,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
