@@ -21,7 +21,8 @@ def _national(raw: Column) -> Column:
     return F.regexp_replace(plain, "^55(?=[0-9]{10,11}$)", "")
 
 
-def _checked(d: Column) -> Column:
+def checked(d: Column) -> Column:
+    """struct<value, kind, reason> of prepared digits."""
     # patterns over one column keep the expression small, however it is nested
     reason = (
         F.when(~d.rlike("^[0-9]{10,11}$"), "foreign_or_bad_length")
@@ -36,7 +37,7 @@ def _checked(d: Column) -> Column:
 
 def national_phone(raw: Column) -> Column:
     """struct<value, kind, reason>: a national number of a landline or mobile, or why it is none."""
-    return F.when(raw.isNotNull(), _checked(_national(raw)))
+    return F.when(raw.isNotNull(), checked(_national(raw)))
 
 
 def _with_ninth(d: Column) -> Column:
@@ -46,13 +47,12 @@ def _with_ninth(d: Column) -> Column:
 
 def message_phone(raw: Column) -> Column:
     """As national_phone, of the number with its ninth digit."""
-    return F.when(raw.isNotNull(), _checked(_with_ninth(_national(raw))))
+    return F.when(raw.isNotNull(), checked(_with_ninth(_national(raw))))
 
 
-def phone_of_kind(raw: Column, message: Column) -> Column:
-    """message_phone where `message` holds, else national_phone, checked once."""
-    d = _national(raw)
-    return F.when(raw.isNotNull(), _checked(F.when(message, _with_ninth(d)).otherwise(d)))
+def prepared(raw: Column, message: bool) -> Column:
+    """The digits that checked() looks at."""
+    return _with_ninth(_national(raw)) if message else _national(raw)
 
 
 def registry_phone_kind(area: Column, number: Column) -> Column:

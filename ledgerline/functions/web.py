@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .phones import phone_of_kind
+from .phones import checked, prepared
 from .text import digits, unescaped, visible_text, without_blobs, without_scripts, without_tags, words_only
 
 # What the published rules of the registry's contact data name.
@@ -141,16 +141,17 @@ def contact_items(pages: DataFrame) -> DataFrame:
         first = F.slice(F.filter(handles, lambda h: ~F.lower(F.substring_index(h, "/", 1)).isin(SKIPPED_HANDLES)), 1, 1)
         social.append(F.transform(first, lambda h, n=network: F.struct(F.lit("social").alias("kind"), F.concat(F.lit(f"{n}:"), h).alias("raw"))))
     items = F.concat(
-        raw("whatsapp", _found(page, MESSAGE_LINK)), raw("phones", _found(page, TEL_LINK)), raw("phones", F.filter(numbers, lambda n: ~n.startswith("0"))), raw("emails", _found(page, MAIL, 0)), *social
+        raw("whatsapp", F.transform(_found(page, MESSAGE_LINK), lambda n: prepared(n, True))),
+        raw("phones", F.transform(F.concat(_found(page, TEL_LINK), F.filter(numbers, lambda n: ~n.startswith("0"))), lambda n: prepared(n, False))),
+        raw("emails", F.transform(_found(page, MAIL, 0), lambda m: F.regexp_replace(F.lower(m), r"\.+$", ""))),
+        *social,
     )
     rows = rows.select(*rest, F.posexplode(items).alias("pos", "item")).select(*rest, "pos", "item.kind", "item.raw")
-    mail = F.regexp_replace(F.lower("raw"), r"\.+$", "")
     kind, found = F.col("kind"), F.col("raw")
-    phone = phone_of_kind(found, kind == "whatsapp")
+    phone = F.concat(F.when(kind == "whatsapp", "55").otherwise(""), checked(found)["value"])
     value = (
-        F.when(kind == "whatsapp", F.concat(F.lit("55"), phone["value"]))
-        .when(kind == "phones", phone["value"])
-        .when(kind == "emails", F.when(~junk_mail(mail) & ~mail.rlike(ASSET), mail))
+        F.when(kind.isin("whatsapp", "phones"), phone)
+        .when(kind == "emails", F.when(~junk_mail(found) & ~found.rlike(ASSET), found))
         .otherwise(F.when(social_ok(found), found))
     )
     return rows.withColumn("value", value).where("value IS NOT NULL").drop("raw")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phones import phone_of_kind
+from ..functions.phones import checked, prepared
 from ..functions.web import contact_items, junk_mail, landing_class, social_ok
 
 KINDS = ("whatsapp", "phones", "emails", "social")
@@ -30,11 +30,14 @@ def nested_contacts(sites: DataFrame, contacts: DataFrame) -> DataFrame:
 def _cleaned(rows: DataFrame) -> DataFrame:
     """rows (kind, raw) with value, its normal form, and reason, why it goes; null if it stays."""
     kind, raw = F.col("kind"), F.col("raw")
-    rows = rows.withColumn("phone", F.when(kind.isin("whatsapp", "phones"), phone_of_kind(raw, kind == "whatsapp")))
+    # made an element of an array and taken out again, so that the checks see a column and not the whole expression
+    number = F.when(kind == "whatsapp", prepared(raw, True)).when(kind == "phones", prepared(raw, False))
+    rows = rows.withColumn("number", F.explode(F.array(number)))
+    rows = rows.withColumn("phone", F.when(F.col("number").isNotNull(), checked(F.col("number"))))
     other = F.when(kind == "emails", F.when(junk_mail(raw), "junk")).when(kind == "social", F.when(~social_ok(raw), "generic")).otherwise("unknown_kind")
     reason = F.when(kind.isin("whatsapp", "phones"), F.col("phone.reason")).otherwise(other)
     value = F.when(kind == "whatsapp", F.concat(F.lit("55"), F.col("phone.value"))).when(kind == "phones", F.col("phone.value")).otherwise(raw)
-    return rows.withColumns({"value": value, "reason": reason}).drop("phone")
+    return rows.withColumns({"value": value, "reason": reason}).drop("phone", "number")
 
 
 def marked_sites(sites: DataFrame) -> DataFrame:
