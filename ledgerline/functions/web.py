@@ -74,6 +74,10 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _prefixed(items: Column, prefix: str) -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit(prefix), x))
+
+
 def url_host(url: Column) -> Column:
     """The lower-cased host of an http(s) url, else ''."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://([^/:?#]+)", 1))
@@ -139,7 +143,7 @@ def contact_items(pages: DataFrame) -> DataFrame:
     for network, pattern in SOCIAL_LINKS.items():
         handles = F.transform(_found(page, pattern), lambda h: F.regexp_replace(h, "^/+|/+$", ""))
         first = F.slice(F.filter(handles, lambda h: ~F.lower(F.substring_index(h, "/", 1)).isin(SKIPPED_HANDLES)), 1, 1)
-        social.append(F.transform(first, lambda h, n=network: F.struct(F.lit("social").alias("kind"), F.concat(F.lit(f"{n}:"), h).alias("raw"))))
+        social.append(raw("social", _prefixed(first, f"{network}:")))
     items = F.concat(
         raw("whatsapp", F.transform(_found(page, MESSAGE_LINK), lambda n: prepared(n, True))),
         raw("phones", F.transform(F.concat(_found(page, TEL_LINK), F.filter(numbers, lambda n: ~n.startswith("0"))), lambda n: prepared(n, False))),

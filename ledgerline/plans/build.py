@@ -78,7 +78,8 @@ def snapshot_stats(e: DataFrame, partners: DataFrame, month: str) -> DataFrame:
 def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str, month: str) -> dict[str, str]:
     """Writes all layouts into a new folder below `target` and returns where each is; a reader repoints when all are complete."""
     base = f"{target}/{month}-{uuid.uuid4().hex[:8]}"
-    paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "stats", *(t for t in raw if {"codigo", "descricao"} == set(raw[t].columns)))}
+    codes = [t for t in raw if raw[t].columns == ["codigo", "descricao"]]
+    paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "stats", *codes)}
     write_by_state(establishments(raw), paths["estabelecimentos"])
     # the other layouts come from the finished table, not from the joins again
     e = spark.read.parquet(paths["estabelecimentos"])
@@ -86,9 +87,8 @@ def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str,
     write_by_key(partner_links(raw), paths["socios"], "cnpj_basico")
     partners = spark.read.parquet(paths["socios"])
     write_by_key(partners, paths["socios_nome"], "nome_key")
-    for table in raw:
-        if table in paths:
-            write_codes(raw[table], paths[table])
+    for table in codes:
+        write_codes(raw[table], paths[table])
     snapshot_stats(e, partners, month).coalesce(1).write.json(paths["stats"])
     return paths
 
