@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
+#: Edges (16 bytes each) below which shuffles cost more than they spread.
+ONE_TASK = 1 << 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v.
 
@@ -25,14 +29,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(u, v) for every node u of edges(u, v) that isn't the least of its component; v is the least.
 
     Edges may come in either order, repeated, or as loops; null ends are dropped. Each round is
-    checkpointed to the shared folder; the loop ends when a round changes no edge.
+    checkpointed to the shared folder; the loop ends when a round changes no edge. Up to `one_task` edges are kept in
+    one partition, where the same steps need no shuffle.
     """
     shared_dir(edges.sparkSession)
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    if edges.count() <= one_task:
+        edges = edges.coalesce(1)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -3,8 +3,9 @@
 Documents with equal shingle sets are folded first, so a group of exact copies is one node of the rest.
 Bands of universal-hash minima put the distinct sets into buckets. Pairs are taken in rounds: first each
 document with the one bucket head that it shares most bands with; then, in buckets whose members are still
-in more than one component, a growing number of heads with all members of other components, until every
-such pair of a bucket is tested. A bucket of thousands of near copies thus costs a few pairs a member, and
+in more than one component, a growing number of heads with the members of other components, until every
+such pair of a bucket is tested. Pairs whose sizes, shingles that only one document has, or bit sketches rule
+the similarity out are not made. A bucket of thousands of near copies thus costs a few pairs a member, and
 no candidate pair that could join two components goes untested.
 """
 
@@ -31,7 +32,12 @@ SIGNATURE = 120
 SLACK = 6.0
 #: Ids that may be broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
-HEADS = (1, 8, 64, 512, 4096)
+#: Ids whose sizes and sketches (170 bytes each) may be broadcast.
+BROADCAST_ROWS = 1 << 16
+#: Heads that a bucket tests in one round; after these rounds, all that are left.
+HEADS = (4, 256)
+#: Longs of a set's bit sketch.
+SKETCH = 16
 
 
 def band_rows(similarity: float, miss: float = 1e-5) -> int:
@@ -116,14 +122,21 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                 out.append([xxhash.xxh3_64_intdigest(s.tobytes(), seed=i) - (1 << 63) for i, s in enumerate(sig)] if len(items) else [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["n", "fp", "bands"])
 
-    @F.arrow_udf("struct<sig: binary, items: binary>")
+    @F.arrow_udf("struct<sig: binary, items: binary, sketch: array<long>>")
     def full(texts: pa.Array) -> pa.Array:
-        sigs, sets = [], []
+        sigs, sets, sketches = [], [], []
         for part in slices(texts):
             for items in shingle_sets(part, words):
                 sigs.append(signature(items).tobytes())
                 sets.append(items.tobytes())
-        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["sig", "items"])
+                bits = np.zeros(64 * SKETCH, np.uint8)
+                bits[items % np.uint64(64 * SKETCH)] = 1
+                sketches.append(np.packbits(bits).view(">i8").astype(np.int64))
+        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["sig", "items", "sketch"])
+
+    @F.arrow_udf("array<long>")
+    def items(sets: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_buffer(), "<i8") for x in sets], pa.list_(pa.int64()))
 
     profiles = staged(docs.select("id", profile("text").alias("p")).select("id", "p.*"), "profiles")
     whole = profiles.where("id IS NOT NULL AND n > 0")
@@ -131,50 +144,67 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     heads = whole.join(nodes, [whole.fp.eqNullSafe(nodes.fp), whole.id == nodes.rep], "left_semi").dropDuplicates(["id"])
 
     # members of buckets that hold more than one distinct set
-    posts = heads.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = posts.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    members = staged(posts.join(buckets, "bucket").select("bucket", "id", "n", "head"), "buckets")
+    posts = heads.select("id", F.explode("bands").alias("bucket"))
+    buckets = posts.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(posts.join(buckets, "bucket", "left_semi"), "buckets")
 
     ids = members.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
+    n_ids = ids.count()
+    if n_ids <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    # columns of so few ids are sent to the tasks, more are joined by shuffle
+    sent = F.broadcast if n_ids <= BROADCAST_ROWS else lambda df: df
     sets = staged(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", full("text").alias("f")).select("id", "f.*"), "sets")
     linked = _linked(similarity)
-    # sizes further apart than the threshold can't reach it
-    near = f"100 * least(n_a, n_b) >= {round(100 * similarity)} * greatest(n_a, n_b)"
+
+    # shingles that no other member has can't be shared: two sets have at most their lesser core in common
+    only = sets.select("id", F.explode(items("items")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1")
+    own = only.groupBy("id").agg(F.count("*").alias("own"))
+    size = (F.octet_length("items") / 8).cast("int")
+    sized = sets.join(own, "id", "left").withColumn("n", size).select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+    sized = staged(sized.withColumn("odd", 1 - F.col("core") / F.col("n")), "sizes")
+    reach = "100 * {cap} >= %d * (n + n_a - {cap})" % round(100 * similarity)
+    near = reach.format(cap="least(core, core_a)")
+    # a bit that only one sketch has is a shingle that only this set has
+    less, more = (" + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(SKETCH)) for x, y in (("s", "h"), ("h", "s")))
+    nearer = reach.format(cap=f"least(core, core_a, n - ({less}), n_a - ({more}))")
 
     def tested(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("items").alias(f"set_{x}")) for x in ("a", "b"))
         return staged(pairs.join(b, "b").join(a, "a").select("a", "b", linked("sig_a", "set_a", "sig_b", "set_b").alias("ok")), "pairs")
 
-    size = members.select(F.col("id").alias("head"), F.col("n").alias("n_a")).distinct()
-    first = members.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("shared"), F.first("n").alias("n_b")).join(size, "head").where(near)
-    first = first.groupBy("id").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("a")).select("a", F.col("id").alias("b"))
-    done = tested(first)
+    # heads are members with few shingles of their own: copies of one text differ least from those
+    known = members.join(sent(sized.select("id", "n", "core", "odd")), "id")
+    head = known.groupBy("bucket").agg(F.min(F.struct("odd", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("core").alias("core_a"))).alias("h")).select("bucket", "h.a", "h.n_a", "h.core_a", F.col("h.odd").alias("odd_a"))
+    first = known.join(head, "bucket").where(f"id <> a AND {near}").groupBy("id", "a").agg(F.count("*").alias("shared"), F.first("odd_a").alias("odd_a"))
+    first = first.groupBy("id").agg(F.max_by("a", F.struct("shared", -F.col("odd_a"), -F.col("a"))).alias("a"))
+    done = tested(first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     links = done.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
 
-    left, k = members.select("bucket", "id", "n"), 0
-    while True:
-        # buckets whose members lie in several components; heads of earlier rounds have met all members
-        at = left.join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("comp", F.coalesce("v", "id")).drop("v")
-        mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        left = staged(at.join(mixed, "bucket", "left_semi"), "mixed")
-        if left.isEmpty():
-            break
-        count = HEADS[min(k, len(HEADS) - 1)]
-        ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("place") <= count)
-        lead = ranked.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        pairs = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), "comp").join(lead, "bucket").where(f"a < b AND comp <> comp_a AND {near}").select("a", "b").distinct()
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets whose members lie in several components, with these."""
+        at = rows.join(sent(labels.withColumnRenamed("u", "id")), "id", "left").withColumn("comp", F.coalesce("v", "id")).drop("v")
+        several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return at.join(several, "bucket", "left_semi")
+
+    left, k = staged(mixed(members).join(sent(sized), "id"), "mixed"), 0
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("odd", "id"))
+        lead = left.withColumn("place", place)
+        if k < len(HEADS):
+            lead = lead.where(F.col("place") <= HEADS[k])
+        lead = staged(lead, "heads")
+        heads_of = lead.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("core").alias("core_a"), F.col("comp").alias("comp_a"), *(F.col(f"s{i}").alias(f"h{i}") for i in range(SKETCH)))
+        pairs = left.join(heads_of, "bucket").where(f"comp <> comp_a AND {nearer}").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         fresh = tested(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(fresh)
         found = fresh.where("ok")
         if not found.isEmpty():
             links = links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
             labels = components(links)
-        last = ranked.groupBy("bucket").agg(F.max("id").alias("last"), F.count("*").alias("taken"))
-        left = left.drop("comp").join(last, "bucket").where("id > last").drop("last", "taken")
-        k += 1
+        left = left.drop("comp").join(lead.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        left, k = staged(mixed(left), "mixed"), k + 1
 
     comp = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
     known = profiles.where("id IS NOT NULL").join(comp, "fp", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -198,6 +228,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows whose document is not its component's least; rows that share an id stay together."""
-    gone = near_dedup(docs, id_col, text_col, words, similarity).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
+    gone = staged(near_dedup(docs, id_col, text_col, words, similarity).where("NOT kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     box = boxed(docs, id=id_col)
-    return unboxed(box.join(gone, box.id == gone.gone, "left_anti"), docs.columns)
+    return unboxed(box.join(gone, box.id == F.col("gone"), "left_anti"), docs.columns)
