@@ -16,18 +16,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import boxed, slices, unboxed
 
-#: What a worker keeps encoded; beyond it, it starts anew.
-KNOWN_CHUNKS = 400_000
+#: Entries of each of the two generations that a worker keeps encoded.
+KNOWN = 300_000
 BLANK_BEFORE_WHITE = re.compile(r" (?=\s|\Z)")
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: The contractions that byte-level BPE splits off.
+#: The pattern of byte-level BPE's words, and the contractions that it splits off.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Longest run that goes to the compiled encoder, whose time grows with its square.
+LONG_RUN = 10_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -72,6 +76,24 @@ def split_words(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:] + [n])]
 
 
+class Recent:
+    """What was encoded lately, in two generations: the older goes when the younger is full, except for what was asked for again."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def recall(self, keys: set[str]) -> tuple[list[str], dict[str, bytes]]:
+        """The unknown keys, and the values of the others."""
+        known = {k: v for k in keys if (v := self.young.get(k) or self.old.get(k))}
+        self.young.update(known)
+        return [k for k in keys if k not in known], known
+
+    def add(self, items: dict[str, bytes]) -> None:
+        if len(self.young) + len(items) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(items)
+
+
 class Bpe:
     """The tables of a tokenizer file of the `tokenizers` library with a byte-level BPE model."""
 
@@ -91,7 +113,14 @@ class Bpe:
         order = np.argsort(key)
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.compiled: tiktoken.Encoding | None = None
+        self.chunks, self.words = Recent(KNOWN), Recent(KNOWN // 2)
+
+    def _rank(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The merge rank of the pair that starts at each place `at`; NONE where no merge fits or a word ends."""
+        key = np.where(word[at] == word[at + 1], sym[at] << 32 | sym[at + 1], -1)
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.ranks[found], NONE)
 
     def _merge(self, words: list[str]) -> dict[str, bytes]:
         """Encodes the words together."""
@@ -101,30 +130,31 @@ class Bpe:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         sym = self.id_of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), size)
+        rank = np.append(self._rank(sym, word, np.arange(len(sym) - 1)), NONE)
         done_sym, done_word = [], []
         while len(sym):
-            rank = np.full(len(sym), NONE)
-            same = np.flatnonzero(word[:-1] == word[1:])
-            key = sym[same] << 32 | sym[same + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rank[same[hit]] = self.ranks[at[hit]]
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(word)]))
             over = least == NONE
             done_sym.append(sym[over])
             done_word.append(word[over])
             # of pairs that overlap, as in aaa, every other one from the left
-            pick = (rank == least) & ~over
-            run = np.flatnonzero(pick)
+            run = np.flatnonzero((rank == least) & ~over)
             if len(run):
-                head = np.r_[True, run[1:] != run[:-1] + 1]
-                place = np.arange(len(run)) - np.repeat(np.flatnonzero(head), np.diff(np.r_[np.flatnonzero(head), len(run)]))
+                head = np.flatnonzero(np.r_[True, run[1:] != run[:-1] + 1])
+                place = np.arange(len(run)) - np.repeat(head, np.diff(np.r_[head, len(run)]))
                 run = run[place % 2 == 0]
             sym[run] = self.merged[rank[run]]
             keep = ~over
             keep[run + 1] = False
-            sym, word = sym[keep], word[keep]
+            moved = np.cumsum(keep) - 1
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            # only pairs with a new symbol have another rank now
+            run = moved[run]
+            at = np.concatenate([run, run[run > 0] - 1])
+            rank[at] = NONE
+            at = at[at < len(sym) - 1]
+            rank[at] = self._rank(sym, word, at)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         flat, ends = sym[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(raw)))).tolist()
@@ -136,20 +166,23 @@ class Bpe:
         A blank before a character that isn't white space always starts a word, so a text is first cut at
         blanks, and what stands after one is kept whole. Other texts are cut into words one by one.
         """
-        cut = [t.split(" ") if not self._odd(t) else None for t in texts]
-        heads = [self._cut(t if c is None else c.pop(0)) for t, c in zip(texts, cut)]
-        new = set().union(*(c for c in cut if c)).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known.clear()
-            new = set().union(*(c for c in cut if c))
-        chunks = list(new)
+        cut = [t.split(" ") if not self._odd(t) else [t] for t in texts]
+        heads = [self._cut(c.pop(0)) for c in cut]
+        found = [list(map(self.chunks.young.get, c)) for c in cut]
+        lacks = [None in f for f in found]
+        chunks, fill = self.chunks.recall({x for c, f, lack in zip(cut, found, lacks) if lack for x, y in zip(c, f) if y is None})
         words = split_words(" " + " ".join(chunks)) if chunks else []
-        ids = self._merge(list({*words} | {w for h in heads for p in h if isinstance(p, list) for w in p}))
+        fresh, ids = self.words.recall({*words} | {w for h in heads for p in h if isinstance(p, list) for w in p})
+        learned = self._merge(fresh)
+        ids |= learned
+        self.words.add(learned)
         get = ids.__getitem__
         first = [i for i, w in enumerate(words) if w[0] == " "]  # only a chunk's first word starts with a blank
-        self.known.update((c, b"".join(map(get, words[a:b]))) for c, a, b in zip(chunks, first, [*first[1:], len(words)]))
-        rest = self.known.__getitem__
-        return [b"".join([*(b"".join(map(get, p)) if isinstance(p, list) else p for p in h), *map(rest, c or ())]) for h, c in zip(heads, cut)]
+        learned = {c: b"".join(map(get, words[a:b])) for c, a, b in zip(chunks, first, [*first[1:], len(words)])}
+        fill |= learned
+        self.chunks.add(learned)
+        found = [[y or fill[x] for x, y in zip(c, f)] if lack else f for c, f, lack in zip(cut, found, lacks)]
+        return [b"".join([*(b"".join(map(get, p)) if isinstance(p, list) else p for p in h), *f]) for h, f in zip(heads, found)]
 
     def _odd(self, text: str) -> bool:
         return BLANK_BEFORE_WHITE.search(text) is not None or any(t in text for t in self.special)
@@ -163,6 +196,13 @@ class Bpe:
             text = text[i + len(token) :]
         return [*out, split_words(text)]
 
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        """As encode(), by the compiled tiktoken encoder with this file's tables; texts with a run of LONG_RUN characters without a blank by encode()."""
+        if self.compiled is None:
+            ranks = {x: i for i, x in enumerate(self.bytes_of) if i not in self.special.values()}
+            self.compiled = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        return [self.encode([t])[0] if max(map(len, t.split(" "))) > LONG_RUN else self.compiled.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
 

@@ -39,7 +39,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             row = 0
             for texts in slices(batch.column(1)):
-                ids = [x + end for x in model.encode(texts)]
+                ids = [x + end for x in model.encode_whole(texts)]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 places = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())
