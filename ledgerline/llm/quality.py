@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import boxed, slices, staged, unboxed
 
 SYMBOLS = b"#*$%&|<>"
+#: A rule is taken to vote bad on so many of the good documents at most; else a frequent kind of junk could pass as good.
+MOST_WRONG = 0.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
 
 
@@ -97,7 +99,8 @@ def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tup
         share = ((weight * good).sum() + 8) / (total + 10)
         of_good = np.einsum("p,prv->rv", weight * good, onehot) + prior_good
         of_bad = np.einsum("p,prv->rv", weight * (1 - good), onehot) + prior_bad
-        ratio = np.log(of_good / of_good.sum(1, keepdims=True)) - np.log(of_bad / of_bad.sum(1, keepdims=True))
+        wrong = np.minimum(of_good[:, :1] / of_good.sum(1, keepdims=True), MOST_WRONG)
+        ratio = np.log(np.concatenate([wrong, 1 - wrong], axis=1)) - np.log(of_bad / of_bad.sum(1, keepdims=True))
         new = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + np.einsum("rv,prv->p", ratio, onehot))))
         if np.abs(new - good).max() < 1e-9:
             break
