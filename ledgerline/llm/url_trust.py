@@ -68,12 +68,12 @@ def _seeds(hosts: DataFrame, column: str) -> DataFrame:
     return hosts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(max(total, 1)))).alias("mass"))
 
 
-def judged(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85) -> DataFrame:
+def judged(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, floor: float = 0.5) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict (allow or block).
 
     A rule (verdict, host, path) fits its host and all subdomains where the path starts with its path; the
     longest decides. Pages that none fits take their host's verdict: block if the host's distrust is larger than
-    its trust. Seeds are the hosts of pages that allow or block rules fit, weighted by how many they fit. Null
+    its trust and than `floor` times the mean over hosts. Seeds are the hosts of pages that allow or block rules fit, weighted by how many they fit. Null
     urls, and those without ://, have an empty host and path, no rule, and are allowed. Columns of these names
     are replaced, all others pass through.
     """
@@ -90,5 +90,5 @@ def judged(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules
     distrust = propagate(back, _seeds(hosts, "blocked"), damping).withColumnRenamed("score", "distrust")
     scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
     out = box.drop("html").join(scores, "host", "left")
-    verdict = F.coalesce("said", F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts.count() > floor), "block").otherwise("allow"))
     return unboxed(out, cols, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), trust=F.coalesce("trust", F.lit(0.0)), distrust=F.coalesce("distrust", F.lit(0.0)), verdict=verdict)
