@@ -407,6 +407,12 @@ def shared_values_having(spark, sf_dir):
     return fate.where("reason = 'shared'").groupBy("kind", F.col("raw").alias("value")).agg(F.count_distinct("domain").alias("domains"))
 
 
+@query("SELECT status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS share FROM (SELECT CASE page_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'http_404' ELSE 'ok' END AS status FROM pages) GROUP BY status", views=False)
+def sweep_outcome(spark, sf_dir):
+    status = F.expr("CASE page_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'http_404' ELSE 'ok' END")
+    return contacts.sweep_outcome(table(spark, sf_dir, "pages").select(status.alias("status")))
+
+
 @query()
 def visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("visible"))
