@@ -2,10 +2,10 @@
 
 A text is its words (A-Z lower-cased, each ended by a blank) and an end sign. Each bit of each byte is predicted by
 five hashed contexts of the word so far: its last one to four bytes and, for frequent words, all of it. Counts of
-every context come from all training words, as Spark sums them; tables have a fixed size, so what is broadcast is
-bounded. The predictions are mixed in the logistic domain by weights that a gate (how often the longest contexts were
-seen) selects, learned online with each word's own occurrence taken out of the counts, and refined by adaptive
-probability maps. The frozen mixer gives a word the same probability everywhere, so each distinct word is
+every context come from all training words, as Spark sums them; tables grow with the vocabulary as far as a worker's
+memory goes, and are broadcast compressed. The predictions are mixed in the logistic domain by weights that a gate (how
+often the longest contexts were seen) selects, learned online over every training word with one occurrence of it taken
+out of the counts, and refined by adaptive probability maps; what the tasks learned is merged. The frozen mixer gives a word the same probability everywhere, so each distinct word is
 scored once. It is the distribution to which discounted word counts back off, one set of counts for each profile
 (language) of the training documents; a text's probability is the mean over profiles, so the weights of
 the profiles adapt to the text as it goes on.
@@ -14,6 +14,7 @@ the profiles adapt to the text as it goes on.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -26,21 +27,26 @@ from pyspark.sql import functions as F
 
 from .common import slices, staged
 
-#: log2 of the slots of each context's table: last byte, last two, three, four, whole word so far.
-TABLES = (16, 17, 18, 19, 20)
+#: log2 of the slots of each context's smallest table: last byte, last two, three, four, whole word so far.
+TABLES = (16, 18, 20, 21, 22)
 PREFIX = len(TABLES) - 1
 AT = np.cumsum([0, *(1 << b for b in TABLES)])
 PART = 4096
-#: The most frequent words, which are looked up without a shuffle (a few MB), and those of them whose whole-word contexts are learned.
-HOT_WORDS, WHOLE_WORDS = 1 << 16, 1 << 14
-#: Training words on which the mixing weights are fitted, drawn in proportion to their counts.
-FIT_WORDS = 1 << 16
+#: Distinct words up to which the smallest tables serve; they double with the vocabulary, GROWN times at most (480 MB of counts in a task).
+SMALL_VOCABULARY, GROWN = 1 << 21, 2
+#: The most frequent words, which are looked up without a shuffle (a few MB).
+HOT_WORDS = 1 << 16
+#: The most frequent words whose whole-word contexts the smallest tables hold; doubles with them.
+WHOLE_WORDS = 1 << 16
 GATES, BUCKETS = 8 * 4, 33
 END = "\n"
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 COUNTED = 400_000
-#: Profiles that have word counts of their own.
-PROFILES = 8
+
+
+def grown(distinct: int) -> int:
+    """How often the tables double for a vocabulary."""
+    return min(max(math.ceil(math.log2(max(distinct, 1) / SMALL_VOCABULARY)), 0), GROWN)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,8 +60,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)], dtype=np.uint64) for b in (p, inverse))
 
 
-def _bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every bit of every word and its end: word number, node in the byte's tree, bit, and each context's slot."""
+def _bits(words: list[bytes], more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every bit of every word and its end: word number, node in the byte's tree, bit, and each context's slot (tables doubled `more` times)."""
     flat = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     word = np.repeat(np.arange(len(words)), size)
@@ -73,7 +79,7 @@ def _bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     shift = np.arange(8, dtype=np.uint64)
     node = (np.uint64(1) << shift) | byte[:, None] >> (np.uint64(8) - shift)
     bit = (byte[:, None] >> (np.uint64(7) - shift) & np.uint64(1)).astype(np.uint8)
-    slots = [(((c[:, None] + node * M3) * M2) >> np.uint64(64 - b)).astype(np.int64).ravel() for c, b in zip(contexts, TABLES)]
+    slots = [(((c[:, None] + node * M3) * M2) >> np.uint64(64 - b - more)).astype(np.int64).ravel() for c, b in zip(contexts, TABLES)]
     return np.repeat(word, 8), node.astype(np.int64).ravel(), bit.ravel(), slots
 
 
@@ -93,11 +99,17 @@ def _stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _prepared(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's input for each slot, and how often it was seen (log2)."""
+    return np.log((ones + 0.2) / (zeros + 0.2)), np.minimum(np.ceil(np.log2(zeros + ones + 1)), 30).astype(np.uint8)
+
+
 class Mixer:
     """counts: (2, slots) of zeros and ones seen; weights by gate; hits and tries of the adaptive probability maps."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, maps: np.ndarray | None = None):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, maps: np.ndarray | None = None, more: int = 0):
+        self.counts, self.more, self.at = counts, more, AT << more
+        self.slope = np.zeros((GATES, len(TABLES), len(TABLES)))
         self.weights = np.full((GATES, len(TABLES)), 0.3) if weights is None else weights
         self.maps = np.zeros((2, 256, BUCKETS)) if maps is None else maps
         self.inputs = self.seen = None
@@ -106,10 +118,9 @@ class Mixer:
         """Inputs and gate. With `bit`, one occurrence of it is taken out of the counts first (of whole words: where they are counted)."""
         inputs, seen = [], []
         if bit is None and self.inputs is None:
-            zeros, ones = self.counts.astype(np.float32)
-            self.inputs, self.seen = np.log((ones + 0.2) / (zeros + 0.2)), np.minimum(np.ceil(np.log2(zeros + ones + 1)), 30).astype(np.uint8)
+            self.inputs, self.seen = _prepared(*self.counts.astype(np.float32))
         for i, slot in enumerate(slots):
-            slot = slot + AT[i]
+            slot = slot + self.at[i]
             if bit is None:
                 inputs.append(self.inputs[slot])
                 seen.append(self.seen[slot])
@@ -117,8 +128,9 @@ class Mixer:
             zeros, ones = self.counts[0, slot].astype(float), self.counts[1, slot].astype(float)
             own = 1.0 if i < PREFIX else whole
             zeros, ones = np.maximum(zeros - own * (bit == 0), 0), np.maximum(ones - own * (bit == 1), 0)
-            inputs.append(np.log((ones + 0.2) / (zeros + 0.2)))
-            seen.append(np.minimum(np.ceil(np.log2(zeros + ones + 1)), 30).astype(np.uint8))
+            x, often = _prepared(zeros, ones)
+            inputs.append(x)
+            seen.append(often)
         gate = np.minimum((seen[PREFIX] + 1) // 2, 7).astype(np.int64) * 4 + np.minimum(seen[PREFIX - 1] // 3, 3)
         return inputs, gate
 
@@ -134,10 +146,10 @@ class Mixer:
         return (p + (hits + 20 * p) / (tries + 20)) / 2
 
     def fit(self, words: list[bytes], whole: np.ndarray) -> None:
-        """One online pass in small batches, each a damped Newton step for every gate; `whole` tells which words' whole contexts are counted."""
-        slope = np.zeros((GATES, len(TABLES), len(TABLES)))
+        """An online pass in small batches, each a damped Newton step for every gate; `whole` tells which words' whole contexts are counted."""
+        slope = self.slope
         for at, part in _groups(words, 1 << 13):
-            word, node, bit, slots = _bits(part)
+            word, node, bit, slots = _bits(part, self.more)
             inputs, gate = self._lookup(slots, bit, whole[at : at + len(part)][word])
             st = self._mix(inputs, gate)
             p = 1 / (1 + np.exp(-st.astype(float)))
@@ -156,78 +168,98 @@ class Mixer:
         """log10 probability of each word."""
         out = np.zeros(len(words))
         for at, part in _groups(words):
-            word, node, bit, slots = _bits(part)
+            word, node, bit, slots = _bits(part, self.more)
             p = self._refine(self._mix(*self._lookup(slots, None, None)), node)
             out[at : at + len(part)] = np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), len(part))
         return out
 
 
-def _learn_counts(vocabulary: DataFrame) -> np.ndarray:
-    """Zeros and ones of all slots, summed over (word, c, whole); whole-word contexts take the words so marked."""
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of counts, by byte planes, as most are small."""
+    return zlib.compress(counts.reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(2, -1)
+
+
+def _learn_counts(vocabulary: DataFrame, more: int = 0) -> dict[int, bytes]:
+    """Zeros and ones of all slots, summed over (word, c, whole), as packed blocks; whole-word contexts take the words so marked."""
+    at_table, size = AT << more, int(AT[-1]) << more
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, AT[-1]), np.uint32)
+        counts = np.zeros((2, size), np.uint64)
+        flat = counts.reshape(-1)
         for batch in batches:
             words = [w.encode() for w in batch.column(0).to_pylist()]
-            times, whole = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            times, whole = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             for at, part in _groups(words):
-                word, _, bit, slots = _bits(part)
-                c = times[at : at + len(part)][word]
+                word, _, bit, slots = _bits(part, more)
+                c, there = times[at : at + len(part)][word], bit * np.int64(size)
                 for i, slot in enumerate(slots):
-                    w = c if i < PREFIX else c * whole[at : at + len(part)][word]
-                    for b in (0, 1):
-                        counts[b, AT[i] : AT[i + 1]] += np.bincount(slot, w * (bit == b), 1 << TABLES[i]).astype(np.uint32)
-        for i in range(0, AT[-1], PART):
+                    np.add.at(flat, there + at_table[i] + slot, c if i < PREFIX else c * whole[at : at + len(part)][word])
+        for i in range(0, size, PART):
             block = counts[:, i : i + PART]
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // PART], pa.int32()), pa.array([block.tobytes()])], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // PART], pa.int32()), pa.array([_packed(np.ascontiguousarray(block))])], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(x, np.uint32)
-                held[i] = held[i] + x if i in held else x
+                held[i] = held[i] + _unpacked(x) if i in held else _unpacked(x)
         for i, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()])], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(x)])], names=["block", "counts"])
 
-    out = np.zeros((2, AT[-1]), np.uint32)
     parts = vocabulary.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary")
-    for row in parts.toLocalIterator():  # the tables' fixed size in all: 16 MB
-        block = np.frombuffer(row.counts, np.uint32).reshape(2, -1)
-        out[:, row.block * PART : row.block * PART + block.shape[1]] = block
-    return out
+    return {r.block: bytes(r.counts) for r in parts.toLocalIterator()}  # bounded by the largest tables, a few bytes a used slot
 
 
-def _fitted(sample: DataFrame, counts: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+def _fitted(vocabulary: DataFrame, blocks: Broadcast, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and maps learned from all words of (word, whole): the tasks' weights as a mean by their slopes, their maps summed."""
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, whole = [], []
+        mixer = None
         for batch in batches:
-            words += [w.encode() for w in batch.column(0).to_pylist()]
-            whole += batch.column(1).to_pylist()
-        mixer = Mixer(counts.value)
-        mixer.fit(words, np.array(whole, float))
-        yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.tobytes()]), pa.array([mixer.maps.tobytes()])], names=["weights", "maps"])
-
-    row = sample.mapInArrow(fit, "weights binary, maps binary").first()
-    return np.frombuffer(row.weights).reshape(GATES, -1), np.frombuffer(row.maps).reshape(2, 256, BUCKETS)
+            if mixer is None:
+                counts = np.zeros((2, int(AT[-1]) << more), np.uint64)
+                for i, block in blocks.value.items():
+                    counts[:, i * PART : (i + 1) * PART] = _unpacked(block)
+                mixer = Mixer(counts, more=more)
+            mixer.fit([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+        if mixer:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (mixer.weights, mixer.slope, mixer.maps)], names=["weights", "slope", "maps"])
+
+    start = Mixer(None)
+    slope, pull, maps = 20 * np.eye(len(TABLES)) + start.slope, 20 * start.weights, start.maps
+    for row in vocabulary.mapInArrow(fit, "weights binary, slope binary, maps binary").toLocalIterator():
+        s = np.frombuffer(row.slope).reshape(slope.shape)
+        slope, pull = slope + s, pull + (s @ np.frombuffer(row.weights).reshape(GATES, -1, 1))[:, :, 0]
+        maps = maps + np.frombuffer(row.maps).reshape(maps.shape)
+    return np.linalg.solve(slope, pull[:, :, None])[:, :, 0], maps
 
 
 _mixers: dict[int, Mixer] = {}
 
 
-def _mixer(counts: Broadcast, weights: np.ndarray, maps: np.ndarray) -> Mixer:
+def _mixer(blocks: Broadcast, weights: np.ndarray, maps: np.ndarray, more: int) -> Mixer:
     """The model's tables, prepared once for each worker."""
-    key = id(counts.value)
+    key = id(blocks.value)
     if key not in _mixers:
         _mixers.clear()
-        _mixers[key] = Mixer(counts.value, weights, maps)
+        mixer = Mixer(None, weights, maps, more)
+        mixer.inputs, mixer.seen = np.zeros(int(AT[-1]) << more, np.float32), np.zeros(int(AT[-1]) << more, np.uint8)
+        for i, block in blocks.value.items():
+            at = slice(i * PART, (i + 1) * PART)
+            mixer.inputs[at], mixer.seen[at] = _prepared(*_unpacked(block).astype(np.float32))
+        _mixers[key] = mixer
     return _mixers[key]
 
 
 def _profiles(docs: DataFrame) -> list[str]:
-    """The most frequent values of the profile column; all others are counted under the first."""
-    rows = docs.groupBy("profile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "profile").limit(PROFILES).collect()
+    """All values of the profile column, the most frequent first: each becomes a column of counts."""
+    rows = docs.groupBy("profile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "profile").collect()
     return [r.profile for r in rows] or [""]
 
 
@@ -258,7 +290,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
             names, at = batch.column(1).to_pylist(), 0
             for texts in slices(batch.column(0)):
                 for name, text in zip(names[at:], texts):
-                    words = seen.setdefault(name if name in profiles else profiles[0], Counter())
+                    words = seen.setdefault(name, Counter())
                     words.update(words_of(text))
                     words[END.encode()] += 1
                 at += len(texts)
@@ -272,21 +304,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
     stats = [f(n) for n in ns for f in (F.sum, lambda n: F.count_if(F.col(n) > 0), lambda n: F.count_if(F.col(n) == 1), lambda n: F.count_if(F.col(n) == 2))]
     total, distinct, *stats = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *stats).first()
     norm = total + 0.5 * (distinct + 1)
-    vocabulary = counted
-    for flag, most in (("hot", HOT_WORDS), ("whole", WHOLE_WORDS)):
+    vocabulary, more = counted, grown(distinct)
+    for flag, most in (("hot", HOT_WORDS), ("whole", WHOLE_WORDS << more)):
         top = counted.orderBy(F.desc("c"), "word").limit(most).select("word", F.lit(True).alias(flag))
         vocabulary = vocabulary.join(F.broadcast(top), "word", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     vocabulary = staged(vocabulary, "vocabulary")
-    counts = spark.sparkContext.broadcast(_learn_counts(vocabulary.select("word", "c", "whole")))
-    # draws words with chances in proportion to their counts: the smallest exponential waiting times
-    uniform = (F.pmod(F.xxhash64("word"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    sample = vocabulary.orderBy(-F.log(uniform) / F.col("c"), "word").limit(FIT_WORDS).select("word", "whole").orderBy(F.xxhash64("word")).coalesce(1)
-    fitted = _fitted(sample, counts)
+    blocks = spark.sparkContext.broadcast(_learn_counts(vocabulary.select("word", "c", "whole"), more))
+    fitted = _fitted(vocabulary.select("word", "whole"), blocks, more)
 
     @F.arrow_udf("double")
     def mixed(words: pa.Array) -> pa.Array:
         some = [w.as_py().encode() for w in words if w.is_valid]
-        scores = iter(_mixer(counts, *fitted).score(some).tolist())
+        scores = iter(_mixer(blocks, *fitted, more).score(some).tolist())
         return pa.array([next(scores) if w.is_valid else None for w in words], pa.float64())
 
     # log10 P(word) by profile: discounted counts, and the discount's share by the mixer

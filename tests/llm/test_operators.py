@@ -275,3 +275,19 @@ def test_url_trust(spark):
     ]
     assert got[4].verdict == "block" and got[5].verdict == "allow" and got[10].verdict == "allow" and got[10].trust > 0
     assert url_trust.judged(pages.limit(0)).count() == 0
+
+
+def test_lm_score_learns_from_everything(spark, monkeypatch):
+    # tables and whole-word contexts grow with the vocabulary and are no smaller than they were before the disk was saved
+    assert lm_score.TABLES == (16, 18, 20, 21, 22) and lm_score.WHOLE_WORDS == 1 << 16
+    assert [lm_score.grown(n) for n in (0, 1 << 21, (1 << 21) + 1, 1 << 23, 1 << 40)] == [0, 0, 1, 2, 2]
+    # counts beyond 32 bits stay exact, whatever the partitions, and what the tasks learn is merged
+    words = make(spark, [("aa", 1 << 33, True), ("ab", 3, True)], "word string, c long, whole boolean").repartition(2)
+    blocks = lm_score._learn_counts(words, 1)
+    assert sum(int(lm_score._unpacked(b).sum()) for b in blocks.values()) == ((1 << 33) + 3) * 3 * 8 * 5
+    many = spark.range(3000).selectExpr("'w' || id AS word", "true AS whole").repartition(3)
+    _, maps = lm_score._fitted(many, spark.sparkContext.broadcast({}), 0)
+    assert maps[1].sum() == 8 * sum(len(f"w{i} ") for i in range(3000))
+    # every profile has counts of its own, the ninth too
+    rows = [(i, f"word{i % 12} of{i % 12} its{i % 12}", f"p{i % 12}") for i in range(120)]
+    assert len(lm_score._profiles(make(spark, rows, "id long, text string, profile string"))) == 12
