@@ -467,6 +467,18 @@ _ASKED = f"SELECT * FROM est WHERE telefone1 IS NOT NULL OR telefone2 IS NOT NUL
  SELECT DISTINCT numbers, unnest(string_split(numbers, ',')) AS number FROM (SELECT unnest([{VARIANTS.format(d="coalesce(ddd1, '')", t="coalesce(telefone1, '')")}, {VARIANTS.format(d="coalesce(ddd2, '')", t="coalesce(telefone2, '')")}]) AS numbers FROM ({_ASKED})) WHERE numbers <> '') g
  LEFT JOIN ({LATEST}) l ON l.number = g.number) GROUP BY numbers) WHERE NOT known AND open""")
 def refresh_due(spark, sf_dir):
+    return accounts.refresh_due(demo.establishments(spark, sf_dir), _checks(spark, sf_dir), F.expr("TIMESTAMP '2024-02-15 00:00:00'"), per_call=25, limit=500)
+
+
+#: All companies with phones: what is due over the whole table, where refresh_due is one request of the server.
+_ASKED_ALL = "SELECT * FROM est WHERE telefone1 IS NOT NULL OR telefone2 IS NOT NULL"
+
+
+@query(f"""SELECT numbers FROM (SELECT numbers, bool_or(positive AND fresh) AS known, bool_or(NOT fresh) AS open FROM (
+ SELECT g.numbers, coalesce(l.wa_account_type IS NOT NULL, FALSE) AS positive, coalesce(l.checked_at + CASE WHEN l.wa_account_type IS NOT NULL THEN INTERVAL 90 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-02-15 00:00:00', FALSE) AS fresh FROM (
+ SELECT DISTINCT numbers, unnest(string_split(numbers, ',')) AS number FROM (SELECT unnest([{VARIANTS.format(d="coalesce(ddd1, '')", t="coalesce(telefone1, '')")}, {VARIANTS.format(d="coalesce(ddd2, '')", t="coalesce(telefone2, '')")}]) AS numbers FROM ({_ASKED_ALL})) WHERE numbers <> '') g
+ LEFT JOIN ({LATEST}) l ON l.number = g.number) GROUP BY numbers) WHERE NOT known AND open""")
+def refresh_due_all(spark, sf_dir):
     return accounts.refresh_due(demo.establishments(spark, sf_dir), _checks(spark, sf_dir), F.expr("TIMESTAMP '2024-02-15 00:00:00'"))
 
 
