@@ -178,13 +178,13 @@ def contact_link(page: Column, final_url: Column) -> Column:
 
 
 def page_signals(page: Column) -> Column:
-    """struct<prominent, body, raw>: normalised title, headings, names and copyright lines; normalised text; text as it stands."""
-    page = without_blobs(F.substring(page, 1, 400_000))
+    """struct<prominent, body, raw> of a whole page: normalised title, headings, names and copyright lines; normalised text; text as it stands."""
+    page = without_blobs(page)
     shown = F.concat(*(F.slice(_found(page, pattern), 1, n) for pattern, n in PROMINENT))
     prominent = F.array_join(F.transform(F.split(unescaped(F.array_join(F.transform(shown, without_tags), "\u0001")), "\u0001"), words_only), " | ")
     raw = unescaped(without_tags(without_scripts(page)))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return F.struct(padded(prominent).alias("prominent"), padded(F.substring(words_only(raw), 1, 150_000)).alias("body"), F.substring(raw, 1, 150_000).alias("raw"))
+    return F.struct(padded(prominent).alias("prominent"), padded(words_only(raw)).alias("body"), raw.alias("raw"))
 
 
 def mentions(raw: Column) -> Column:
