@@ -17,7 +17,7 @@ from .common import boxed, shared_dir, staged, unboxed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", ""), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-LINKS = r"""(?i)\shref\s*=\s*["']?([a-z][a-z0-9+.\-]*://[^"'\s<>]+)"""
+LINKS = r"""(?i)\shref\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -38,7 +38,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w) between hosts, of boxed pages (host, html): w counts links; a host and the domain above it count as one link each way."""
-    linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("url")).select("src", host_path(F.col("url"))[0].alias("dst"))
+    linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("url")).withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))).select("src", host_path(F.col("url"))[0].alias("dst"))
     linked = linked.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     above = pages.select(F.col("host").alias("src")).where("size(split(host, '[.]')) > 2").distinct().select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst"), F.lit(1.0).alias("w"))
     both = above.union(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -291,3 +291,8 @@ def test_lm_score_learns_from_everything(spark, monkeypatch):
     # every profile has counts of its own, the ninth too
     rows = [(i, f"word{i % 12} of{i % 12} its{i % 12}", f"p{i % 12}") for i in range(120)]
     assert len(lm_score._profiles(make(spark, rows, "id long, text string, profile string"))) == 12
+
+
+def test_url_trust_takes_links_without_a_scheme(spark):
+    pages = make(spark, [("x.edu", '<a href="//y.edu/p">y</a> <a href="/local">z</a>')], "host string, html string")
+    assert [(r.src, r.dst) for r in url_trust.host_edges(pages).collect()] == [("x.edu", "y.edu")]
