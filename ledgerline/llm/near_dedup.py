@@ -1,12 +1,13 @@
 """Near-duplicate documents: MinHash candidates, checked on signatures and full shingle sets, joined into components.
 
 Documents with equal shingle sets are folded first, so a group of exact copies is one node of the rest.
-Bands of universal-hash minima put the distinct sets into buckets. Pairs are taken in rounds: first each
-document with the one bucket head that it shares most bands with; then, in buckets whose members are still
-in more than one component, a growing number of heads with the members of other components, until every
-such pair of a bucket is tested. Pairs whose sizes, shingles that only one document has, or bit sketches rule
-the similarity out are not made. A bucket of thousands of near copies thus costs a few pairs a member, and
-no candidate pair that could join two components goes untested.
+Bands of universal-hash minima tell which sets have a candidate at all. Of these sets, shingles are ordered from
+rare to frequent; two linked sets must share one of their rarest (the prefix), early enough in both orders for the
+rest to reach the threshold. So a bucket of candidates is split by the rare shingles that its members share. First
+every set is tested with the head of each of its shingles and what is linked is contracted; then the pairs that
+lie in different components and share such a shingle are tested, all of them. A group of thousands of near copies thus costs a
+few tests a member, a group that is merely similar has no pairs to test, and no candidate pair that could join two
+components goes untested.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import boxed, slices, staged, unboxed
 from .components import components
@@ -32,12 +32,6 @@ SIGNATURE = 120
 SLACK = 6.0
 #: Ids that may be broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
-#: Ids whose sizes and sketches (170 bytes each) may be broadcast.
-BROADCAST_ROWS = 1 << 16
-#: Heads that a bucket tests in one round; after these rounds, all that are left.
-HEADS = (4, 256)
-#: Longs of a set's bit sketch.
-SKETCH = 16
 
 
 def band_rows(similarity: float, miss: float = 1e-5) -> int:
@@ -122,89 +116,57 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                 out.append([xxhash.xxh3_64_intdigest(s.tobytes(), seed=i) - (1 << 63) for i, s in enumerate(sig)] if len(items) else [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["n", "fp", "bands"])
 
-    @F.arrow_udf("struct<sig: binary, items: binary, sketch: array<long>>")
+    @F.arrow_udf("struct<sig: binary, items: binary>")
     def full(texts: pa.Array) -> pa.Array:
-        sigs, sets, sketches = [], [], []
-        for part in slices(texts):
-            for items in shingle_sets(part, words):
-                sigs.append(signature(items).tobytes())
-                sets.append(items.tobytes())
-                bits = np.zeros(64 * SKETCH, np.uint8)
-                bits[items % np.uint64(64 * SKETCH)] = 1
-                sketches.append(np.packbits(bits).view(">i8").astype(np.int64))
-        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["sig", "items", "sketch"])
+        sets = [items for part in slices(texts) for items in shingle_sets(part, words)]
+        return pa.StructArray.from_arrays([pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "items"])
 
     @F.arrow_udf("array<long>")
     def items(sets: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(x.as_buffer(), "<i8") for x in sets], pa.list_(pa.int64()))
 
     profiles = staged(docs.select("id", profile("text").alias("p")).select("id", "p.*"), "profiles")
-    whole = profiles.where("id IS NOT NULL AND n > 0")
-    nodes = whole.groupBy("fp").agg(F.min("id").alias("rep"))
-    heads = whole.join(nodes, [whole.fp.eqNullSafe(nodes.fp), whole.id == nodes.rep], "left_semi").dropDuplicates(["id"])
+    nodes = staged(profiles.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min(F.struct("id", "bands")).alias("x")).select("fp", F.col("x.id").alias("rep"), "x.bands"), "nodes")
 
-    # members of buckets that hold more than one distinct set
-    posts = heads.select("id", F.explode("bands").alias("bucket"))
+    # sets that share a band with another one
+    posts = nodes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     buckets = posts.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(posts.join(buckets, "bucket", "left_semi"), "buckets")
-
-    ids = members.select("id").distinct()
-    n_ids = ids.count()
-    if n_ids <= BROADCAST_IDS:
+    ids = staged(posts.join(buckets, "bucket", "left_semi").select("id").distinct(), "members")
+    if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    # columns of so few ids are sent to the tasks, more are joined by shuffle
-    sent = F.broadcast if n_ids <= BROADCAST_ROWS else lambda df: df
-    sets = staged(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", full("text").alias("f")).select("id", "f.*"), "sets")
+    sets = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = staged(sets.select("id", full("text").alias("f")).select("id", "f.*"), "sets")
     linked = _linked(similarity)
 
-    # shingles that no other member has can't be shared: two sets have at most their lesser core in common
-    only = sets.select("id", F.explode(items("items")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1")
-    own = only.groupBy("id").agg(F.count("*").alias("own"))
-    size = (F.octet_length("items") / 8).cast("int")
-    sized = sets.join(own, "id", "left").withColumn("n", size).select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
-    sized = staged(sized.withColumn("odd", 1 - F.col("core") / F.col("n")), "sizes")
-    reach = "100 * {cap} >= %d * (n + n_a - {cap})" % round(100 * similarity)
-    near = reach.format(cap="least(core, core_a)")
-    # a bit that only one sketch has is a shingle that only this set has
-    less, more = (" + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(SKETCH)) for x, y in (("s", "h"), ("h", "s")))
-    nearer = reach.format(cap=f"least(core, core_a, n - ({less}), n_a - ({more}))")
+    # a set's shingles from rare to frequent; those of one set only come first and are counted, not kept
+    flat = sets.select("id", (F.octet_length("items") / 8).cast("int").alias("n"), F.explode(items("items")).alias("shingle"))
+    often = flat.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    order = flat.join(often, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    percent = round(100 * similarity)
+    own, length = F.col("n") - F.size("common"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = order.withColumns({"own": own, "take": (length - own).cast("int")}).where("take > 0").select("id", "n", "own", F.posexplode(F.slice("common", 1, F.col("take"))).alias("k", "c"))
+    prefix = staged(prefix.select("id", "n", (F.col("own") + F.col("k")).alias("pos"), F.col("c.shingle").alias("shingle")), "prefix")
+    # two sets whose first shared shingle comes at pos and pos_a have at most what follows in common
+    near = f"{100 + percent} * least(n - pos, n_a - pos_a) >= {percent} * (n + n_a)"
 
     def tested(pairs: DataFrame) -> DataFrame:
+        """The links (u, v) among pairs (a, b), by signatures and then by full sets."""
         a, b = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("items").alias(f"set_{x}")) for x in ("a", "b"))
-        return staged(pairs.join(b, "b").join(a, "a").select("a", "b", linked("sig_a", "set_a", "sig_b", "set_b").alias("ok")), "pairs")
-
-    # heads are members with few shingles of their own: copies of one text differ least from those
-    known = members.join(sent(sized.select("id", "n", "core", "odd")), "id")
-    head = known.groupBy("bucket").agg(F.min(F.struct("odd", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("core").alias("core_a"))).alias("h")).select("bucket", "h.a", "h.n_a", "h.core_a", F.col("h.odd").alias("odd_a"))
-    first = known.join(head, "bucket").where(f"id <> a AND {near}").groupBy("id", "a").agg(F.count("*").alias("shared"), F.first("odd_a").alias("odd_a"))
-    first = first.groupBy("id").agg(F.max_by("a", F.struct("shared", -F.col("odd_a"), -F.col("a"))).alias("a"))
-    done = tested(first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-    links = done.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        return staged(pairs.join(b, "b").join(a, "a").where(linked("sig_a", "set_a", "sig_b", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    # heads are the sets in which a shingle comes first: copies of one text differ least from those
+    head = prefix.groupBy("shingle").agg(F.min(F.struct(F.col("pos").alias("pos_a"), F.col("id").alias("a"), F.col("n").alias("n_a"))).alias("h")).select("shingle", "h.*")
+    links = tested(prefix.join(head, "shingle").where(f"id <> a AND {near}"))
     labels = components(links)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows of buckets whose members lie in several components, with these."""
-        at = rows.join(sent(labels.withColumnRenamed("u", "id")), "id", "left").withColumn("comp", F.coalesce("v", "id")).drop("v")
-        several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return at.join(several, "bucket", "left_semi")
-
-    left, k = staged(mixed(members).join(sent(sized), "id"), "mixed"), 0
-    while not left.isEmpty():
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("odd", "id"))
-        lead = left.withColumn("place", place)
-        if k < len(HEADS):
-            lead = lead.where(F.col("place") <= HEADS[k])
-        lead = staged(lead, "heads")
-        heads_of = lead.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("core").alias("core_a"), F.col("comp").alias("comp_a"), *(F.col(f"s{i}").alias(f"h{i}") for i in range(SKETCH)))
-        pairs = left.join(heads_of, "bucket").where(f"comp <> comp_a AND {nearer}").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = tested(pairs.join(done, ["a", "b"], "left_anti"))
-        done = done.unionByName(fresh)
-        found = fresh.where("ok")
-        if not found.isEmpty():
-            links = links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            labels = components(links)
-        left = left.drop("comp").join(lead.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        left, k = staged(mixed(left), "mixed"), k + 1
+    at = staged(prefix.join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("comp", F.coalesce("v", "id")).drop("v"), "labelled")
+    several = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = at.join(several, "shingle", "left_semi")
+    other = mixed.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("n", "pos", "comp")), F.col("id").alias("a"))
+    more = tested(mixed.join(other, "shingle").where(f"id < a AND comp <> comp_a AND {near}"))
+    if not more.isEmpty():
+        labels = components(labels.unionByName(more))
 
     comp = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
     known = profiles.where("id IS NOT NULL").join(comp, "fp", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
