@@ -265,16 +265,43 @@ def test_quality(spark, odd):
 
 
 def test_url_trust(spark):
-    link = '<a href="http://bad.net/x">x</a>'
-    rows = [(1, "http://A.example.com/en/7?q", None), (2, "https://x.com/en/", None), (3, "http://bad.net/fr", None), (4, "http://farm.example.edu/", link), (5, "http://quiet.example.edu/", ""), (6, None, None), (7, "no url", link), (8, "http://example.net/de/80", None), (9, "http://good.net/de/1", '<A HREF=http://friend.edu/>'), (10, "http://friend.edu", None), (11, "http://x.org#/es/", None), (12, "a://b://c/d", None)]
+    # the contract lists five rules
+    assert sorted(f"{v} {h}{p}" for v, h, p in url_trust.RULES) == ["allow example.com/en/7", "allow net/de/", "block com/en/", "block example.net/de/8", "block org/es/"]
+    link = '<a href="http://bad.org/x">x</a>'
+    rows = [(1, "http://A.example.com/en/7?q", None), (2, "https://x.com/en/", None), (3, "http://bad.net/fr", None), (4, "http://farm.example.edu/", link), (5, "http://quiet.sample.edu/", ""), (6, None, None), (7, "no url", link), (8, "http://example.net/de/80", None), (9, "http://good.net/de/1", '<A HREF=http://friend.edu/>'), (10, "http://friend.edu", None), (11, "http://x.org#/es/", None), (12, "a://b://c/d", None), (13, "http://bad.org/es/1", None), (14, "http://bad.org/fr/1", None), (15, "http://sub.good.net/de/8", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in url_trust.judged(pages).collect()}
-    assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (1, 2, 3, 6, 7, 8, 9, 11, 12)] == [
-        ("a.example.com", "/en/7", "example.com/en/7", "allow"), ("x.com", "/en/", "com/en/", "block"), ("bad.net", "/fr", "net/", "block"), ("", "", None, "allow"), ("", "", None, "allow"),
-        ("example.net", "/de/80", "example.net/de/8", "block"), ("good.net", "/de/1", "net/de/", "allow"), ("x.org", "", None, "allow"), ("b:", "//c/d", None, "allow"),
+    assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (1, 2, 3, 6, 7, 8, 9, 11, 12, 13, 15)] == [
+        ("a.example.com", "/en/7", "example.com/en/7", "allow"), ("x.com", "/en/", "com/en/", "block"), ("bad.net", "/fr", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("example.net", "/de/80", "example.net/de/8", "block"), ("good.net", "/de/1", "net/de/", "allow"), ("x.org", "", None, "allow"), ("b:", "//c/d", None, "allow"), ("bad.org", "/es/1", "org/es/", "block"), ("sub.good.net", "/de/8", "net/de/", "allow"),
     ]
-    assert got[4].verdict == "block" and got[5].verdict == "allow" and got[10].verdict == "allow" and got[10].trust > 0
+    assert got[4].verdict == "block" and got[14].verdict == "block" and got[5].verdict == "allow" and got[10].verdict == "allow" and got[10].trust > 0
+    alone = {r.page_id: r for r in url_trust.judged(pages, parents=False).collect()}
+    assert alone[4].verdict == "block" and alone[10].trust > 0 and alone[5].distrust == 0
     assert url_trust.judged(pages.limit(0)).count() == 0
+    clash = url_trust.judged(pages.selectExpr("page_id", "url", "html", "'x' AS host", "1 AS trust", "2 AS many"))
+    assert clash.count() == len(rows) and clash.where("host = 'x'").isEmpty() and clash.where("many <> 2").isEmpty()
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 16])
+def test_propagation_equals_dense_algebra(spark, one_task):
+    """Two graphs at once, with hosts that link nowhere, seeds that link nowhere, and a chain that is longer than any fixed number of rounds."""
+    rng = np.random.default_rng(5)
+    graphs = {"trust": [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 12, 30), rng.integers(0, 15, 30), rng.integers(1, 5, 30)) if a != b], "distrust": [(i, i + 1, 1.0) for i in range(20)]}
+    seeds = {"trust": {0: 0.5, 3: 0.25, 14: 0.25}, "distrust": {0: 1.0}}
+    edges = spark.createDataFrame([(k, f"h{a}", f"h{b}", w) for k, es in graphs.items() for a, b, w in es], "kind string, src string, dst string, w double")
+    mass = spark.createDataFrame([(k, f"h{h}", m) for k, ms in seeds.items() for h, m in ms.items()], "kind string, host string, mass double")
+    got = {(r.kind, r.host): r.score for r in url_trust.propagate(edges, mass, tolerance=1e-4, one_task=one_task).collect()}
+    for kind, es in graphs.items():
+        n = 21
+        w, s = np.zeros((n, n)), np.zeros(n)
+        for a, b, x in es:
+            w[a, b] += x
+        for h, m in seeds[kind].items():
+            s[h] = m
+        walk = np.where(w.sum(1, keepdims=True) > 0, w / np.maximum(w.sum(1, keepdims=True), 1e-9), s)  # hosts without edges return to the seeds
+        want = np.linalg.solve(np.eye(n) - 0.85 * walk.T, 0.15 * s)
+        assert np.abs(want - [got.get((kind, f"h{i}"), 0.0) for i in range(n)]).sum() < 1e-3 and abs(want.sum() - 1) < 1e-9
 
 
 def test_lm_score_learns_from_everything(spark, monkeypatch):
