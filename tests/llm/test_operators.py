@@ -112,15 +112,40 @@ def test_secrets(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_forest_on_held_out_findings(spark):
-    docs = make(spark, [(i, f"{i} {BASE}") for i in range(400)]).withColumnRenamed("doc_id", "id")
-    made = secrets.bootstrap(docs).collect()
-    half = lambda k: spark.createDataFrame([r for i, r in enumerate(made) if (i // 11) % 2 == k])
-    forest = secrets.fit_forest(half(0))
-    held = half(1)
-    shown = held.select("label", *(v.alias(k) for k, v in secrets._features(*map(F.col, ("word", "before", "after", "path"))).items()))
-    right = forest.transform(shown).agg(F.avg((F.col("guess") == F.col("label")).cast("int"))).first()[0]
-    assert right > 0.97
+def test_secrets_of_kinds_that_no_template_has(spark):
+    """Precision and recall on keys and harmless strings whose shapes are not the templates'."""
+    rng = np.random.default_rng(8)
+    of = lambda chars, n: "".join(rng.choice(list(chars), n))
+    letters, alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {
+        "base64 with padding": lambda: f"SECRET_KEY_BASE: {of(alnum + '+/', 42)}==",
+        "short password": lambda: f"login with password: {of(letters, 5)}{rng.choice(list('!%&*?'))}{of('0123456789', 3)} please",
+        "letters only": lambda: f"api-key={of(letters, 28)}",
+        "upper case": lambda: f'ACCESS_KEY="{of("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 30)}"',
+        "url": lambda: f"redis://admin:{of(alnum, 9)}@cache.internal:6379/0",
+        "hexadecimal": lambda: f"export AUTH_TOKEN={of('0123456789abcdef', 48)}",
+    }
+    harmless = {
+        "commit": lambda: f"fixed in commit {of('0123456789abcdef', 40)} today",
+        "uuid": lambda: "-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "identifier": lambda: "see " + "".join(str(rng.choice(["Order", "Item", "Value", "Index", "Session", "Customer"])) for _ in range(4)) + " there",
+        "word after a credential word": lambda: f"password: {rng.choice(['required', 'string', 'default', 'value', 'name'])}",
+        "number": lambda: f"order {of('123456789', 18)} shipped",
+        "slug": lambda: "http://x.com/" + "-".join(str(rng.choice(["order", "item", "value", "index", "session"])) for _ in range(5)) + "-2024",
+    }
+    rows, kind_of = [], {}
+    for i, (k, f) in enumerate((k, f) for d in (kinds, harmless) for k, f in d.items() for _ in range(25)):
+        kind_of[i] = k
+        rows.append((i, f"{BASE}\n{f()}\n{BASE}", None))
+    found = secrets.scan(make(spark, rows, "doc_id long, text string, source string")).where("secret").collect()
+    caught = Counter(kind_of[i] for i in {r.doc_id for r in found})
+    assert all(caught[k] >= 20 for k in kinds) and all(caught[k] <= 2 for k in harmless)
+
+
+def test_secrets_on_nothing(spark):
+    for rows in ([], [(1, None, None), (1, "", ""), (1, "", ""), (None, "no candidate here", "x")]):
+        docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, source string, word string, n long")
+        assert secrets.scan(docs).count() == 0 and sorted(map(str, secrets.redacted(docs).collect())) == sorted(map(str, docs.collect()))
 
 
 def test_bpe_equals_the_library(spark, odd):
