@@ -1,381 +1,474 @@
-"""Text scoring by logistic context mixing over bits.
-
-A text is its words (A-Z lower-cased, each ended by a blank) and an end sign. Each bit of each byte is predicted by
-five hashed contexts of the word so far: its last one to four bytes and, for frequent words, all of it. Counts of
-every context come from all training words, as Spark sums them; tables grow with the vocabulary as far as a worker's
-memory goes, and are broadcast compressed. The predictions are mixed in the logistic domain by weights that a gate (how
-often the longest contexts were seen) selects, learned online over every training word with one occurrence of it taken
-out of the counts, and refined by adaptive probability maps; what the tasks learned is merged. The frozen mixer gives a word the same probability everywhere, so each distinct word is
-scored once. It is the distribution to which discounted word counts back off, one set of counts for each profile
-(language) of the training documents; a text's probability is the mean over profiles, so the weights of
-the profiles adapt to the text as it goes on.
+"""Text scoring by online logistic context mixing over bits.
+
+A text is a row of tokens: its words (A-Z lower-cased) and an end. Each token is a path of bits in a Huffman tree of the
+frequent words, the end and an escape; a word that the tree lacks follows its escape by its own bits. Each bit of a path is
+predicted by four contexts: the node alone, and the node hashed with the profile (language) that the words so far fit
+best, the last word, and the last two words. Counts of every
+context come from all training texts; tables grow with the training tokens up to a size that a worker holds.
+The predictions are mixed in the logistic domain by weights that a gate selects (how often the longer contexts were
+seen). Weights and adaptive probability maps are learned online over every training text, each task by itself,
+and merged; from there the weights go on adapting within each scored text, block by block, so that every bit is
+predicted from what comes before it alone. A word behind an escape takes a discounted share of its training count, or, if
+it is new, the discount's share times its spelling: the same kind of mixer over the bits of its bytes, with
+contexts of bytes, learned from all distinct words that the tree lacks.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged
 
-#: log2 of the slots of each context's smallest table: last byte, last two, three, four, whole word so far.
-TABLES = (16, 18, 20, 21, 22)
-PREFIX = len(TABLES) - 1
-AT = np.cumsum([0, *(1 << b for b in TABLES)])
-PART = 4096
-#: Distinct words up to which the smallest tables serve; they double with the vocabulary, GROWN times at most (480 MB of counts in a task).
-SMALL_VOCABULARY, GROWN = 1 << 21, 2
-#: The most frequent words, which are looked up without a shuffle (a few MB).
+#: Frequent words that the tree holds at most; they are looked up without a shuffle.
 HOT_WORDS = 1 << 16
-#: The most frequent words whose whole-word contexts the smallest tables hold; doubles with them.
-WHOLE_WORDS = 1 << 16
-GATES, BUCKETS = 8 * 4, 33
+#: log2 of the slots of a hashed table at most (three tables, 8 bytes a slot while learning, 3 while scoring).
+MOST_BITS = 23
+CONTEXTS, GATES, BUCKETS = 4, 16, 33
+#: Tokens after which the weights of a text are adapted; tokens and words that are expanded to bits at once.
+BLOCK, RUN = 64, 1 << 13
+#: Strength of the learned weights against what a text shows.
+HOLD = 400.0
+#: Slots that are packed together; distinct words that a task counts before it hands them on.
+PART, COUNTED = 1 << 16, 400_000
+#: Bytes of text whose tokens are held at once.
+TEXTS = 1 << 19
 END = "\n"
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-COUNTED = 400_000
-
-
-def grown(distinct: int) -> int:
-    """How often the tables double for a vocabulary."""
-    return min(max(math.ceil(math.log2(max(distinct, 1) / SMALL_VOCABULARY)), 0), GROWN)
+Bits = tuple[list[np.ndarray], np.ndarray]
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    p = 0x5851F42D4C957F2D
-    inverse = pow(p, -1, 1 << 64)
-    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)], dtype=np.uint64) for b in (p, inverse))
+def table_bits(events: int, least: int = 14, most: int = MOST_BITS) -> int:
+    """log2 of the slots of a hashed table for so many training tokens or words."""
+    return min(max(math.ceil(math.log2(max(events, 1))) - 2, least), most)
+
+
+class Tree:
+    """A Huffman tree of hot words (by their counts), an escape and the end: paths of nodes and bits."""
+
+    def __init__(self, words: list[bytes], counts: list[int], escaped: int, ends: int, profiles: np.ndarray):
+        # log P(word | profile) by leaf; the escape and the end tell nothing
+        self.profiles = np.log((profiles + 0.1) / (profiles.sum(0) + 0.1 * max(len(words), 1))).astype(np.float32)
+        self.profiles = np.concatenate([self.profiles - self.profiles.mean(1, keepdims=True), np.zeros((2, profiles.shape[1]), np.float32)])
+        self.place = {w: i for i, w in enumerate(words)}
+        self.escape, self.end = len(words), len(words) + 1
+        self.counts = np.array([*counts, 0, ends], float)
+        heap = [(max(c, 1), i) for i, c in enumerate([*counts, escaped, ends])]
+        heapq.heapify(heap)
+        up = np.zeros(2 * len(heap) - 1, np.int64)
+        side, node = np.zeros(len(up), np.uint8), len(heap)
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i] = up[j] = node
+            side[j] = 1
+            heapq.heappush(heap, (a + b, node))
+            node += 1
+        self.nodes = len(words) + 1
+        at, bit = [], []
+        starts = [0]
+        for leaf in range(len(words) + 2):
+            path = []
+            while leaf != node - 1:
+                path.append((up[leaf] - self.nodes - 1, side[leaf]))
+                leaf = up[leaf]
+            for n, b in reversed(path):
+                at.append(n)
+                bit.append(b)
+            starts.append(len(at))
+        self.start, self.at, self.bit = np.array(starts), np.array(at, np.int64), np.array(bit, np.uint8)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf and hash of each word, and of the end."""
+        place, escape = self.place, self.escape
+        leaf = np.fromiter((place.get(w, escape) for w in words), np.int64, len(words))
+        hashes = np.zeros(len(words) + 1, np.uint64)
+        known = leaf < escape
+        hashes[:-1][known] = self.hashes[leaf[known]]
+        for i in np.flatnonzero(~known).tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(words[i])
+        return np.append(leaf, self.end), hashes
+
+    def contexts(self, leaf: np.ndarray, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each token, at `place` in its text: hashes of the profile so far, the last word, and the last two words."""
+        n = len(leaf)
+        out = np.empty((3, n), np.uint64)
+        total = np.cumsum(self.profiles[leaf], axis=0, dtype=np.float64)
+        total = np.concatenate([np.zeros((1, total.shape[1])), total])
+        profile = np.where(place > 0, (total[:-1] - total[np.arange(n) - place]).argmax(1) + 1, 0)
+        out[0] = profile.astype(np.uint64) * M3 + M2
+        mixed = np.full(n, M2)
+        for k in (1, 2):
+            before = np.concatenate([np.zeros(min(k, n), np.uint64), hashes[:-k]])
+            mixed = (mixed ^ np.where(place >= k, before, np.uint64(k))) * M1
+            mixed ^= mixed >> np.uint64(31)
+            out[k] = mixed
+        return out
+
+    def bits(self, leaf: np.ndarray, contexts: np.ndarray, size: int) -> tuple[np.ndarray, *Bits]:
+        """For every bit of the tokens: token, slots in the four tables, bit."""
+        n = self.start[leaf + 1] - self.start[leaf]
+        token = np.repeat(np.arange(len(leaf)), n)
+        at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + self.start[leaf][token]
+        node = self.at[at]
+        return token, [node, *_hashed(contexts, token, node, self.sizes(size))], self.bit[at]
+
+    def sizes(self, size: int) -> list[int]:
+        """Slots of the four tables."""
+        return [self.nodes, *[1 << size] * 3]
+
+
+def _hashed(contexts: np.ndarray, of: np.ndarray, node: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Slots of hashed contexts, each table behind the ones before it."""
+    out, at = [], sizes[0]
+    step = node.astype(np.uint64) * M3
+    for c, n in zip(contexts, sizes[1:]):
+        out.append((((c[of] + step) * M2) >> np.uint64(65 - int(n).bit_length())).astype(np.int64) + at)
+        at += n
+    return out
+
+
+SPELLED = [1 << 16]
 
 
-def _bits(words: list[bytes], more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every bit of every word and its end: word number, node in the byte's tree, bit, and each context's slot (tables doubled `more` times)."""
+def spelling(words: list[bytes], size: int) -> tuple[np.ndarray, *Bits]:
+    """For every bit of every word and its end: word, slots (the last byte; the last two, the last three, the word so far), bit."""
     flat = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), size)
-    start = np.repeat(np.cumsum(size) - size, size)
-    place = np.arange(len(flat)) - start
-    byte = flat.astype(np.uint64)
-    contexts, last = [], np.zeros(len(flat), np.uint64)
-    for k in range(1, PREFIX + 1):
-        before = np.r_[np.zeros(k, np.uint64), byte[:-k]][: len(flat)]
-        last = last | np.where(place >= k, before, 0).astype(np.uint64) << np.uint64(8 * (k - 1))
-        contexts.append(last * M1)
-    up, down = _powers(1 << max(20, int(len(flat)).bit_length()))
-    total = np.r_[np.uint64(0), np.cumsum((byte + np.uint64(1)) * up[: len(flat)], dtype=np.uint64)]
-    contexts.append((total[:-1] - total[start]) * down[start] * M1 + M3)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    word = np.repeat(np.arange(len(words)), length)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    last = [np.where(place >= k, np.concatenate([np.zeros(min(k, len(flat)), np.uint8), flat[:-k]]), 0).astype(np.uint64) for k in (1, 2, 3)]
+    two = last[0] | last[1] << np.uint64(8)
+    # the word so far: sums of its bytes times odd powers, each place with its own
+    power = (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * M1
+    power = (power ^ power >> np.uint64(29)) * M3
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
+    sofar = total[:-1] - total[np.arange(len(flat)) - place]
+    contexts = np.stack([two * M1 + np.uint64(2), (two | last[2] << np.uint64(16)) * M1 + np.uint64(3), (sofar ^ sofar >> np.uint64(31)) * M1 + np.uint64(4)])
     shift = np.arange(8, dtype=np.uint64)
-    node = (np.uint64(1) << shift) | byte[:, None] >> (np.uint64(8) - shift)
-    bit = (byte[:, None] >> (np.uint64(7) - shift) & np.uint64(1)).astype(np.uint8)
-    slots = [(((c[:, None] + node * M3) * M2) >> np.uint64(64 - b - more)).astype(np.int64).ravel() for c, b in zip(contexts, TABLES)]
-    return np.repeat(word, 8), node.astype(np.int64).ravel(), bit.ravel(), slots
-
-
-def _groups(words: list[bytes], limit: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of words of about `limit` bytes, with the place of each run."""
-    at, size = 0, 0
-    for i, w in enumerate(words):
-        size += len(w) + 1
-        if size >= limit:
-            yield at, words[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(words):
-        yield at, words[at:]
-
-
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
-def _prepared(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mixer's input for each slot, and how often it was seen (log2)."""
-    return np.log((ones + 0.2) / (zeros + 0.2)), np.minimum(np.ceil(np.log2(zeros + ones + 1)), 30).astype(np.uint8)
-
-
-class Mixer:
-    """counts: (2, slots) of zeros and ones seen; weights by gate; hits and tries of the adaptive probability maps."""
-
-    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, maps: np.ndarray | None = None, more: int = 0):
-        self.counts, self.more, self.at = counts, more, AT << more
-        self.slope = np.zeros((GATES, len(TABLES), len(TABLES)))
-        self.weights = np.full((GATES, len(TABLES)), 0.3) if weights is None else weights
-        self.maps = np.zeros((2, 256, BUCKETS)) if maps is None else maps
-        self.inputs = self.seen = None
-
-    def _lookup(self, slots: list[np.ndarray], bit: np.ndarray | None, whole: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Inputs and gate. With `bit`, one occurrence of it is taken out of the counts first (of whole words: where they are counted)."""
-        inputs, seen = [], []
-        if bit is None and self.inputs is None:
-            self.inputs, self.seen = _prepared(*self.counts.astype(np.float32))
-        for i, slot in enumerate(slots):
-            slot = slot + self.at[i]
-            if bit is None:
-                inputs.append(self.inputs[slot])
-                seen.append(self.seen[slot])
-                continue
-            zeros, ones = self.counts[0, slot].astype(float), self.counts[1, slot].astype(float)
-            own = 1.0 if i < PREFIX else whole
-            zeros, ones = np.maximum(zeros - own * (bit == 0), 0), np.maximum(ones - own * (bit == 1), 0)
-            x, often = _prepared(zeros, ones)
-            inputs.append(x)
-            seen.append(often)
-        gate = np.minimum((seen[PREFIX] + 1) // 2, 7).astype(np.int64) * 4 + np.minimum(seen[PREFIX - 1] // 3, 3)
-        return inputs, gate
-
-    def _mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        weights = self.weights.astype(np.float32)
-        return np.clip(sum(weights[gate, i] * x for i, x in enumerate(inputs)), -16, 16)
-
-    def _refine(self, st: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The mean of the mixed probability and what the maps saw of bits with this node and about this probability."""
-        p = 1 / (1 + np.exp(-st.astype(float)))
-        at = np.rint(st + 16).astype(np.int64)
-        hits, tries = self.maps[0, node, at], self.maps[1, node, at]
-        return (p + (hits + 20 * p) / (tries + 20)) / 2
-
-    def fit(self, words: list[bytes], whole: np.ndarray) -> None:
-        """An online pass in small batches, each a damped Newton step for every gate; `whole` tells which words' whole contexts are counted."""
-        slope = self.slope
-        for at, part in _groups(words, 1 << 13):
-            word, node, bit, slots = _bits(part, self.more)
-            inputs, gate = self._lookup(slots, bit, whole[at : at + len(part)][word])
-            st = self._mix(inputs, gate)
-            p = 1 / (1 + np.exp(-st.astype(float)))
-            np.add.at(self.maps, (0, node, np.rint(st + 16).astype(np.int64)), bit)
-            np.add.at(self.maps, (1, node, np.rint(st + 16).astype(np.int64)), 1)
-            slope *= 0.98
-            step = np.empty((GATES, len(inputs)))
-            for i, x in enumerate(inputs):
-                step[:, i] = np.bincount(gate, (bit - p) * x, GATES)
-                for j in range(i + 1):
-                    slope[:, i, j] += np.bincount(gate, p * (1 - p) * x * inputs[j], GATES)
-                    slope[:, j, i] = slope[:, i, j]
-            self.weights += np.linalg.solve(slope + 20 * np.eye(len(inputs)), step[:, :, None])[:, :, 0]
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        out = np.zeros(len(words))
-        for at, part in _groups(words):
-            word, node, bit, slots = _bits(part, self.more)
-            p = self._refine(self._mix(*self._lookup(slots, None, None)), node)
-            out[at : at + len(part)] = np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), len(part))
-        return out
+    byte = flat.astype(np.uint64)[:, None]
+    node = ((np.uint64(1) << shift) | byte >> (np.uint64(8) - shift)).astype(np.int64).ravel()
+    bit = (byte >> (np.uint64(7) - shift) & np.uint64(1)).astype(np.uint8).ravel()
+    of = np.repeat(np.arange(len(flat)), 8)
+    return word[of], [last[0].astype(np.int64)[of] << 8 | node, *_hashed(contexts, of, node, [*SPELLED, *[1 << size] * 3])], bit
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A block of counts, by byte planes, as most are small."""
-    return zlib.compress(counts.reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+_SMALL = np.arange(64)
+_LOGS = np.log((_SMALL[:, None] + 0.2) / (_SMALL[None, :] + 0.2)).astype(np.float32).ravel()
+_SEEN = np.ceil(np.log2(_SMALL[:, None] + _SMALL[None, :] + 1)).astype(np.uint8).ravel()
 
 
-def _unpacked(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(2, -1)
+def prepared(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts (ones in the upper half, zeros in the lower): the mixer's input, and how often the slot was seen (log2)."""
+    at = ((counts >> np.uint64(26)) | counts) & np.uint64(4095)
+    x, seen = _LOGS.take(at), _SEEN.take(at)
+    large = np.flatnonzero(counts & np.uint64(0xFFFFFFC0FFFFFFC0))
+    if len(large):
+        zeros, ones = (counts[large] & np.uint64(0xFFFFFFFF)).astype(float), (counts[large] >> np.uint64(32)).astype(float)
+        x[large] = np.log((ones + 0.2) / (zeros + 0.2))
+        seen[large] = np.ceil(np.log2(zeros + ones + 1))
+    return x, seen
 
 
-def _learn_counts(vocabulary: DataFrame, more: int = 0) -> dict[int, bytes]:
-    """Zeros and ones of all slots, summed over (word, c, whole), as packed blocks; whole-word contexts take the words so marked."""
-    at_table, size = AT << more, int(AT[-1]) << more
+def gate_of(seen: list[np.ndarray]) -> np.ndarray:
+    return np.minimum((seen[2].astype(np.int64) + 1) >> 2, 3) * 4 + np.minimum(seen[3], 3)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size), np.uint64)
-        flat = counts.reshape(-1)
-        for batch in batches:
-            words = [w.encode() for w in batch.column(0).to_pylist()]
-            times, whole = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for at, part in _groups(words):
-                word, _, bit, slots = _bits(part, more)
-                c, there = times[at : at + len(part)][word], bit * np.int64(size)
-                for i, slot in enumerate(slots):
-                    np.add.at(flat, there + at_table[i] + slot, c if i < PREFIX else c * whole[at : at + len(part)][word])
-        for i in range(0, size, PART):
-            block = counts[:, i : i + PART]
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // PART], pa.int32()), pa.array([_packed(np.ascontiguousarray(block))])], names=["block", "counts"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, x in zip(*(c.to_pylist() for c in batch.columns)):
-                held[i] = held[i] + _unpacked(x) if i in held else _unpacked(x)
-        for i, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(x)])], names=["block", "counts"])
+def mixed(weights: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mix in the logistic domain of rows with their weights, and its probability."""
+    st = np.clip(sum(weights[:, i] * v for i, v in enumerate(x)), -16, 16)
+    return st, 1 / (1 + np.exp(-st))
+
 
-    parts = vocabulary.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary")
-    return {r.block: bytes(r.counts) for r in parts.toLocalIterator()}  # bounded by the largest tables, a few bytes a used slot
+class Learner:
+    """What one task learns: counts of all slots, weights by gate with their slopes, hits and tries of the maps."""
 
+    def __init__(self, slots: int):
+        self.counts = np.zeros(slots, np.uint64)  # two counts of 32 bits each
+        self.weights, self.slope, self.maps, self.n = np.full((GATES, CONTEXTS), 0.35, np.float32), np.full(GATES, 20.0), np.zeros((2, GATES, BUCKETS)), 0
 
-def _fitted(vocabulary: DataFrame, blocks: Broadcast, more: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and maps learned from all words of (word, whole): the tasks' weights as a mean by their slopes, their maps summed."""
+    def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
+        """Predicts the bits from what was seen before, moves the weights of each gate against the error, then counts the bits."""
+        x, seen = zip(*(prepared(self.counts.take(s)) for s in slots))
+        gate = gate_of(seen)
+        st, p = mixed(self.weights[gate], x)
+        error, spread = bit - p, p * (1 - p)
+        step = np.stack([np.bincount(gate, error * v, GATES) for v in x], axis=1)
+        self.slope = 0.995 * self.slope + np.bincount(gate, spread * sum(v * v for v in x), GATES)
+        self.weights += (step / (self.slope + 20)[:, None]).astype(np.float32)
+        at = gate * BUCKETS + np.rint(st + 16).astype(np.int64)
+        self.maps[0] += np.bincount(at, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
+        self.maps[1] += np.bincount(at, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
+        flat = self.counts.view(np.uint32)
+        for s in slots:
+            np.add.at(flat, s * 2 + bit, np.uint32(1))
+        self.n += len(bit)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = None
+
+class Model:
+    """Prepared tables of all slots, the learned weights, and the maps."""
+
+    def __init__(self, inputs: np.ndarray, seen: np.ndarray, weights: np.ndarray, maps: np.ndarray):
+        self.inputs, self.seen, self.weights, self.maps = inputs, seen, weights.astype(np.float32), maps
+
+    def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        return [self.inputs.take(s).astype(np.float32) for s in slots], gate_of([self.seen.take(s) for s in slots])
+
+    def refined(self, p: np.ndarray, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The mean of the mixed probability and what the maps saw of bits with this gate and about this mix."""
+        at = np.rint(st + 16).astype(np.int64)
+        return (p + (self.maps[0, gate, at] + 20 * p) / (self.maps[1, gate, at] + 20)) / 2
+
+    def frozen(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+        """log10 probability of each bit, without adapting."""
+        x, gate = self.look(slots)
+        st, p = mixed(self.weights[gate], x)
+        p = self.refined(p.astype(float), st, gate)
+        return np.log10(np.where(bit == 1, p, 1 - p))
+
+    def score(self, tree: Tree, texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """log10 probability of each text (leaves, hashes); its weights start as learned and adapt after every BLOCK tokens.
+
+        All texts take a block at a time together: the longest come first, so that those that go on are the first ones.
+        """
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        length = np.array([len(texts[i][0]) for i in order])
+        leaf, hashes = (np.concatenate([texts[i][k] for i in order]) for k in (0, 1))
+        text = np.repeat(np.arange(len(order)), length)
+        place = np.arange(len(leaf)) - np.repeat(np.cumsum(length) - length, length)
+        contexts = tree.contexts(leaf, hashes, place)
+        by_block = np.argsort(place // BLOCK, kind="stable")
+        ends = np.cumsum(np.bincount(place // BLOCK))
+        weights = np.repeat(self.weights[None], len(order), axis=0).reshape(-1, CONTEXTS)
+        slope = np.full(len(weights), HOLD)
+        out, first = np.zeros(len(order)), 0
+        while first < len(ends):
+            # blocks of about RUN tokens are expanded to bits at once
+            begin = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begin + RUN)))
+            some = by_block[begin : ends[last - 1]]
+            token, slots, bit = tree.bits(leaf[some], contexts[:, some], size)
+            x, gate = self.look(slots)
+            of = text[some][token]
+            row = of * GATES + gate
+            cuts = np.searchsorted(token, ends[first:last] - begin)
+            for a, b in zip([0, *cuts[:-1]], cuts):
+                part, now, v = slice(a, b), row[a:b], [y[a:b] for y in x]
+                st, p = mixed(weights[now], v)
+                fine = self.refined(p.astype(float), st, gate[part])
+                n = (int(of[b - 1]) + 1 if b > a else 0) * GATES  # the texts that go on are the first ones
+                out[: n // GATES] += np.bincount(of[part], np.log10(np.where(bit[part] == 1, fine, 1 - fine)), n // GATES)
+                error = bit[part] - p
+                slope[:n] += np.bincount(now, p * (1 - p) * sum(y * y for y in v), n)
+                for i, y in enumerate(v):
+                    weights[:n, i] += np.bincount(now, error * y, n) / slope[:n]
+            first = last
+        back = np.empty(len(order))
+        back[order] = out
+        return back
+
+
+def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slots: int) -> Model:
+    """The merged model of all rows of a column, which `stream` turns into runs of (slots, bit)."""
+    named = lambda block, data: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = None
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for i in range(0, slots, PART):
+                block = learner.counts[i : i + PART]
+                if block.any():  # by byte planes, as most counts are small
+                    yield named(i // PART, zlib.compress(np.ascontiguousarray(block.view(np.uint8).reshape(-1, 8).T).tobytes(), 1))
+            yield named(-1 - TaskContext.get().partitionId(), pickle.dumps((learner.weights, learner.slope, learner.maps)))
+
+        for batch in batches:
+            for part in stream(batch.column(0)):
+                learner = learner or Learner(slots)
+                learner.learn(*part)
+                if learner.n > 3 << 30:  # before a count could overflow
+                    yield from handed()
+                    learner.counts[:], learner.maps[:], learner.n = 0, 0, 0
+        if learner:
+            yield from handed()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            if mixer is None:
-                counts = np.zeros((2, int(AT[-1]) << more), np.uint64)
-                for i, block in blocks.value.items():
-                    counts[:, i * PART : (i + 1) * PART] = _unpacked(block)
-                mixer = Mixer(counts, more=more)
-            mixer.fit([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        if mixer:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (mixer.weights, mixer.slope, mixer.maps)], names=["weights", "slope", "maps"])
-
-    start = Mixer(None)
-    slope, pull, maps = 20 * np.eye(len(TABLES)) + start.slope, 20 * start.weights, start.maps
-    for row in vocabulary.mapInArrow(fit, "weights binary, slope binary, maps binary").toLocalIterator():
-        s = np.frombuffer(row.slope).reshape(slope.shape)
-        slope, pull = slope + s, pull + (s @ np.frombuffer(row.weights).reshape(GATES, -1, 1))[:, :, 0]
-        maps = maps + np.frombuffer(row.maps).reshape(maps.shape)
-    return np.linalg.solve(slope, pull[:, :, None])[:, :, 0], maps
-
-
-_mixers: dict[int, Mixer] = {}
-
-
-def _mixer(blocks: Broadcast, weights: np.ndarray, maps: np.ndarray, more: int) -> Mixer:
-    """The model's tables, prepared once for each worker."""
-    key = id(blocks.value)
-    if key not in _mixers:
-        _mixers.clear()
-        mixer = Mixer(None, weights, maps, more)
-        mixer.inputs, mixer.seen = np.zeros(int(AT[-1]) << more, np.float32), np.zeros(int(AT[-1]) << more, np.uint8)
-        for i, block in blocks.value.items():
-            at = slice(i * PART, (i + 1) * PART)
-            mixer.inputs[at], mixer.seen[at] = _prepared(*_unpacked(block).astype(np.float32))
-        _mixers[key] = mixer
-    return _mixers[key]
-
-
-def _profiles(docs: DataFrame) -> list[str]:
-    """All values of the profile column, the most frequent first: each becomes a column of counts."""
-    rows = docs.groupBy("profile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "profile").collect()
-    return [r.profile for r in rows] or [""]
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile_col: str | None = None) -> DataFrame:
+            for i, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if i < 0:
+                    yield named(i, data)
+                    continue
+                counts = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u4").reshape(-1, 2)
+                if i in held:
+                    held[i] += counts
+                else:
+                    held[i] = counts.astype(np.uint64)
+        for i, counts in held.items():
+            # sums beyond 32 bits are halved together: what the mixer takes is their ratio
+            counts >>= np.maximum(np.ceil(np.log2(counts.max(1) + 1.0)) - 32, 0).astype(np.uint64)[:, None]
+            x, seen = prepared(counts[:, 0] | counts[:, 1] << np.uint64(32))
+            yield named(i, zlib.compress(x.astype("<f2").tobytes() + seen.tobytes(), 1))
+
+    inputs, seen = np.zeros(slots, np.float16), np.zeros(slots, np.uint8)
+    slope, pull, maps = np.full(GATES, 20.0), np.full((GATES, CONTEXTS), 0.35 * 20), np.zeros((2, GATES, BUCKETS))
+    parts = rows.mapInArrow(learn, "block int, data binary").repartition("block").mapInArrow(merge, "block int, data binary")
+    for row in parts.toLocalIterator():  # bounded by the tables' size; the tasks' weights are a few KB each
+        if row.block < 0:
+            w, s, m = pickle.loads(row.data)
+            slope, pull, maps = slope + s, pull + w * s[:, None], maps + m
+        else:
+            data, at = zlib.decompress(row.data), row.block * PART
+            n = len(data) // 3
+            inputs[at : at + n], seen[at : at + n] = np.frombuffer(data[: 2 * n], "<f2"), np.frombuffer(data[2 * n :], np.uint8)
+    return Model(inputs, seen, pull / slope[:, None], maps)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts by profile, texts' ends among them, summed over runs of texts."""
+    seen: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for name, words in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], names=["profile", "word", "c"])
+        seen.clear()
+
+    for batch in batches:
+        names, at = batch.column(1).to_pylist(), 0
+        for texts in slices(batch.column(0)):
+            for name, text in zip(names[at:], texts):
+                words = seen.setdefault(name, Counter())
+                words.update(words_of(text))
+                words[END.encode()] += 1
+            at += len(texts)
+            if sum(map(len, seen.values())) > COUNTED:
+                yield from flush()
+    yield from flush()
+
+
+def frequent(counted: DataFrame, most: int = HOT_WORDS) -> DataFrame:
+    """The rows (word, c) of the most frequent words: all with at least the count from which on they are `most` at most."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r.s: r.n for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()}  # at most 16 * 63 rows
+    least, total = max(sizes, default=0) + 1, 0
+    for s in sorted(sizes, reverse=True):
+        total += sizes[s]
+        if total > most:
+            break
+        least = s
+    return counted.where(step >= least)
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile_col: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
     """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs.
 
     Tokens are the words and one end. Documents whose crc32 of the id as text is 1 modulo 5 are held out; the rest
     is learned from. base_score is the log10 probability under add-one-half unigram counts, score that under
     the model. profile_col, if given, parts the training documents' word counts (null: the empty profile); it is
     not looked at in scoring. Null text has no words. Repeated rows count each; rows without an id are scored, not
-    learned from, and not held out. Other columns are not read.
+    learned from, and not held out. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     profile = F.coalesce(F.col(f"`{profile_col}`").cast("string"), F.lit("")) if profile_col else F.lit("")
     box = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), profile.alias("profile"))
-    training = box.where(F.crc32(F.col("id").cast("string")) % 5 != 1)
-    profiles = _profiles(training)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, words in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], names=["profile", "word", "c"])
-            seen.clear()
-
-        for batch in batches:
-            names, at = batch.column(1).to_pylist(), 0
-            for texts in slices(batch.column(0)):
-                for name, text in zip(names[at:], texts):
-                    words = seen.setdefault(name, Counter())
-                    words.update(words_of(text))
-                    words[END.encode()] += 1
-                at += len(texts)
-                if sum(map(len, seen.values())) > COUNTED:
-                    yield from flush()
-        yield from flush()
-
-    ns = [f"n{i}" for i in range(len(profiles))]
-    counted = training.select("text", "profile").mapInArrow(count, "profile string, word string, c long").groupBy("word")
-    counted = staged(counted.agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("profile") == p, F.col("c")).otherwise(0)).alias(n) for n, p in zip(ns, profiles))), "words")
-    stats = [f(n) for n in ns for f in (F.sum, lambda n: F.count_if(F.col(n) > 0), lambda n: F.count_if(F.col(n) == 1), lambda n: F.count_if(F.col(n) == 2))]
-    total, distinct, *stats = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *stats).first()
+    training = box.where(F.crc32(F.col("id").cast("string")) % 5 != 1).select("text", "profile")
+    by_profile = training.mapInArrow(_counts, "profile string, word string, c long").groupBy("word", "profile").agg(F.sum("c").alias("c"))
+    by_profile = staged(by_profile, "profiles")
+    counted = staged(by_profile.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = total + 0.5 * (distinct + 1)
-    vocabulary, more = counted, grown(distinct)
-    for flag, most in (("hot", HOT_WORDS), ("whole", WHOLE_WORDS << more)):
-        top = counted.orderBy(F.desc("c"), "word").limit(most).select("word", F.lit(True).alias(flag))
-        vocabulary = vocabulary.join(F.broadcast(top), "word", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    vocabulary = staged(vocabulary, "vocabulary")
-    blocks = spark.sparkContext.broadcast(_learn_counts(vocabulary.select("word", "c", "whole"), more))
-    fitted = _fitted(vocabulary.select("word", "whole"), blocks, more)
+
+    hot = frequent(counted.where(F.col("word") != END), hot_words).orderBy(F.desc("c"), "word").collect()  # hot_words at most
+    listed = F.broadcast(spark.createDataFrame([(r.word,) for r in hot], "word string"))
+    place, names = {r.word: i for i, r in enumerate(hot)}, [r.profile for r in training.select("profile").distinct().orderBy("profile").collect()]
+    shares = np.zeros((len(hot), max(len(names), 1)))
+    for r in by_profile.join(listed, "word", "left_semi").toLocalIterator():
+        shares[place[r.word], names.index(r.profile)] = r.c
+    ends = counted.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    rest = counted.where(F.col("word") != END)
+    rest = rest.join(listed, "word", "left_anti")
+    n_rare, kinds, once, twice = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    tree, size, spelled_size = Tree([r.word.encode() for r in hot], [r.c for r in hot], n_rare, ends, shares), table_bits(total), table_bits(8 * kinds)
+    sent = spark.sparkContext.broadcast(tree)
+
+    def read(batch: pa.Array) -> Iterator[Bits]:
+        for texts in slices(batch, TEXTS):
+            tokens = [sent.value.tokens(words_of(t)) for t in texts]
+            leaf, hashes = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
+            place = np.concatenate([np.arange(len(t[0])) for t in tokens])
+            contexts = sent.value.contexts(leaf, hashes, place)
+            for i in range(0, len(leaf), RUN):
+                yield sent.value.bits(leaf[i : i + RUN], contexts[:, i : i + RUN], size)[1:]
+
+    def spell(batch: pa.Array) -> Iterator[Bits]:
+        for words in slices(batch, 1 << 14):
+            yield spelling([w.encode() for w in words], spelled_size)[1:]
+
+    model = spark.sparkContext.broadcast(_learned(training.select("text"), read, sum(tree.sizes(size))))
+    speller = spark.sparkContext.broadcast(_learned(rest.select("word"), spell, SPELLED[0] + 3 * (1 << spelled_size)))
 
     @F.arrow_udf("double")
-    def mixed(words: pa.Array) -> pa.Array:
-        some = [w.as_py().encode() for w in words if w.is_valid]
-        scores = iter(_mixer(blocks, *fitted, more).score(some).tolist())
-        return pa.array([next(scores) if w.is_valid else None for w in words], pa.float64())
-
-    # log10 P(word) by profile: discounted counts, and the discount's share by the mixer
-    lps = [f"lp{i}" for i in range(len(profiles))]
-
-    def backed_off(n: Column, spelled: Column, size: int, kinds: int, once: int, twice: int) -> Column:
-        if not size:
-            return spelled
-        less = once / (once + 2 * twice) if once else 0.5
-        share = less * kinds / size
-        return F.when(n > 0, F.log10((n - less) / size + share * F.pow(F.lit(10.0), spelled))).otherwise(math.log10(share) + spelled)
-
-    by_profile = [tuple(int(x or 0) for x in stats[4 * i : 4 * i + 4]) for i in range(len(profiles))]
-    prior = [math.log10(max(s[0], 1) / max(total, 1)) for s in by_profile]
-    known = vocabulary.withColumn("spelled", mixed("word"))
-    known = staged(known.select("word", "c", "hot", *(backed_off(F.col(n), F.col("spelled"), *s).alias(lp) for n, s, lp in zip(ns, by_profile, lps))), "scored")
-    frequent = known.where("hot").select("word", "c", *lps).collect()  # HOT_WORDS at most
-    frequent = spark.sparkContext.broadcast(({r.word.encode(): i for i, r in enumerate(frequent)}, np.array([tuple(r)[1:] for r in frequent], float).reshape(-1, 1 + len(lps))))
+    def spelled(words: pa.Array) -> pa.Array:
+        out = np.zeros(len(words))
+        at = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+        for part in slices(words.drop_null(), 1 << 14):
+            of, slots, bit = spelling([w.encode() for w in part], spelled_size)
+            out[at[: len(part)]] = np.bincount(of, speller.value.frozen(slots, bit), len(part))
+            at = at[len(part) :]
+        return pa.array(out, pa.float64())
+
+    # P(word | escape): a discounted count, or the discount's share by the word's spelling
+    less = once / (once + 2 * twice) if once else 0.5
+    known = F.log10((F.col("c") - less) / max(n_rare, 1))
+    new = math.log10(less * kinds / n_rare) if n_rare else 0.0
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (place, table), key = frequent.value, TaskContext.get().partitionId() << 40
-        table = np.concatenate([np.log10(table[:, :1] + 0.5), table[:, 1:]], axis=1)
+        key, tree = TaskContext.get().partitionId() << 40, sent.value
+        logs = np.log10(tree.counts + 0.5)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1)):
-                rows = []
-                for text in texts:
-                    tokens = words_of(text)
-                    rare, where, known = [], [], []
-                    for w, n in [*Counter(tokens).items(), (END.encode(), 1)]:
-                        if (i := place.get(w)) is not None:
-                            where.append(i)
-                            known.append(n)
-                        else:
-                            rare.append((w.decode(), n))
-                    own = np.array(known, float) @ table[where] if known else np.zeros(table.shape[1])
-                    rows.append((key, len(tokens) + 1, sum(map(len, tokens)) + len(tokens) + 2, sum(known), *own.tolist(), [w for w, _ in rare], [n for _, n in rare]))
+            for texts in slices(batch.column(1), TEXTS):
+                words = [words_of(t) for t in texts]
+                tokens = [tree.tokens(w) for w in words]
+                path, rows = model.value.score(tree, tokens, size), []
+                for w, (leaf, _), p in zip(words, tokens, path.tolist()):
+                    rare = Counter(w[i] for i in np.flatnonzero(leaf == tree.escape).tolist())
+                    there = leaf != tree.escape
+                    rows.append((key, len(leaf), sum(map(len, w)) + len(w) + 1, int((tree.counts[leaf[there]] > 0).sum()), float(logs[leaf[there]].sum()), p, [x.decode() for x in rare], list(rare.values())))
                     key += 1
-                kinds = [pa.int64()] * 4 + [pa.float64()] * table.shape[1] + [pa.list_(pa.string()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["id", "key", "n_tokens", "size", "known", "base", *lps, "words", "times"])
+                types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), types))], names=["id", "key", "n_tokens", "size", "known", "base", "path", "words", "times"])
                 at += len(rows)
 
-    own = staged(box.select("id", "text").mapInArrow(sums, f"id long, key long, n_tokens long, size long, known long, base double, {', '.join(f'{x} double' for x in lps)}, words array<string>, times array<long>"), "documents")
+    own = staged(box.select("id", "text").mapInArrow(sums, "id long, key long, n_tokens long, size long, known long, base double, path double, words array<string>, times array<long>"), "documents")
     rare = own.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    rare = rare.join(known.where("NOT hot").drop("hot"), "word", "left").withColumn("spelled", mixed(F.when(F.col("c").isNull(), F.col("word"))))
-    rare = rare.select("key", "n", F.coalesce("c", F.lit(0)).alias("c"), *(F.coalesce(lp, backed_off(F.lit(0), F.col("spelled"), *s)).alias(lp) for lp, s in zip(lps, by_profile)))
-    more = {"known": F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)), "base": F.sum(F.col("n") * F.log10(F.col("c") + 0.5)), **{lp: F.sum(F.col("n") * F.col(lp)) for lp in lps}}
-    rare = rare.groupBy("key").agg(*(v.alias(f"{k}_r") for k, v in more.items()))
-    both = own.drop("words", "times").join(rare, "key", "left").na.fill(0, [f"{k}_r" for k in more])
-    both = both.withColumns({k: F.col(k) + F.col(f"{k}_r") for k in more})
-    joint = [F.col(lp) + p for lp, p in zip(lps, prior)]
-    top = F.greatest(*joint) if len(joint) > 1 else joint[0]
-    score = top + F.log10(reduce(lambda a, b: a + b, (F.pow(F.lit(10.0), x - top) for x in joint)))
+    rare = rare.join(rest, "word", "left").withColumn("spelled", spelled(F.when(F.col("c").isNull(), F.col("word"))))
+    chance = F.when(F.col("c").isNull(), new + F.col("spelled")).otherwise(known)
+    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("known_r"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_r"), F.sum(F.col("n") * chance).alias("path_r"))
+    both = own.drop("words", "times").join(rare, "key", "left").na.fill(0, ["known_r", "base_r", "path_r"])
+    score = F.col("path") + F.col("path_r")
     return both.select(
         F.col("id").alias(id_col),
         F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"),
         "n_tokens",
-        F.col("known").alias("n_known"),
+        (F.col("known") + F.col("known_r")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * math.log10(norm)).alias("base_score"),
+        (F.col("base") + F.col("base_r") - F.col("n_tokens") * math.log10(norm)).alias("base_score"),
         score.alias("score"),
         (-score * math.log2(10) / F.col("size")).alias("bits_per_byte"),
     )

@@ -221,15 +221,62 @@ def test_lm_score(spark, odd):
     assert lm_score.scored(make(spark, [], EMPTY)).count() == 0
 
 
+def small_model(rng, slots):
+    counts = rng.integers(0, 70, slots).astype(np.uint64) | rng.integers(0, 90, slots).astype(np.uint64) << np.uint64(32)
+    x, seen = lm_score.prepared(counts)
+    maps = rng.integers(1, 50, (2, lm_score.GATES, lm_score.BUCKETS)).astype(float)
+    return lm_score.Model(x.astype(np.float16), seen, rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.CONTEXTS)), np.minimum(maps, maps[1]))
+
+
+def small_tree(rng):
+    words = [f"w{i}".encode() for i in range(40)]
+    return lm_score.Tree(words, rng.integers(1, 100, 40).tolist(), 30, 7, rng.random((40, 3)))
+
+
 def test_mixer_is_a_distribution():
-    mixer = lm_score.Mixer(np.random.default_rng(0).integers(0, 3, (2, lm_score.AT[-1])).astype(np.uint32))
-    words = [bytes([a]) for a in range(1, 256) if a not in (9, 10, 11, 12, 13, 32)]
-    mixer.fit(words * 20, np.ones(len(words) * 20))
-    # first bytes: the chances of all first bytes sum to one
-    _, node, bit, slots = lm_score._bits([bytes([a]) for a in range(256)])
-    p = mixer._refine(mixer._mix(*mixer._lookup(slots, None, None)), node).reshape(256, 2, 8)[:, 0]
-    b = bit.reshape(256, 2, 8)[:, 0]
-    assert abs(np.where(b == 1, p, 1 - p).prod(axis=1).sum() - 1) < 1e-5
+    rng = np.random.default_rng(0)
+    tree = small_tree(rng)
+    model = small_model(rng, sum(tree.sizes(12)))
+    every = np.arange(tree.end + 1)
+    for context in rng.integers(0, 1 << 63, (5, 3)).astype(np.uint64):
+        token, slots, bit = tree.bits(every, np.repeat(context[:, None], len(every), axis=1), 12)
+        assert abs((10 ** np.bincount(token, model.frozen(slots, bit))).sum() - 1) < 1e-5
+    model = small_model(rng, lm_score.SPELLED[0] + (3 << 12))
+    word, slots, bit = lm_score.spelling([b"ab" + bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)] + [b"ab"], 12)
+    third = model.frozen(slots, bit)[np.arange(len(word)) - np.searchsorted(word, word) >= 16]
+    of = word[np.arange(len(word)) - np.searchsorted(word, word) >= 16]
+    chance = [10 ** third[of == w][:8].sum() for w in range(251)]
+    assert 0.9 < sum(chance) <= 1 + 1e-5  # all bytes but the white ones, and the word's end
+
+
+def test_score_equals_a_loop_over_bits():
+    """Each bit on its own, weights of the text moved after every block, in plain Python."""
+    rng = np.random.default_rng(6)
+    tree, size = small_tree(rng), 12
+    model = small_model(rng, sum(tree.sizes(size)))
+    texts = [[f"w{rng.integers(0, 44)}".encode() for _ in range(n)] for n in (0, 3, 63, 64, 65, 700, 200)]
+    got = model.score(tree, [tree.tokens(t) for t in texts], size)
+    for words, score in zip(texts, got):
+        leaf, hashes = tree.tokens(words)
+        contexts = tree.contexts(leaf, hashes, np.arange(len(leaf)))
+        weights, slope, total = model.weights.astype(float).copy(), np.full(lm_score.GATES, lm_score.HOLD), 0.0
+        for at in range(0, len(leaf), lm_score.BLOCK):
+            step, more = np.zeros_like(weights), np.zeros(lm_score.GATES)
+            for t in range(at, min(at + lm_score.BLOCK, len(leaf))):
+                _, slots, bits = tree.bits(leaf[t : t + 1], contexts[:, t : t + 1], size)
+                for k, bit in enumerate(bits.tolist()):
+                    x, seen = [float(model.inputs[s[k]]) for s in slots], [int(model.seen[s[k]]) for s in slots]
+                    g = min((seen[2] + 1) >> 2, 3) * 4 + min(seen[3], 3)
+                    st = min(max(sum(w * v for w, v in zip(weights[g], x)), -16), 16)
+                    p = 1 / (1 + np.exp(-st))
+                    hits, tries = model.maps[:, g, round(st + 16)]
+                    fine = (p + (hits + 20 * p) / (tries + 20)) / 2
+                    total += np.log10(fine if bit else 1 - fine)
+                    step[g] += (bit - p) * np.array(x)
+                    more[g] += p * (1 - p) * sum(v * v for v in x)
+            slope += more
+            weights += step / slope[:, None]
+        assert abs(total - score) < 1e-3 * max(1, abs(total))
 
 
 def lpc_frame(samples, coefs, shift):
@@ -329,20 +376,24 @@ def test_propagation_equals_dense_algebra(spark, one_task):
         assert np.abs(want - [got.get((kind, f"h{i}"), 0.0) for i in range(n)]).sum() < 1e-3 and abs(want.sum() - 1) < 1e-9
 
 
-def test_lm_score_learns_from_everything(spark, monkeypatch):
-    # tables and whole-word contexts grow with the vocabulary and are no smaller than they were before the disk was saved
-    assert lm_score.TABLES == (16, 18, 20, 21, 22) and lm_score.WHOLE_WORDS == 1 << 16
-    assert [lm_score.grown(n) for n in (0, 1 << 21, (1 << 21) + 1, 1 << 23, 1 << 40)] == [0, 0, 1, 2, 2]
-    # counts beyond 32 bits stay exact, whatever the partitions, and what the tasks learn is merged
-    words = make(spark, [("aa", 1 << 33, True), ("ab", 3, True)], "word string, c long, whole boolean").repartition(2)
-    blocks = lm_score._learn_counts(words, 1)
-    assert sum(int(lm_score._unpacked(b).sum()) for b in blocks.values()) == ((1 << 33) + 3) * 3 * 8 * 5
-    many = spark.range(3000).selectExpr("'w' || id AS word", "true AS whole").repartition(3)
-    _, maps = lm_score._fitted(many, spark.sparkContext.broadcast({}), 0)
-    assert maps[1].sum() == 8 * sum(len(f"w{i} ") for i in range(3000))
-    # every profile has counts of its own, the ninth too
-    rows = [(i, f"word{i % 12} of{i % 12} its{i % 12}", f"p{i % 12}") for i in range(120)]
-    assert len(lm_score._profiles(make(spark, rows, "id long, text string, profile string"))) == 12
+def test_lm_score_learns_from_everything(spark):
+    # tables grow with the corpus, up to what a worker holds
+    assert [lm_score.table_bits(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 40)] == [14, 16, 17, lm_score.MOST_BITS]
+    # counts are merged over tasks to the same tables, and every bit of every row is learned from
+    words = [f"w{i * 7919 % 1009}" for i in range(3000)]
+
+    def stream(batch):
+        for w in batch.to_pylist():
+            yield lm_score.spelling([w.encode()], 12)[1:]
+
+    rows = make(spark, [(w,) for w in words], "word string")
+    one, three = (lm_score._learned(rows.repartition(n), stream, lm_score.SPELLED[0] + (3 << 12)) for n in (1, 3))
+    assert (one.inputs == three.inputs).all() and (one.seen == three.seen).all()
+    assert one.maps[1].sum() == three.maps[1].sum() == 8 * sum(len(w) + 1 for w in words)
+    # the most frequent words are found without a sort of all
+    counted = make(spark, [(f"w{i}", i) for i in range(1, 2001)], "word string, c long")
+    some = [r.c for r in lm_score.frequent(counted, 100).collect()]
+    assert 0 < len(some) <= 100 and min(some) == 2001 - len(some)  # from a count on, in steps of a sixteenth of a doubling
 
 
 def test_url_trust_takes_links_without_a_scheme(spark):
