@@ -33,7 +33,7 @@ from .common import slices, staged
 
 #: Frequent words that the tree holds at most; they are looked up without a shuffle.
 HOT_WORDS = 1 << 16
-#: log2 of the slots of a hashed table at most (three tables, 8 bytes a slot while learning, 3 while scoring).
+#: log2 of the slots of a hashed table at most (three tables, 8 bytes a slot while learning, 2 while scoring).
 MOST_BITS = 23
 CONTEXTS, GATES, BUCKETS = 4, 16, 33
 #: Tokens after which the weights of a text are adapted; tokens and words that are expanded to bits at once.
@@ -189,12 +189,23 @@ def gate_of(seen: list[np.ndarray]) -> np.ndarray:
     return np.minimum((seen[2].astype(np.int64) + 1) >> 2, 3) * 4 + np.minimum(seen[3], 3)
 
 
-def mixed(weights: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The mix in the logistic domain of rows with their weights, and its probability."""
-    st = np.clip(sum(weights[:, i] * v for i, v in enumerate(x)), -16, 16)
+def mixed(weights: list[np.ndarray], x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mix in the logistic domain of columns of inputs with their weights, and its probability."""
+    st = weights[0] * x[0]
+    for w, v in zip(weights[1:], x[1:]):
+        st += w * v
+    np.clip(st, -16, 16, out=st)
     return st, 1 / (1 + np.exp(-st))
 
 
+#: Slots of a scoring table hold the mixer's input in steps of 1/64 and, in the lower five bits, how often they were seen.
+_STEPS = (np.arange(2048) / 64 - 16).astype(np.float32)
+
+
+def packed(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (np.clip(np.rint((x + 16) * 64), 0, 2047).astype(np.uint16) << np.uint16(5)) | np.minimum(seen, 31)
+
+
 class Learner:
     """What one task learns: counts of all slots, weights by gate with their slopes, hits and tries of the maps."""
 
@@ -206,7 +217,7 @@ class Learner:
         """Predicts the bits from what was seen before, moves the weights of each gate against the error, then counts the bits."""
         x, seen = zip(*(prepared(self.counts.take(s)) for s in slots))
         gate = gate_of(seen)
-        st, p = mixed(self.weights[gate], x)
+        st, p = mixed([w.take(gate) for w in self.weights.T.copy()], x)
         error, spread = bit - p, p * (1 - p)
         step = np.stack([np.bincount(gate, error * v, GATES) for v in x], axis=1)
         self.slope = 0.995 * self.slope + np.bincount(gate, spread * sum(v * v for v in x), GATES)
@@ -223,23 +234,27 @@ class Learner:
 class Model:
     """Prepared tables of all slots, the learned weights, and the maps."""
 
-    def __init__(self, inputs: np.ndarray, seen: np.ndarray, weights: np.ndarray, maps: np.ndarray):
-        self.inputs, self.seen, self.weights, self.maps = inputs, seen, weights.astype(np.float32), maps
+    def __init__(self, table: np.ndarray, weights: np.ndarray, maps: np.ndarray):
+        self.table, self.weights = table, np.ascontiguousarray(weights.T, np.float32)
+        # the mean of the mixed probability and what the maps saw of bits with this gate and about this mix, as a line in the former
+        self.slope = ((1 + 20 / (maps[1] + 20)) / 2).astype(np.float32).ravel()
+        self.rise = (maps[0] / (maps[1] + 20) / 2).astype(np.float32).ravel()
 
     def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        return [self.inputs.take(s).astype(np.float32) for s in slots], gate_of([self.seen.take(s) for s in slots])
+        codes = [self.table.take(s) for s in slots]
+        return [_STEPS.take(c >> np.uint16(5)) for c in codes], gate_of([c & np.uint16(31) for c in codes])
 
-    def refined(self, p: np.ndarray, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The mean of the mixed probability and what the maps saw of bits with this gate and about this mix."""
-        at = np.rint(st + 16).astype(np.int64)
-        return (p + (self.maps[0, gate, at] + 20 * p) / (self.maps[1, gate, at] + 20)) / 2
+    def logs(self, p: np.ndarray, st: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the refined probability of each bit."""
+        at = np.rint(st + 16).astype(np.int64) + gate * BUCKETS
+        fine = self.slope.take(at) * p + self.rise.take(at)
+        return np.log10(np.where(bit == 1, fine, 1 - fine))
 
     def frozen(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """log10 probability of each bit, without adapting."""
         x, gate = self.look(slots)
-        st, p = mixed(self.weights[gate], x)
-        p = self.refined(p.astype(float), st, gate)
-        return np.log10(np.where(bit == 1, p, 1 - p))
+        st, p = mixed([w.take(gate) for w in self.weights], x)
+        return self.logs(p, st, gate, bit)
 
     def score(self, tree: Tree, texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
         """log10 probability of each text (leaves, hashes); its weights start as learned and adapt after every BLOCK tokens.
@@ -254,8 +269,8 @@ class Model:
         contexts = tree.contexts(leaf, hashes, place)
         by_block = np.argsort(place // BLOCK, kind="stable")
         ends = np.cumsum(np.bincount(place // BLOCK))
-        weights = np.repeat(self.weights[None], len(order), axis=0).reshape(-1, CONTEXTS)
-        slope = np.full(len(weights), HOLD)
+        weights = [np.tile(w, len(order)) for w in self.weights]
+        slope = np.full(len(order) * GATES, HOLD)
         out, first = np.zeros(len(order)), 0
         while first < len(ends):
             # blocks of about RUN tokens are expanded to bits at once
@@ -269,14 +284,13 @@ class Model:
             cuts = np.searchsorted(token, ends[first:last] - begin)
             for a, b in zip([0, *cuts[:-1]], cuts):
                 part, now, v = slice(a, b), row[a:b], [y[a:b] for y in x]
-                st, p = mixed(weights[now], v)
-                fine = self.refined(p.astype(float), st, gate[part])
+                st, p = mixed([w.take(now) for w in weights], v)
                 n = (int(of[b - 1]) + 1 if b > a else 0) * GATES  # the texts that go on are the first ones
-                out[: n // GATES] += np.bincount(of[part], np.log10(np.where(bit[part] == 1, fine, 1 - fine)), n // GATES)
+                out[: n // GATES] += np.bincount(of[part], self.logs(p, st, gate[part], bit[part]), n // GATES)
                 error = bit[part] - p
                 slope[:n] += np.bincount(now, p * (1 - p) * sum(y * y for y in v), n)
-                for i, y in enumerate(v):
-                    weights[:n, i] += np.bincount(now, error * y, n) / slope[:n]
+                for w, y in zip(weights, v):
+                    w[:n] += (np.bincount(now, error * y, n) / slope[:n]).astype(np.float32)
             first = last
         back = np.empty(len(order))
         back[order] = out
@@ -323,9 +337,9 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
             # sums beyond 32 bits are halved together: what the mixer takes is their ratio
             counts >>= np.maximum(np.ceil(np.log2(counts.max(1) + 1.0)) - 32, 0).astype(np.uint64)[:, None]
             x, seen = prepared(counts[:, 0] | counts[:, 1] << np.uint64(32))
-            yield named(i, zlib.compress(x.astype("<f2").tobytes() + seen.tobytes(), 1))
+            yield named(i, zlib.compress(packed(x, seen).astype("<u2").tobytes(), 1))
 
-    inputs, seen = np.zeros(slots, np.float16), np.zeros(slots, np.uint8)
+    table = np.full(slots, packed(np.zeros(1), np.zeros(1, np.uint8))[0])
     slope, pull, maps = np.full(GATES, 20.0), np.full((GATES, CONTEXTS), 0.35 * 20), np.zeros((2, GATES, BUCKETS))
     parts = rows.mapInArrow(learn, "block int, data binary").repartition("block").mapInArrow(merge, "block int, data binary")
     for row in parts.toLocalIterator():  # bounded by the tables' size; the tasks' weights are a few KB each
@@ -333,10 +347,9 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
             w, s, m = pickle.loads(row.data)
             slope, pull, maps = slope + s, pull + w * s[:, None], maps + m
         else:
-            data, at = zlib.decompress(row.data), row.block * PART
-            n = len(data) // 3
-            inputs[at : at + n], seen[at : at + n] = np.frombuffer(data[: 2 * n], "<f2"), np.frombuffer(data[2 * n :], np.uint8)
-    return Model(inputs, seen, pull / slope[:, None], maps)
+            data = np.frombuffer(zlib.decompress(row.data), "<u2")
+            table[row.block * PART :][: len(data)] = data
+    return Model(table, pull / slope[:, None], maps)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

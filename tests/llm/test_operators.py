@@ -225,7 +225,7 @@ def small_model(rng, slots):
     counts = rng.integers(0, 70, slots).astype(np.uint64) | rng.integers(0, 90, slots).astype(np.uint64) << np.uint64(32)
     x, seen = lm_score.prepared(counts)
     maps = rng.integers(1, 50, (2, lm_score.GATES, lm_score.BUCKETS)).astype(float)
-    return lm_score.Model(x.astype(np.float16), seen, rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.CONTEXTS)), np.minimum(maps, maps[1]))
+    return lm_score.Model(lm_score.packed(x, seen), rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.CONTEXTS)), np.minimum(maps, maps[1])), maps
 
 
 def small_tree(rng):
@@ -236,12 +236,12 @@ def small_tree(rng):
 def test_mixer_is_a_distribution():
     rng = np.random.default_rng(0)
     tree = small_tree(rng)
-    model = small_model(rng, sum(tree.sizes(12)))
+    model, _ = small_model(rng, sum(tree.sizes(12)))
     every = np.arange(tree.end + 1)
     for context in rng.integers(0, 1 << 63, (5, 3)).astype(np.uint64):
         token, slots, bit = tree.bits(every, np.repeat(context[:, None], len(every), axis=1), 12)
         assert abs((10 ** np.bincount(token, model.frozen(slots, bit))).sum() - 1) < 1e-5
-    model = small_model(rng, lm_score.SPELLED[0] + (3 << 12))
+    model, _ = small_model(rng, lm_score.SPELLED[0] + (3 << 12))
     word, slots, bit = lm_score.spelling([b"ab" + bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)] + [b"ab"], 12)
     third = model.frozen(slots, bit)[np.arange(len(word)) - np.searchsorted(word, word) >= 16]
     of = word[np.arange(len(word)) - np.searchsorted(word, word) >= 16]
@@ -253,23 +253,23 @@ def test_score_equals_a_loop_over_bits():
     """Each bit on its own, weights of the text moved after every block, in plain Python."""
     rng = np.random.default_rng(6)
     tree, size = small_tree(rng), 12
-    model = small_model(rng, sum(tree.sizes(size)))
+    model, maps = small_model(rng, sum(tree.sizes(size)))
     texts = [[f"w{rng.integers(0, 44)}".encode() for _ in range(n)] for n in (0, 3, 63, 64, 65, 700, 200)]
     got = model.score(tree, [tree.tokens(t) for t in texts], size)
     for words, score in zip(texts, got):
         leaf, hashes = tree.tokens(words)
         contexts = tree.contexts(leaf, hashes, np.arange(len(leaf)))
-        weights, slope, total = model.weights.astype(float).copy(), np.full(lm_score.GATES, lm_score.HOLD), 0.0
+        weights, slope, total = model.weights.T.astype(float), np.full(lm_score.GATES, lm_score.HOLD), 0.0
         for at in range(0, len(leaf), lm_score.BLOCK):
             step, more = np.zeros_like(weights), np.zeros(lm_score.GATES)
             for t in range(at, min(at + lm_score.BLOCK, len(leaf))):
                 _, slots, bits = tree.bits(leaf[t : t + 1], contexts[:, t : t + 1], size)
                 for k, bit in enumerate(bits.tolist()):
-                    x, seen = [float(model.inputs[s[k]]) for s in slots], [int(model.seen[s[k]]) for s in slots]
+                    x, seen = [int(model.table[s[k]] >> 5) / 64 - 16 for s in slots], [int(model.table[s[k]] & 31) for s in slots]
                     g = min((seen[2] + 1) >> 2, 3) * 4 + min(seen[3], 3)
                     st = min(max(sum(w * v for w, v in zip(weights[g], x)), -16), 16)
                     p = 1 / (1 + np.exp(-st))
-                    hits, tries = model.maps[:, g, round(st + 16)]
+                    hits, tries = np.minimum(maps, maps[1])[:, g, round(st + 16)]
                     fine = (p + (hits + 20 * p) / (tries + 20)) / 2
                     total += np.log10(fine if bit else 1 - fine)
                     step[g] += (bit - p) * np.array(x)
@@ -388,8 +388,9 @@ def test_lm_score_learns_from_everything(spark):
 
     rows = make(spark, [(w,) for w in words], "word string")
     one, three = (lm_score._learned(rows.repartition(n), stream, lm_score.SPELLED[0] + (3 << 12)) for n in (1, 3))
-    assert (one.inputs == three.inputs).all() and (one.seen == three.seen).all()
-    assert one.maps[1].sum() == three.maps[1].sum() == 8 * sum(len(w) + 1 for w in words)
+    assert (one.table == three.table).all() and (one.table != one.table[-1]).sum() > 1000
+    tries = [(20 / (2 * m.slope.astype(float) - 1) - 20).sum() for m in (one, three)]
+    assert np.allclose(tries, 8 * sum(len(w) + 1 for w in words), rtol=1e-3)
     # the most frequent words are found without a sort of all
     counted = make(spark, [(f"w{i}", i) for i in range(1, 2001)], "word string, c long")
     some = [r.c for r in lm_score.frequent(counted, 100).collect()]
