@@ -152,15 +152,17 @@ def search_companies(
     if min_contact_score is not None:
         if scores is None:
             raise ValueError("min_contact_score needs the score table")
-        rows = rows.join(scores.where(F.col("contact_score") >= score_floor(min_contact_score)).select("cnpj"), "cnpj", "left_semi")
-    cols = FOUND_COLUMNS + (CONTACT_COLUMNS if include_contacts else [])
+        # joined once, with its block, and only for what the other filters leave
+        good = scores.where(F.col("contact_score") >= score_floor(min_contact_score)).select("cnpj", score_block().alias("registry_contact_quality"))
+        rows = rows.join(good, "cnpj")
+    cols = FOUND_COLUMNS + (CONTACT_COLUMNS if include_contacts else []) + (["registry_contact_quality"] if min_contact_score is not None else [])
     # one row more than the page tells whether there are others
     place = F.row_number().over(Window.orderBy(ORDERS[order_by](), "cnpj"))
     rows = rows.select(*cols).orderBy(ORDERS[order_by](), "cnpj").offset(offset).limit(limit + 1)
     rows = rows.withColumn("place", place).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("place") <= limit)
     rows = rows.withColumn("next_offset", F.when(F.col("has_more"), F.lit(offset + limit))).withColumnsRenamed({"opcao_mei": "mei", "opcao_simples": "simples"})
     rows = rows.withColumns({"cnpj_formatado": formatted_key(F.col("cnpj")), "situacao": codes.label(F.col("situacao_cadastral"), codes.STATUS), "porte": codes.label(F.col("porte"), codes.SIZES, or_code=True)}).drop("situacao_cadastral")
-    if scores is not None and (include_contacts or min_contact_score is not None):
+    if scores is not None and include_contacts and min_contact_score is None:
         rows = with_scores(rows, scores)
     if sites is not None and include_contacts:
         rows = with_sites(rows, sites, matches)

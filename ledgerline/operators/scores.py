@@ -79,3 +79,9 @@ def contact_scores(establishments: DataFrame) -> DataFrame:
 
 def tier_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col("contact_tier") == t).alias(t) for t in ("high", "medium", "low")))
+
+
+def write_scores(scores: DataFrame, path: str, tiers_path: str) -> None:
+    """The score table in sorted files by key, which lookups and scored searches read instead of scoring again, and its tiers as one JSON record."""
+    scores.repartitionByRange("cnpj").sortWithinPartitions("cnpj").write.parquet(path, compression="zstd")
+    tier_summary(scores.sparkSession.read.parquet(path)).coalesce(1).write.json(tiers_path)

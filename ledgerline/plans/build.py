@@ -26,15 +26,21 @@ def one_company_each(companies: DataFrame) -> DataFrame:
     return companies.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
+def one_regime_each(regime: DataFrame) -> DataFrame:
+    """One row for each root: the one with the latest date of entry, by partial aggregation, so that a repeated root doesn't multiply its establishments."""
+    order = ["data_opcao_simples", "data_opcao_mei", *(c for c in regime.columns if c not in ("cnpj_basico", "data_opcao_simples", "data_opcao_mei"))]
+    return regime.groupBy("cnpj_basico").agg(F.max(F.struct(*order)).alias("r")).select("cnpj_basico", *(F.col(f"r.{c}").alias(c) for c in regime.columns if c != "cnpj_basico"))
+
+
 def code_texts(table: DataFrame, code: str, text: str) -> DataFrame:
-    """A code table to join: a few thousand rows at most, by the registry's own definition of its codes."""
-    return F.broadcast(table.select(F.col("codigo").alias(code), F.col("descricao").alias(text)))
+    """A code table to join: small ones are broadcast by their size, which Spark looks at."""
+    return table.select(F.col("codigo").alias(code), F.col("descricao").alias(text))
 
 
 def establishments(raw: dict[str, DataFrame]) -> DataFrame:
     """The typed wide table, a row for each raw establishment; unknown roots and codes leave nulls, no row is dropped."""
     company = one_company_each(raw["empresas"]).select("cnpj_basico", "razao_social", "natureza_juridica", decimal_comma(F.col("capital_social")).alias("capital_social"), "porte")
-    regime = raw["simples"].select("cnpj_basico", "opcao_simples", "opcao_mei", *(typed_date(F.col(c)).alias(c) for c in raw["simples"].columns if c.startswith("data_")))
+    regime = one_regime_each(raw["simples"]).select("cnpj_basico", "opcao_simples", "opcao_mei", *(typed_date(F.col(c)).alias(c) for c in raw["simples"].columns if c.startswith("data_")))
     e = raw["estabelecimentos"].withColumnRenamed("municipio", "municipio_codigo")
     e = e.withColumns({c: null_if_empty(F.col(c)) for c in OPTIONAL_TEXT})
     division = F.substring("cnae_principal", 1, 2)

@@ -13,6 +13,7 @@ from .operators import queries as ask
 from .operators.filters import Filters
 from .plans import build, demo
 from .plans.demo import WITH
+from .plans.raw_demo import WITH_RAW, raw_dump
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,3 +546,155 @@ def error_fingerprints(spark, sf_dir):
 @query(f"SELECT tool, status, duration_bucket, error_class, client_name, utc_hour, count(*) AS n FROM (SELECT CASE WHEN tool IN ('click', 'error', 'purchase', 'view') THEN tool ELSE '(unknown)' END AS tool, CASE WHEN status = 'bogus' THEN 'exception' ELSE status END AS status, {_LABEL} AS duration_bucket, CASE WHEN error_class = 'strange' THEN NULL ELSE error_class END AS error_class, client_name, CAST(hour(ts) AS INTEGER) AS utc_hour FROM calls) GROUP BY ALL")
 def scrubbed_events(spark, sf_dir):
     return usage.scrub_events(demo.events(spark, sf_dir), TOOLS).groupBy("tool", "status", "duration_bucket", "error_class", "client_name", "utc_hour").agg(F.count("*").alias("n"))
+
+
+# the typed build from raw tables
+
+_SECTION_OF = demo.SECTION.replace("d = ", "e.d = ").replace("d BETWEEN", "e.d BETWEEN")
+
+
+def _date_sql(c: str) -> str:
+    return f"CAST(try_strptime(CASE WHEN {c} NOT IN ('0', '00000000', '') THEN {c} END, '%Y%m%d') AS DATE)"
+
+
+@query(f"""{WITH_RAW}, company AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cnpj_basico ORDER BY razao_social = '', length(razao_social) DESC, razao_social) AS place FROM empresas) WHERE place = 1),
+ regime AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cnpj_basico ORDER BY data_opcao_simples DESC, data_opcao_mei DESC) AS place FROM simples) WHERE place = 1),
+ e AS (SELECT *, CAST(substr(cnae_principal, 1, 2) AS INTEGER) AS d FROM estabelecimentos)
+ SELECT e.cnpj_basico || e.cnpj_ordem || e.cnpj_dv AS cnpj, CAST(e.matriz_filial AS INTEGER) AS matriz_filial, nullif(e.nome_fantasia, '') AS nome_fantasia, nullif(e.telefone1, '') AS telefone1, c.razao_social,
+ n.descricao AS natureza_juridica_descricao, TRY_CAST(replace(c.capital_social, ',', '.') AS DOUBLE) AS capital_social, c.porte, e.situacao_cadastral, {_date_sql("e.data_situacao_cadastral")} AS data_situacao_cadastral,
+ m.descricao AS motivo_situacao_descricao, {_date_sql("e.data_inicio_atividade")} AS data_inicio_atividade, a.descricao AS cnae_principal_descricao, substr(e.cnae_principal, 1, 2) AS cnae_divisao, {_SECTION_OF} AS cnae_secao,
+ nullif(e.cnae_secundaria, '') AS cnae_secundaria, e.municipio AS municipio_codigo, t.descricao AS municipio, r.opcao_simples, {_date_sql("r.data_opcao_simples")} AS data_opcao_simples, r.opcao_mei
+ FROM e LEFT JOIN company c ON c.cnpj_basico = e.cnpj_basico LEFT JOIN regime r ON r.cnpj_basico = e.cnpj_basico LEFT JOIN naturezas n ON n.codigo = c.natureza_juridica
+ LEFT JOIN motivos m ON m.codigo = e.motivo_situacao_cadastral LEFT JOIN cnaes a ON a.codigo = e.cnae_principal LEFT JOIN municipios t ON t.codigo = e.municipio""", views=False)
+def built_establishments(spark, sf_dir):
+    built = build.establishments(raw_dump(spark, sf_dir)).withColumn("matriz_filial", F.col("matriz_filial").cast("int"))
+    names = "cnpj matriz_filial nome_fantasia telefone1 razao_social natureza_juridica_descricao capital_social porte situacao_cadastral data_situacao_cadastral motivo_situacao_descricao data_inicio_atividade cnae_principal_descricao cnae_divisao cnae_secao cnae_secundaria municipio_codigo municipio opcao_simples data_opcao_simples opcao_mei"
+    return built.select(*names.split())
+
+
+@query(f"""{WITH_RAW} SELECT l.cnpj_basico, CAST(l.identificador_socio AS INTEGER) AS identificador_socio, CASE l.identificador_socio WHEN '1' THEN 'pessoa juridica' WHEN '2' THEN 'pessoa fisica' ELSE 'estrangeiro' END AS tipo_socio,
+ l.nome_socio, lower(strip_accents(l.nome_socio)) AS nome_key, q.descricao AS qualificacao_socio_descricao, {_date_sql("l.data_entrada")} AS data_entrada
+ FROM links l LEFT JOIN qualificacoes q ON q.codigo = l.qualificacao_socio""", views=False)
+def built_partner_links(spark, sf_dir):
+    links = build.partner_links(raw_dump(spark, sf_dir)).withColumn("identificador_socio", F.col("identificador_socio").cast("int"))
+    return links.select("cnpj_basico", "identificador_socio", codes.partner_kind(F.col("identificador_socio")).alias("tipo_socio"), "nome_socio", "nome_key", "qualificacao_socio_descricao", "data_entrada")
+
+
+@query(f"""{WITH_RAW} SELECT 'establishments' AS "check", 15000.0 AS anchor_sf001, (SELECT count(*) FROM estabelecimentos) AS expected, (SELECT count(*) FROM estabelecimentos) AS actual
+ UNION ALL SELECT 'partner_links', 15000.0, (SELECT count(*) FROM orders), (SELECT count(*) FROM links)""".replace(" 15000.0 AS anchor_sf001,", "").replace(" 15000.0,", ""), views=False)
+def audit_against_anchors(spark, sf_dir):
+    raw = raw_dump(spark, sf_dir)
+    # published figures take the place of the raw counts
+    orders = table(spark, sf_dir, "orders").agg(F.count("*").alias("expected")).select(F.lit("partner_links").alias("check"), "expected")
+    out = build.audit(raw, build.establishments(raw), build.partner_links(raw), orders)
+    return out.where(F.col("check").isin("establishments", "partner_links")).select("check", "expected", "actual")
+
+
+# filters that the searches above don't use
+
+
+@query("SELECT uf, count(*) AS total FROM est WHERE porte = '01' GROUP BY uf")
+def count_by_size_alias(spark, sf_dir):
+    return ask.count_companies(demo.establishments(spark, sf_dir), Filters(porte="microempresa"), group_by=["uf"], limit=None)
+
+
+@query("SELECT situacao_cadastral, count(*) AS total FROM est WHERE municipio_codigo = '0003' GROUP BY situacao_cadastral".replace("situacao_cadastral,", f"{STATUS_SQL} AS situacao,", 1))
+def count_in_municipality_code(spark, sf_dir):
+    return ask.count_companies(demo.establishments(spark, sf_dir), Filters(municipio_codigo="0003"), group_by=["situacao"], limit=None)
+
+
+@query("SELECT cnae_secao, count(*) AS total FROM est WHERE cep = '00000012' GROUP BY cnae_secao")
+def count_at_postal_code(spark, sf_dir):
+    return ask.count_companies(demo.establishments(spark, sf_dir), Filters(cep="00000-012"), group_by=["cnae_secao"], limit=None)
+
+
+# websites of companies
+
+_DOMAINS = "SELECT DISTINCT lower(trim(split_part(email, '@', 2))) AS domain FROM est WHERE email LIKE '%@%'"
+_LEVEL = "CASE CAST(cnpj_basico AS INTEGER) % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'likely' WHEN 2 THEN 'candidate' END"
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Swept sites (every domain but those that end in gmail.com) and matches of three companies in four."""
+    e = demo.establishments(spark, sf_dir)
+    domain = web.mail_domain(F.col("email"))
+    items = F.array().cast("array<struct<value: string, source_url: string>>")
+    sites = e.where("email LIKE '%@%'").select(domain.alias("domain")).distinct().select("domain", F.when(F.col("domain") == "gmail.com", "failed").otherwise("ok").alias("status"), F.concat(F.lit("https://"), "domain").alias("final_url"), F.lit("2024-01-01").alias("crawled_at"), F.array("domain").alias("pages"), *(items.alias(k) for k in ("whatsapp", "phones", "emails", "social")))
+    level = F.expr(_LEVEL)
+    evidence = F.when(level == "confirmed", F.array(F.lit("cnpj_on_page"), F.lit("cep"))).when(level == "likely", F.array(F.lit("name_multi_in_body"))).otherwise(F.array().cast("array<string>"))
+    return sites, e.where("email LIKE '%@%'").select(domain.alias("domain"), "cnpj", level.alias("level"), evidence.alias("evidence")).where("level IS NOT NULL")
+
+
+@query(f"""SELECT e.cnpj, CASE WHEN e.email LIKE '%@%' AND lower(trim(split_part(e.email, '@', 2))) <> 'gmail.com' THEN 'https://' || lower(trim(split_part(e.email, '@', 2))) END AS final_url,
+ CASE WHEN e.email LIKE '%@%' AND lower(trim(split_part(e.email, '@', 2))) <> 'gmail.com' THEN coalesce({_LEVEL}, 'candidate') END AS "match",
+ CASE WHEN e.email LIKE '%@%' AND lower(trim(split_part(e.email, '@', 2))) <> 'gmail.com' THEN CASE CAST(cnpj_basico AS INTEGER) % 4 WHEN 0 THEN 'registry key on the page; registered postal code on the page' WHEN 1 THEN 'company name in the text' WHEN 2 THEN 'nothing on the page ties the site to this company' ELSE 'domain of the registered e-mail' END END AS match_basis
+ FROM est e""")
+def companies_with_sites(spark, sf_dir):
+    sites, matches = _sites(spark, sf_dir)
+    w = "website_contacts"
+    return ask.with_sites(demo.establishments(spark, sf_dir).select("cnpj", "email"), sites, matches).select("cnpj", f"{w}.final_url", f"{w}.match", f"{w}.match_basis")
+
+
+@query(f"SELECT level, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM (SELECT {_LEVEL} AS level FROM est WHERE email LIKE '%@%') WHERE level IS NOT NULL GROUP BY level")
+def match_level_shares(spark, sf_dir):
+    return sites.level_shares(_sites(spark, sf_dir)[1])
+
+
+_ITEM = "CASE c_custkey % 7 WHEN 0 THEN 'facebook:profile.php' WHEN 1 THEN 'instagram:reel' WHEN 2 THEN 'x:intent/tweet' WHEN 3 THEN 'instagram:fivearq' WHEN 4 THEN 'facebook:padaria.sol' WHEN 5 THEN 'tiktok:@tiktok' ELSE 'youtube:c/canal' || CAST(c_custkey AS STRING) END"
+
+
+@query(f"SELECT c_custkey, {_ITEM} AS item, c_custkey % 7 IN (3, 4, 6) AS ok FROM customer", views=False)
+def social_accounts(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ITEM).alias("item")).withColumn("ok", web.social_ok(F.col("item")))
+
+
+_ACCOUNT_PAGE = """'<meta property="og:title" content="' || c_name || '"/>' || CASE c_custkey % 4 WHEN 0 THEN '<meta name="description" content="Business Account"/><img src="https://pps.whatsapp.net/x">' WHEN 1 THEN '<meta name="description" content="Official&#32;Business&#32;Account"/>' WHEN 2 THEN '<meta name="description" content="hello"/>' ELSE '' END"""
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS name, CASE c_custkey % 4 WHEN 0 THEN 'business' WHEN 1 THEN 'official_business' END AS account_type, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 4 = 0 END AS has_photo FROM customer", views=False)
+def account_pages(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", web.business_page(F.expr(_ACCOUNT_PAGE)).alias("p")).select("c_custkey", "p.name", "p.account_type", "p.has_photo")
+
+
+# classes and buckets of calls
+
+_BODY = """CASE event_id % 4 WHEN 0 THEN '{"isError": true}' WHEN 1 THEN '{"error":{"code":1}}' WHEN 2 THEN '{"result":{}}' END"""
+_CODE = "CAST(CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 500 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN 429 ELSE 200 END AS INTEGER)"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'exception' WHEN c = 0 THEN 'aborted' WHEN c >= 500 THEN 'http_5xx' WHEN c >= 400 THEN 'http_4xx' WHEN event_id % 4 = 0 THEN 'tool_error' WHEN event_id % 4 = 1 THEN 'rpc_error' ELSE 'ok' END AS outcome
+ FROM (SELECT event_id, {_CODE} AS c FROM events)""", views=False)
+def call_outcomes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", usage.outcome(F.expr("event_id % 13 = 0"), F.expr(_CODE), F.expr(_BODY)).alias("outcome"))
+
+
+_RAISED = "CASE event_id % 6 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'IOException' WHEN 3 THEN 'KeyError' END"
+_STATE = "CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'http_5xx' WHEN 2 THEN 'aborted' WHEN 3 THEN 'exception' END"
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'validation' WHEN 1 THEN 'timeout' WHEN 2 THEN 'db_error' ELSE CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'http_error' WHEN 2 THEN 'aborted' ELSE 'internal' END END AS error_class FROM events""", views=False)
+def call_error_classes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", usage.error_class(F.expr(_RAISED), F.expr(_STATE)).alias("error_class"))
+
+
+@query("""SELECT event_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n <= 0 THEN '0' WHEN n <= 10 THEN '1-10' WHEN n <= 100 THEN '10-100' ELSE '100+' END AS bucket
+ FROM (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 150 - event_id % 3 END AS n FROM events)""", views=False)
+def call_result_buckets(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", usage.result_bucket(F.expr("CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 150 END"), F.expr("event_id % 3")).alias("bucket"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '1.2.3' WHEN 1 THEN 'build-7_a' ELSE 'unknown' END AS version, CASE event_id % 4 WHEN 2 THEN 'a b' WHEN 3 THEN '.x' WHEN 0 THEN '1.2.3' ELSE 'build-7_a' END AS label FROM events""", views=False)
+def version_labels(spark, sf_dir):
+    raw = F.expr("CASE event_id % 4 WHEN 0 THEN '1.2.3' WHEN 1 THEN 'build-7_a' WHEN 2 THEN 'a<> b' ELSE '.x' END")
+    return table(spark, sf_dir, "events").select("event_id", text.version_label(raw).alias("version"), text.safe_label(raw).alias("label"))
+
+
+@query("""SELECT event_id, CASE WHEN value * 100 BETWEEN 0 AND 86400000 THEN value * 100 END AS duration_ms, CASE WHEN event_id % 3 > 0 THEN value * 130 - 200 END AS raw_db,
+ CASE WHEN event_id % 3 > 0 AND value * 130 - 200 BETWEEN 0 AND 86400000 THEN value * 130 - 200 END AS db_ms,
+ greatest(0.0, value * 100 - coalesce(CASE WHEN event_id % 3 > 0 AND value * 130 - 200 BETWEEN 0 AND 86400000 THEN value * 130 - 200 END, 0.0)) AS local_ms FROM events""", views=False)
+def call_time_split(spark, sf_dir):
+    calls = demo.events(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").withColumn("db_ms", F.expr("CASE WHEN event_id % 3 > 0 THEN value * 130 - 200 END"))
+    # the allow list has no event_id; it is carried as a version, which passes unchanged
+    out = usage.scrub_events(calls.withColumn("client_version", F.col("event_id").cast("string")), TOOLS)
+    out = out.select(F.col("client_version").cast("long").alias("event_id"), "duration_ms", "db_ms", "local_ms")
+    return out.join(calls.select("event_id", F.col("db_ms").alias("raw_db")), "event_id").select("event_id", "duration_ms", "raw_db", "db_ms", "local_ms")
