@@ -235,7 +235,7 @@ def companies_at_address(
     if logradouro_contains:
         text = logradouro_contains.strip()
         first, _, rest = text.partition(" ")
-        kind = next((k for k, names in codes.STREETS.items() if first.upper().rstrip(".") in names), None)
+        kind = codes.STREETS.get(first.upper().rstrip("."))
         if kind and rest.strip():
             rows, text = rows.where(F.col("tipo_logradouro") == kind), rest.strip()
         rows = rows.where(contains_folded(F.col("logradouro"), text))

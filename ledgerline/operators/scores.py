@@ -41,6 +41,12 @@ def _clamped(points: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), points))
 
 
+def _with_count(rows: DataFrame, key: str, counts: DataFrame, name: str) -> DataFrame:
+    """rows with the count of their key under `name`. Rows without a key match nothing; they are spread by their own key, not hashed to one task."""
+    spread = rows.withColumn("k", F.coalesce(key, F.concat(F.lit("\u0000"), "cnpj")))
+    return spread.join(counts.select(F.col(counts.columns[0]).alias("k"), F.col("n").alias(name)), "k", "left").drop("k")
+
+
 def contact_scores(establishments: DataFrame) -> DataFrame:
     """SCORE_COLUMNS for each establishment with an e-mail or phone.
 
@@ -56,10 +62,10 @@ def contact_scores(establishments: DataFrame) -> DataFrame:
         F.split(F.regexp_replace(fold(F.coalesce("nome_fantasia", "razao_social", F.lit(""))), "[^a-z0-9 ]", " "), " +").alias("words"),
     )
     phones = phone_shares(establishments)
-    rows = rows.join(mail_shares(establishments).withColumnRenamed("n", "email_shared_companies"), "em", "left")
-    rows = rows.join(domain_shares(establishments).withColumnRenamed("n", "email_domain_companies"), "dom", "left")
+    rows = _with_count(rows, "em", mail_shares(establishments), "email_shared_companies")
+    rows = _with_count(rows, "dom", domain_shares(establishments), "email_domain_companies")
     for i in ("1", "2"):
-        rows = rows.join(phones.select(F.col("ph").alias(f"ph{i}"), F.col("n").alias(f"phone{i}_shared_companies")), f"ph{i}", "left")
+        rows = _with_count(rows, f"ph{i}", phones, f"phone{i}_shared_companies")
     matches = F.exists(F.filter("words", lambda w: F.length(w) >= 4), lambda w: F.contains(F.col("dom"), w) | F.contains(F.col("loc"), w))
     rows = rows.withColumns({"email_kind": mail_kind(F.col("em")), "email_matches_name": F.coalesce(matches, F.lit(False))})
     kind = F.col("email_kind")
