@@ -3,6 +3,8 @@
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
@@ -29,3 +31,15 @@ def test_stages(spark, tmp_path):
     assert set(seen["near dedup"]) == set(range(30))
     assert key not in seen["secret scan"][9] and "[SECRET]" in seen["secret scan"][9]
     assert set(seen["packing"]) == set(range(30)) and corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, "x"), (1, None, "en", "s", None, "y"), (1, "", "en", "s", 0, "y"), (2, "too short to keep", None, None, 17, None)]])
+def test_stages_on_nothing(spark, tmp_path, rows):
+    """Empty tables, and documents that the first stage rejects: every later stage gets an empty table. The extra column's name clashes with an operator's own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, word string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= len(rows), name
