@@ -162,17 +162,16 @@ def test_bpe_equals_the_library(spark, odd):
 
 def test_packing(spark, odd):
     rows = packing.pack(odd.repartition(3), PATH, length=64).collect()
-    whole = {}
+    pieces = {}
     for r in rows:
         assert len(r.ids) == 4 * r.length and r.offset + r.length <= 64
-        whole.setdefault((r.doc_id, r.doc_tokens), set()).add((r.start, r.ids))
-    for i, t in enumerate(ODD):
+        pieces.setdefault(r.doc_id, []).append((r.start, r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()))
+    # the pieces of each document are the library's ids and the end, once for each of its rows
+    for (i, t), n in Counter((r.doc_id, r.text) for r in odd.collect()).items():
         want = LIBRARY.encode(t or "", add_special_tokens=False).ids + [0]
-        pieces = sorted(whole[(i, len(want))])
-        parts = {}
-        for start, x in pieces:
-            parts[start] = x
-        assert want == LIBRARY.encode(t or "", add_special_tokens=False).ids + [0] and sum(len(x) // 4 for s, x in parts.items()) >= len(want)
+        got = Counter(at + k for at, total, ids in pieces[i] if total == len(want) for k in range(len(ids)))
+        assert got == Counter({k: n for k in range(len(want))})
+        assert all(ids == want[at : at + len(ids)] for at, total, ids in pieces[i] if total == len(want))
     filled = Counter()
     for r in rows:
         filled[r.sequence_id] += r.length
