@@ -1,7 +1,8 @@
 """Chat formatting in Spark expressions only.
 
 A conversation's turns are collected as structs and sorted; neighbouring turns of one role are merged under one
-header by array aggregation. Control strings all contain [ or <, and these two characters (and the escape sign)
+header by array aggregation: slices of the turns between the places where the role changes, which takes time
+linear in the turns (a fold that appends to an array copies it every time). Control strings all contain [ or <, and these two characters (and the escape sign)
 are escaped in texts, so no text can hold a control string and every text comes back as it was.
 """
 
@@ -38,18 +39,27 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """
     turn = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     grouped = turns.select(F.col(f"`{id_col}`").alias("id"), turn.alias("t")).groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # number the groups of neighbouring turns of one role
-    marked = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), (i == 0).alias("first"), ((i > 0) & (F.element_at("turns", F.greatest(i, F.lit(1)))["role"] == t["role"])).alias("same"), F.coalesce(F.get("turns", i + 1)["role"] == t["role"], F.lit(False)).alias("more")))
-
-    def pieces(t: Column) -> Column:
-        user, answer = t["role"] == "user", t["role"] == "assistant"
-        name = F.concat(F.lit(ROLE_OPEN), escape(t["role"]), F.lit(ROLE_CLOSE))
-        opened = F.when(t["same"], F.lit(TURN)).when(user, F.lit(USER_OPEN)).when(answer, F.lit(ANSWER_OPEN)).otherwise(name)
-        closed = F.when(t["more"], F.lit("")).when(user, F.lit(USER_CLOSE)).otherwise(F.lit(END))
-        piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(piece(opened, F.lit(False)), piece(escape(t["text"]), answer), piece(closed, F.lit(False)))
-
-    out = grouped.withColumn("turns", marked).select(F.col("id").alias(id_col), F.concat(F.array(F.struct(F.lit(START).alias("text"), F.lit(False).alias("loss"))), F.flatten(F.transform("turns", pieces))).alias("pieces"))
+    # groups of neighbouring turns of one role: where each starts, then the slice up to the next start
+    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"] != F.element_at("turns", i)["role"]))
+    grouped = grouped.withColumn("starts", starts)
+    merged = F.transform(
+        "starts",
+        lambda at, i: F.struct(
+            F.element_at("turns", at)["role"].alias("role"),
+            F.transform(F.slice("turns", at, F.coalesce(F.get("starts", i + 1), F.size("turns") + 1) - at), lambda t: escape(t["text"])).alias("texts"),
+        ),
+    )
+
+    def piece(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("text"), loss.alias("loss"))
+
+    def pieces(g: Column) -> Column:
+        user, answer, no = g["role"] == "user", g["role"] == "assistant", F.lit(False)
+        opened = F.when(user, F.lit(USER_OPEN)).when(answer, F.lit(ANSWER_OPEN)).otherwise(F.concat(F.lit(ROLE_OPEN), escape(g["role"]), F.lit(ROLE_CLOSE)))
+        texts = F.flatten(F.transform(g["texts"], lambda t, i: F.array(piece(F.when(i == 0, opened).otherwise(F.lit(TURN)), no), piece(t, answer))))
+        return F.concat(texts, F.array(piece(F.when(user, F.lit(USER_CLOSE)).otherwise(F.lit(END)), no)))
+
+    out = grouped.select("id", merged.alias("groups")).select(F.col("id").alias(id_col), F.concat(F.array(piece(F.lit(START), F.lit(False))), F.flatten(F.transform("groups", pieces))).alias("pieces"))
     return out.select(id_col, F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), "pieces")
 
 

@@ -71,7 +71,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL}
 
 
 OP1_SQL = r"""
@@ -94,3 +94,55 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+OP2_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id,
+         list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents)
+, shingles AS (
+  SELECT DISTINCT doc_id,
+         unnest(CASE WHEN len(words) >= 3
+                     THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle
+  FROM worded)
+, sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)
+, common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id)
+, links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * common.n >= 85 * (a.n + b.n - common.n))
+, edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links)
+, reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reached.doc_id, edges.y FROM reached JOIN edges ON edges.x = reached.other)
+, lowest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN lowest l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+#: The lengths of the template's control strings (chat.py) stand as numbers in the sum of formatted_chars.
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
+, placed AS (
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before, lead(role) OVER w AS after,
+         length(text) + length(regexp_replace(text, '[^\\\[<]', '', 'g')) AS escaped,
+         length(role) + length(regexp_replace(role, '[^\\\[<]', '', 'g')) AS escaped_role
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(escaped
+         + CASE WHEN before = role THEN 6 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 8 ELSE 15 + escaped_role END
+         + CASE WHEN after = role THEN 0 WHEN role = 'user' THEN 8 ELSE 4 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
