@@ -52,8 +52,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), flac.described(flac.stored(F.col("text"))).alias("d"))
-    return docs.select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", F.crc32("d.tail").alias("tail_crc32"), "d.media_bytes", "d.media_sha256", "d.feature")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), flac.stored(F.col("text")).alias("media"))
+    read = docs.withColumn("d", flac.decoded(F.col("media"))).select("*", flac.joined(F.col("d.blocks")).alias("payload"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "d.feature",
+    )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
