@@ -5,8 +5,9 @@ that two splits set counts as seen twice, so the merged second filter holds ever
 keys that it holds are shuffled, as 128-bit digests, for exact counts of distinct documents and the
 choice of the one document that keeps the line. Lines of all other keys never leave their task.
 
-The filters have a fixed size, whatever the input: beyond some hundred million distinct keys more
-keys become suspects, and the exact confirmation by shuffle takes them all; nothing is lost.
+The filters grow with the bytes of text, from 16 MB up to 128 MB each (what a worker holds): beyond some
+hundred million distinct keys more keys become suspects, and the exact confirmation by shuffle takes them
+all; nothing is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import boxed, slices, staged, unboxed
 
 WHITE = b" \t\n\x0b\x0c\r"
 SEGMENTS = 256
+#: log2 of the bits of a filter, at least and at most; bits for each line that the text could hold.
+LEAST_BITS, MOST_BITS, PER_LINE = 27, 30, 8
 HASHES = 2
 
 
@@ -51,6 +54,13 @@ def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
+def filter_size(docs: DataFrame, min_chars: int) -> int:
+    """Bits of a filter for docs' text, if its lines are twice as long as the shortest that count."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    lines = size // (2 * max(min_chars, 1))
+    return 1 << min(max((PER_LINE * lines).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def _filters(docs: DataFrame, min_chars: int, filter_bits: int) -> np.ndarray:
     """The merged filter of keys that two documents may share."""
     width = filter_bits // 8 // SEGMENTS
@@ -97,17 +107,18 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 27) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int | None = None) -> DataFrame:
     """docs with repeated lines dropped from text_col, and the counts n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least
     min_chars code points in at least min_docs documents lose their lines everywhere but in the document
     with the largest id. Null or empty text is one empty line and comes back as empty text. Rows with the
     same id count as one document; rows without an id keep all lines and are not counted. Other columns
-    pass through; columns named n_lines and n_dropped are replaced.
+    pass through; columns named n_lines and n_dropped are replaced. filter_bits, if given, is a multiple of 2048.
     """
     spark, cols = docs.sparkSession, docs.columns
     box = boxed(docs, id=id_col, text=text_col)
+    filter_bits = filter_bits or filter_size(box, min_chars)
     seen = spark.sparkContext.broadcast(_filters(box.where("id IS NOT NULL"), min_chars, filter_bits))
 
     @F.arrow_udf("struct<n_lines: long, suspects: array<binary>>")

@@ -118,7 +118,7 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
     cols = docs.columns
     box = staged(boxed(docs, text=text_col).withColumn("c", counts(F.col("text"))).select("row", "c.*"), "counts")
     rules = votes()
-    seen = box.select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 rows
+    seen = box.select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).agg(F.count("*").alias("n")).orderBy(*rules).collect()  # at most 3 ** 8 rows
     p_good = F.lit(0.0)
     if seen:
         share, ratio = estimate(np.array([[r[k] for k in rules] for r in seen]), np.array([r.n for r in seen], float))

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ledgerline.llm import chat, flac, queries
+from ledgerline.llm import chat, flac, line_dedup, queries
 
 
 def bits(value, width):
@@ -147,3 +147,13 @@ def test_groups_of_one_role_share_a_header(spark):
     rows = [(1, i, role, f"t{i}") for i, role in enumerate(["user", "user", "assistant", "assistant", "assistant", "user", "tool", "tool"])]
     text = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().formatted
     assert text == "<s>[INST] t0[TURN]t1 [/INST][ANSWER]t2[TURN]t3[TURN]t4</s>[INST] t5 [/INST][ROLE] tool [/ROLE]t6[TURN]t7</s>"
+
+
+def test_filters_grow_with_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{SHARED}\n{i} " + "word " * 40) for i in range(30)] + [(99, None)], "doc_id long, text string")
+    assert line_dedup.filter_size(docs, 40) == 1 << line_dedup.LEAST_BITS
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()), key=repr)
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 11)
+    assert line_dedup.filter_size(docs.limit(0), 40) == 1 << 11 and line_dedup.filter_size(docs, 1) == 1 << 15  # 8 bits for half of about 8,000 characters
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 11)  # a filter that is full
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs, min_chars=1, min_docs=5).collect()), key=repr) == want
