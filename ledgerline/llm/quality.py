@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. The rules' accuracies and the share of good
-documents are estimated by expectation-maximisation from the votes alone, and a document's posterior probability
+Each rule votes good (1), bad (-1) or abstains (0) on a document. The rules' accuracies, on good documents and on
+each kind of bad ones, and the shares of these are estimated by expectation-maximisation from the votes alone, and a document's posterior probability
 of being good decides, instead of a demand that all rules pass. Documents with equal votes are equal to the
 model, so Spark counts the vote patterns (at most 3 ** rules rows) and only these counts reach the driver.
 """
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import boxed, slices, staged, unboxed
 
 SYMBOLS = b"#*$%&|<>"
-#: A rule is taken to vote bad on so many of the good documents at most; else a frequent kind of junk could pass as good.
-MOST_WRONG = 0.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
 
 
@@ -82,30 +80,38 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """The share of good documents, and log P(vote | good) - log P(vote | bad) by rule and vote (-1, 0, 1).
+def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes, and log P(vote | class) by class, rule and vote (-1, 0, 1). Class 0 is good, class k junk of the kind that rule k - 1 finds.
 
-    Votes are compared among documents on which the rule doesn't abstain; an abstention says nothing (0).
+    Rules depend on each other: a text of one repeated phrase fails several at once. So bad documents aren't one class
+    but one kind for each rule, and votes are taken as independent within a kind only. A kind has a rate of bad votes
+    for every rule, so a frequent kind of junk explains its own votes and doesn't pass for an error of the rules on
+    good documents. (A kind that one rule alone finds can't be told from that rule's errors; the votes leave it good.)
+    Votes are compared among documents on which a rule doesn't abstain; an abstention says nothing (0).
 
-    Expectation-maximisation for votes that are independent given the class. It starts from documents without a
-    bad vote as good, each bad vote lowering the odds twentyfold, and keeps a weak prior that a rule is right more
-    often than wrong, which names the classes.
+    Expectation-maximisation starts from documents without a bad vote as good; each bad vote lowers the odds
+    twentyfold, and what is bad is shared among the kinds of its bad votes. Weak priors name the classes: rules are
+    right more often than wrong on good documents, and on the kind that is theirs.
     """
     onehot = np.stack([patterns == v for v in (-1, 1)], axis=2).astype(float)
-    prior_good, prior_bad = np.array([1.0, 4.0]), np.array([4.0, 1.0])
-    good = 1 / (1 + np.exp(3.0 * (patterns < 0).sum(axis=1) - 3.0))
-    total = weight.sum()
+    bad = (patterns < 0).astype(float)
+    n_bad, kinds = bad.sum(axis=1), 1 + patterns.shape[1]
+    prior = np.ones((kinds, patterns.shape[1], 2))
+    prior[0] = 1.0, 4.0
+    prior[range(1, kinds), range(kinds - 1)] = 4.0, 1.0
+    good = np.where(n_bad > 0, 1 / (1 + np.exp(3.0 * n_bad - 3.0)), 1.0)
+    member = np.column_stack([good, (1 - good)[:, None] * bad / np.maximum(n_bad, 1)[:, None]])
     for _ in range(rounds):
-        share = ((weight * good).sum() + 8) / (total + 10)
-        of_good = np.einsum("p,prv->rv", weight * good, onehot) + prior_good
-        of_bad = np.einsum("p,prv->rv", weight * (1 - good), onehot) + prior_bad
-        wrong = np.minimum(of_good[:, :1] / of_good.sum(1, keepdims=True), MOST_WRONG)
-        ratio = np.log(np.concatenate([wrong, 1 - wrong], axis=1)) - np.log(of_bad / of_bad.sum(1, keepdims=True))
-        new = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + np.einsum("rv,prv->p", ratio, onehot))))
-        if np.abs(new - good).max() < 1e-9:
+        share = (weight @ member + 1) / (weight.sum() + kinds)
+        votes_of = np.einsum("p,pk,prv->krv", weight, member, onehot) + prior
+        rate = np.log(votes_of / votes_of.sum(axis=2, keepdims=True))
+        logs = np.log(share) + np.einsum("krv,prv->pk", rate, onehot)
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        change, member = np.abs(new - member).max(), new
+        if change < 1e-7:
             break
-        good = new
-    return float(share), np.insert(ratio, 1, 0.0, axis=1)
+    return share, np.insert(rate, 1, 0.0, axis=2)
 
 
 def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -121,11 +127,13 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
     seen = box.select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).agg(F.count("*").alias("n")).orderBy(*rules).collect()  # at most 3 ** 8 rows
     p_good = F.lit(0.0)
     if seen:
-        share, ratio = estimate(np.array([[r[k] for k in rules] for r in seen]), np.array([r.n for r in seen], float))
-        logit = F.lit(float(np.log(share / (1 - share))))
-        for by_vote, rule in zip(ratio, rules.values()):
-            logit = logit + F.element_at(F.array(*(F.lit(float(x)) for x in by_vote)), rule + 2)
-        p_good = 1 / (1 + F.exp(-logit))
+        share, rate = estimate(np.array([[r[k] for k in rules] for r in seen]), np.array([r.n for r in seen], float))
+        # the odds of each kind of junk against good; for a rule's vote they are an array of all kinds
+        odds = F.array(*(F.lit(float(x)) for x in np.log(share[1:] / share[0])))
+        for by_kind, rule in zip(np.moveaxis(rate[1:] - rate[0], 1, 0), rules.values()):
+            of_vote = F.element_at(F.array(*(F.array(*(F.lit(float(x)) for x in by_vote)) for by_vote in by_kind.T)), rule + 2)
+            odds = F.zip_with(odds, of_vote, lambda a, b: a + b)
+        p_good = 1 / (1 + F.aggregate(odds, F.lit(0.0), lambda total, x: total + F.exp(x)))
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     out = {k: F.col(k) for k in COUNTS}
     return unboxed(box, cols, **out, base_failed=failed, p_good=p_good, kept=~failed & (p_good >= threshold))

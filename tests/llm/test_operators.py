@@ -320,6 +320,13 @@ def test_quality(spark, odd):
     junk = [(100 + i, " ".join(f"ab{j}$$$ cd{i}###" for j in range(80))) for i in range(12)] + [(200 + i, "BUY NOW CHEAP PILLS " * 60) for i in range(12)]
     rows = {r.doc_id: r for r in quality.judged(make(spark, good + junk)).collect()}
     assert all(rows[i].kept for i, _ in good) and not any(rows[i].kept for i, _ in junk)
+    # the expressions give what the estimate says of each row's votes
+    voted = quality.judged(make(spark, good + junk)).select("p_good", *(v.alias(k) for k, v in quality.votes().items())).collect()
+    seen = Counter(tuple(r[1:]) for r in voted)
+    share, rate = quality.estimate(np.array(sorted(seen)), np.array([seen[p] for p in sorted(seen)], float))
+    for r in voted:
+        like = [s * np.exp(sum(of[i][v + 1] for i, v in enumerate(r[1:]))) for s, of in zip(share, rate)]
+        assert abs(r.p_good - like[0] / sum(like)) < 1e-9
     for t in ODD:
         t = t or ""
         w = t.encode().split()
@@ -335,6 +342,45 @@ def test_quality(spark, odd):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_estimate():
+    """The estimate against plain loops over patterns, classes and rules; junk as frequent as 30 % stays junk, errors of a rule on good documents stay good."""
+    rng = np.random.default_rng(5)
+    seen = Counter()
+    for i in range(4000):
+        kind = "good" if i % 10 < 7 else "symbols" if i % 10 < 9 else "phrase"
+        wrong = {"good": (0.02, 0.01, 0.01, 0.01, 0.01), "symbols": (0.02, 0.95, 0.95, 0.01, 0.01), "phrase": (0.02, 0.01, 0.01, 0.97, 0.9)}[kind]
+        seen[tuple(-1 if rng.random() < w else int(rng.random() < 0.8) for w in wrong)] += 1
+    patterns, weight = np.array(list(seen)), np.array(list(seen.values()), float)
+    share, rate = quality.estimate(patterns, weight)
+
+    def posterior(share, rate):
+        out = []
+        for p in patterns:
+            like = [s * np.prod([np.exp(r[v + 1]) if v else 1.0 for r, v in zip(of, p)]) for s, of in zip(share, rate)]
+            out.append([x / sum(like) for x in like])
+        return out
+
+    member = [[1.0, 0, 0, 0, 0, 0] if (n := sum(v < 0 for v in p)) == 0 else [g := 1 / (1 + np.exp(3.0 * n - 3)), *((1 - g) * (v < 0) / n for v in p)] for p in patterns]
+    for _ in range(1000):
+        before, shares, rates = member, [], []
+        for k in range(6):
+            shares.append((sum(w * m[k] for w, m in zip(weight, member)) + 1) / (4000 + 6))
+            of = []
+            for r in range(5):
+                bad, good = (1, 4) if k == 0 else (4, 1) if k == r + 1 else (1, 1)
+                for p, w, m in zip(patterns, weight, member):
+                    bad, good = bad + w * m[k] * (p[r] < 0), good + w * m[k] * (p[r] > 0)
+                of.append([np.log(bad / (bad + good)), 0.0, np.log(good / (bad + good))])
+            rates.append(of)
+        member = posterior(shares, rates)
+        if max(abs(a - b) for x, y in zip(member, before) for a, b in zip(x, y)) < 1e-7:
+            break
+    assert np.allclose(share, shares, atol=1e-6) and np.allclose(rate, rates, atol=1e-4)
+    good = {tuple(p): m[0] for p, m in zip(patterns, posterior(share, rate))}
+    assert abs(share[0] - 0.7) < 0.03
+    assert good[1, 1, 1, 1, 1] > 0.99 and good[-1, 1, 1, 1, 1] > 0.9 and good[1, -1, -1, 1, 1] < 0.05 and good[1, 1, 1, -1, -1] < 0.05
+
+
 def test_url_trust(spark):
     # the contract lists five rules
     assert sorted(f"{v} {h}{p}" for v, h, p in url_trust.RULES) == ["allow example.com/en/7", "allow net/de/", "block com/en/", "block example.net/de/8", "block org/es/"]
