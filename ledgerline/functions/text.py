@@ -23,9 +23,25 @@ COMMON_NAMES = (
 ACCOUNT_STOP = set("ltda me epp eireli sa s a mei ss e de da do das dos cia comercio servicos servico".split())
 
 
+def _letters(form: str) -> dict[str, str]:
+    """Lower-case signs of the Latin and full-width blocks that the normal form `form` turns into one plain letter or digit and marks."""
+    out = {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x209D), *range(0xFF01, 0xFF5F))):
+        plain = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
+        if plain != c == c.lower() and len(plain) == 1 and plain.isascii() and plain.isalnum():
+            out[c] = plain
+    return out
+
+
+def _mapped(c: Column, form: str) -> Column:
+    pairs = _letters(form) | dict(zip(ACCENTED, PLAIN))
+    # signs beyond the length of the replacement are dropped: the combining marks that stand alone
+    return F.translate(F.lower(c), "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values()))
+
+
 def fold(c: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents, composed or combining ones."""
+    return _mapped(c, "NFD")
 
 
 def digits(c: Column) -> Column:
@@ -47,8 +63,8 @@ def decimal_comma(c: Column) -> Column:
 
 
 def words_only(c: Column) -> Column:
-    """Folded text with one blank for each run of other signs than letters and digits."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    """Folded text, full-width and raised signs plain too, with one blank for each run of other signs than letters and digits."""
+    return F.trim(F.regexp_replace(_mapped(F.coalesce(c, F.lit("")), "NFKD"), "[^a-z0-9]+", " "))
 
 
 def name_tokens(c: Column) -> Column:

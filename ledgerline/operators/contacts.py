@@ -65,15 +65,22 @@ def clean_contacts(sites: DataFrame, contacts: DataFrame, shared_from: dict[str,
 
 
 def funnel(sites: DataFrame, fate: DataFrame) -> DataFrame:
-    """(metric, n): raw, kept and dropped contacts by kind and reason, and sites by status and by what they show."""
+    """(metric, n): raw, kept and dropped contacts by kind and reason, and sites by status and by what they show.
+
+    Contacts count for sites that are ok after the landing test only. <kind>_after is what the cleaned table holds before
+    repeats within a site are merged, ok_raw and ok are the sites that contacts are taken from.
+    """
+    fate, own = fate.where("status = 'ok'"), marked_sites(sites)
     reason = F.coalesce("reason", F.lit("kept"))
+    after = fate.where("reason IS NULL").groupBy(F.concat_ws("_", "kind", F.lit("after")).alias("metric")).agg(F.count("*").alias("n"))
+    ok = own.where("status = 'ok'").agg(F.count("*").alias("n")).select(F.explode(F.array(F.lit("ok_raw"), F.lit("ok"))).alias("metric"), "n")
     raw = fate.groupBy(F.concat_ws("_", "kind", F.lit("raw")).alias("metric")).agg(F.count("*").alias("n"))
     by_reason = fate.groupBy(F.concat_ws("_", "kind", F.when(reason == "kept", reason).otherwise(F.concat(F.lit("drop_"), reason))).alias("metric")).agg(F.count("*").alias("n"))
     shown = fate.where("reason IS NULL").select("domain", "kind").distinct()
     by_kind = shown.groupBy(F.concat_ws("_", "kind", F.lit("sites")).alias("metric")).agg(F.count("*").alias("n"))
     any_kind = shown.where("kind <> 'social'").agg(F.lit("any_contact_sites").alias("metric"), F.count_distinct("domain").alias("n"))
-    status = marked_sites(sites).groupBy(F.concat(F.lit("status_"), F.col("status")).alias("metric")).agg(F.count("*").alias("n"))
-    return raw.unionByName(by_reason).unionByName(by_kind).unionByName(any_kind).unionByName(status).orderBy("metric")
+    status = own.groupBy(F.concat(F.lit("status_"), F.col("status")).alias("metric")).agg(F.count("*").alias("n"))
+    return raw.unionByName(after).unionByName(ok).unionByName(by_reason).unionByName(by_kind).unionByName(any_kind).unionByName(status).orderBy("metric")
 
 
 def sweep_outcome(sites: DataFrame) -> DataFrame:

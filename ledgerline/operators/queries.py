@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import codes
 from ..functions.text import fold, formatted_key
 from ..functions.web import mail_domain
+from .accounts import account_matches
 from .filters import Filters, contains_folded, one_of, only_digits, page, state, text_guard
 
 ORDERS = {
@@ -175,7 +176,27 @@ def head_offices(establishments: DataFrame) -> DataFrame:
     return establishments.where("matriz_filial = 1").withColumn("place", first).where("place = 1").drop("place")
 
 
-def company_records(establishments: DataFrame, partners: DataFrame, activities: DataFrame, keys: DataFrame, scores: DataFrame | None = None, sites: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+def of_root(establishments: DataFrame, root: str) -> DataFrame:
+    """All establishments of one root, as a range of keys that the key-sorted layout's statistics prune."""
+    root = only_digits(root, "cnpj", 8, 14)[:8]
+    return establishments.where(F.col("cnpj").between(root + "0" * 6, root + "9" * 6))
+
+
+def company_record(establishments: DataFrame, partners: DataFrame, activities: DataFrame, cnpj: str, **more: DataFrame | None) -> DataFrame:
+    """company_records of one key or root; only its root's part of the tables is read. `more` as there."""
+    digits = only_digits(cnpj, "cnpj", 8, 14)
+    keys = establishments.sparkSession.sql("SELECT :key AS cnpj", args={"key": digits})
+    return company_records(of_root(establishments, digits), partners.where(F.col("cnpj_basico") == digits[:8]), activities, keys, **more)
+
+
+def with_accounts(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Adds account: the first of a company's numbers that a check found an account of, and how well its name fits; null without one."""
+    companies = rows.where("cnpj IS NOT NULL").select("cnpj", "razao_social", "nome_fantasia", "ddd1", "telefone1", "ddd2", "telefone2").dropDuplicates(["cnpj"])
+    known = account_matches(companies, checks)
+    return rows.join(known.select("cnpj", F.struct(*(c for c in known.columns if c != "cnpj")).alias("account")), "cnpj", "left").select(*rows.columns, "account")
+
+
+def company_records(establishments: DataFrame, partners: DataFrame, activities: DataFrame, keys: DataFrame, scores: DataFrame | None = None, sites: DataFrame | None = None, matches: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
     """One wide record for each key of `keys` (column cnpj: 14 digits, or a root of 8 for its head office); found is false for unknown ones.
 
     `keys` is a small set. Partners: the first 100 by entry date; secondary activities: the first 50, with their texts.
@@ -195,6 +216,7 @@ def company_records(establishments: DataFrame, partners: DataFrame, activities:
     out = asked.join(rows, "asked", "left").join(totals, "cnpj_basico", "left").join(linked, "cnpj_basico", "left").join(second, "asked", "left")
     out = out.withColumns({"found": F.col("cnpj").isNotNull(), "cnpj_formatado": formatted_key(F.col("cnpj")), "situacao": codes.label(F.col("situacao_cadastral"), codes.STATUS), "porte_nome": codes.label(F.col("porte"), codes.SIZES)})
     out = with_scores(out, scores) if scores is not None else out
+    out = with_accounts(out, checks) if checks is not None else out
     return with_sites(out, sites, matches) if sites is not None else out
 
 
@@ -244,8 +266,10 @@ def companies_at_address(
     cols = "cnpj razao_social nome_fantasia data_inicio_atividade cnae_principal_descricao tipo_logradouro logradouro numero complemento bairro cep municipio uf".split()
     total = rows.agg(F.count("*").alias("total_matching"))
     out = rows.select(*cols, codes.label(F.col("situacao_cadastral"), codes.STATUS).alias("situacao"), formatted_key(F.col("cnpj")).alias("cnpj_formatado"))
-    out = out.orderBy(F.col("complemento").asc_nulls_last(), "cnpj").offset(offset).limit(limit)
-    return out.join(F.broadcast(total))  # one row
+    order = [F.col("complemento").asc_nulls_last(), "cnpj"]
+    out = out.orderBy(*order).offset(offset).limit(limit)
+    # the total's one row stays when the page is past the end; a page is small
+    return total.join(F.broadcast(out), F.lit(True), "left").select(*out.columns, "total_matching").orderBy(*order)
 
 
 def lookup_codes(table: DataFrame, text: str, limit: int = 25, establishments: DataFrame | None = None) -> DataFrame:

@@ -23,6 +23,10 @@ BY_STATUS = {"ok": "none", "tool_error": "tool_error", "rpc_error": "rpc_error",
 ERROR_CLASSES = ("validation", "timeout", "db_error", "internal", "tool_error", "rpc_error", "rate_limit", "http_error", "aborted")
 EXPECTED = ("validation", "busy", "not_found")
 RESULT_BUCKETS = ("0", "1-10", "10-100", "100+", "unknown")
+ARGUMENTS = (
+    "uf municipio municipio_codigo cnae include_secondary cnae_strict cnae_secao situacao matriz_only porte natureza_juridica capital_min capital_max opened_from opened_to closed_from closed_to "
+    "mei simples name_contains cep partner_name group_by unit metric order order_by limit offset include_contacts min_contact_score cnpj name contains cpf_middle logradouro_contains numero table text"
+).split()
 
 
 def duration_label(ms: Column) -> Column:
@@ -42,6 +46,53 @@ def result_bucket(rows: Column, control_rows: Column | None = None) -> Column:
     return F.when(n.isNull(), "unknown").when(n <= 0, "0").when(n <= 10, "1-10").when(n <= 100, "10-100").otherwise("100+")
 
 
+def response_buckets(body: Column) -> Column:
+    """array<string>: how many rows each message of a JSON response gave back, in RESULT_BUCKETS; nothing of the texts comes out.
+
+    A message's data is its structured content, or its text blocks (one block: its JSON; several: a list of them). Lists
+    count their rows without page totals and truncation marks, records their companies or partners, else one row.
+    Errors give unknown; a body that isn't JSON, or has a text block that isn't, gives an empty array.
+    """
+
+    def starts(c: Column, sign: str) -> Column:
+        return F.ltrim(c).startswith(sign)
+
+    def has(record: Column, key: str) -> Column:
+        return F.array_contains(F.json_object_keys(record), key)
+
+    def let(value: Column, then) -> Column:
+        return F.transform(F.array(value), then)[0]  # value is worked out once, however often `then` names it
+
+    def of_rows(rows: Column) -> Column:
+        control = F.filter(rows, lambda r: (F.contains(r, F.lit('"total_matching"')) | F.contains(r, F.lit('"truncated"'))) & starts(r, "{") & (has(r, "total_matching") | F.get_json_object(r, "$.truncated").eqNullSafe("true")))
+        return F.size(rows) - F.size(control)
+
+    def of_record(data: Column) -> Column:
+        lists = F.coalesce(*(let(F.get_json_object(data, f"$.{k}"), lambda x: F.when(starts(x, "["), F.json_array_length(x))) for k in ("companies", "partners")))
+        return F.coalesce(lists, F.when((F.size(F.json_object_keys(data)) == 0) | has(data, "error"), 0).otherwise(1))
+
+    def of_data(data: Column) -> Column:
+        inner = let(F.when(starts(data, "{"), F.get_json_object(data, "$.result")), lambda x: F.when(starts(x, "["), x))
+        rows = let(F.when(starts(data, "["), data).otherwise(inner), lambda x: let(F.from_json(x, "array<string>"), of_rows))
+        return let(F.coalesce(rows, F.when(starts(data, "{"), of_record(data))), result_bucket)
+
+    def of_texts(texts: Column) -> Column:
+        joined = F.when(F.size(texts) == 1, texts[0]).otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+        return F.when(F.forall(texts, lambda t: F.try_parse_json(t).isNotNull()), let(joined, of_data))
+
+    def of_message(m: Column) -> Column:
+        blocks = F.from_json(F.coalesce(F.get_json_object(m, "$.result.content"), F.lit("[]")), "array<struct<type: string, text: string>>")
+        texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
+        structured = lambda data: F.when(data.isNotNull(), of_data(data)).otherwise(let(texts, of_texts))
+        failed = F.get_json_object(m, "$.result.isError").eqNullSafe("true") | has(m, "error")
+        return F.when(failed, "unknown").otherwise(let(F.get_json_object(m, "$.result.structuredContent"), structured))
+
+    messages = F.when(starts(body, "["), F.from_json(body, "array<string>")).otherwise(F.array(body))
+    none = F.array().cast("array<string>")
+    whole = lambda out: F.when(F.forall(out, lambda b: b.isNotNull()), out).otherwise(none)
+    return F.when(F.try_parse_json(body).isNotNull(), let(F.transform(messages, of_message), whole)).otherwise(none)
+
+
 def outcome(raised: Column, code: Column, body: Column) -> Column:
     """The outcome of a call: an exception, none sent, the http class, an error in the body, or ok."""
     tool = body.contains('"isError":true') | body.contains('"isError": true')
@@ -116,8 +167,17 @@ def error_issues(events: DataFrame) -> DataFrame:
     return failed.groupBy(F.concat_ws(":", F.lit("v1"), F.coalesce("tool", F.lit("unknown")), known).alias("fingerprint")).agg(F.count("*").alias("calls"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def scrub_events(events: DataFrame, tools: list[str]) -> DataFrame:
-    """The allow-listed columns only, with unknown values replaced or made null and labels cut to safe characters."""
+def rejections(events: DataFrame, every: str = "60 seconds") -> DataFrame:
+    """(start, rejected): calls that were turned away (event rejected) by minute."""
+    turned_away = events.where("event = 'rejected'").groupBy(F.window(F.col("ts").cast("timestamp"), every)).agg(F.count("*").alias("rejected"))
+    return turned_away.select(F.col("window.start").alias("start"), "rejected")
+
+
+def scrub_events(events: DataFrame, tools: list[str], arguments: list[str] = ARGUMENTS) -> DataFrame:
+    """The allow-listed columns only, with unknown values replaced or made null and labels cut to safe characters.
+
+    Of argument_names (comma-separated) only those of `arguments` stay, each once, sorted.
+    """
     has = set(events.columns)
     get = lambda c, kind="string": F.col(c) if c in has else F.lit(None).cast(kind)
     number = lambda c: F.when(get(c, "double").between(0, 86_400_000), get(c, "double"))
@@ -132,6 +192,11 @@ def scrub_events(events: DataFrame, tools: list[str]) -> DataFrame:
         safe_label(get("client_name")).alias("client_name"),
         safe_label(get("client_version"), 32).alias("client_version"),
         version_label(get("app_version")).alias("app_version"),
+        F.when(get("deploy_version").isNotNull(), version_label(get("deploy_version"))).alias("deploy_version"),
+        F.array_join(F.array_sort(F.array_intersect(F.split(get("argument_names"), ","), F.array(*(F.lit(a) for a in arguments)))), ",").alias("argument_names"),
+        F.when(get("upstream").isin("none", "DB"), get("upstream")).alias("upstream"),
+        number("upstream_ms").alias("upstream_ms"),
+        F.when(get("cache") == "not_applicable", get("cache")).alias("cache"),
         total.alias("duration_ms"),
         db.alias("db_ms"),
         F.greatest(F.lit(0.0), total - F.coalesce(db, F.lit(0.0))).alias("local_ms"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.codes import section
+from ..functions.codes import SECTIONS, SIZES, STATUS, section
 from ..functions.text import decimal_comma, fold, null_if_empty, typed_date
+from ..operators.queries import group_keys
+from ..sources.dump import exists, register_views
 
 ESTABLISHMENT_COLUMNS = (
     "cnpj cnpj_basico cnpj_ordem matriz_filial nome_fantasia razao_social natureza_juridica natureza_juridica_descricao capital_social porte situacao_cadastral "
@@ -99,6 +102,24 @@ def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str,
     return paths
 
 
+def publish(spark: SparkSession, target: str, paths: dict[str, str]) -> None:
+    """Makes a complete build the current one: one more line in the list of versions below `target`. Older versions stay readable for those who hold them."""
+    spark.sql("SELECT current_timestamp() AS published, map_from_entries(from_json(:paths, 'array<struct<key: string, value: string>>')) AS paths", args={"paths": json.dumps([{"key": k, "value": v} for k, v in paths.items()])}).coalesce(1).write.mode("append").json(f"{target}/versions")
+
+
+def current(spark: SparkSession, target: str) -> dict[str, str] | None:
+    """Where the layouts of the newest published build are; null before the first."""
+    if not exists(spark, f"{target}/versions"):
+        return None
+    row = spark.read.schema("published timestamp, paths map<string, string>").json(f"{target}/versions").orderBy(F.desc("published")).first()
+    return dict(row.paths)
+
+
+def repoint(spark: SparkSession, target: str) -> list[str]:
+    """Points the temporary views of the layouts at the current build."""
+    return register_views(spark, {k: v for k, v in (current(spark, target) or {}).items() if k != "stats"})
+
+
 def audit(raw: dict[str, DataFrame], built: DataFrame, partners: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """(check, expected, actual, ok): raw against built rows, keys, names, head offices; with anchors (check, expected), published figures too."""
     from_raw = raw["estabelecimentos"].agg(F.count("*").alias("rows")).join(raw["socios"].agg(F.count("*").alias("links")))
@@ -120,3 +141,11 @@ def audit(raw: dict[str, DataFrame], built: DataFrame, partners: DataFrame, anch
 def dataset_info(stats: DataFrame) -> DataFrame:
     """The stats row with the first day that the snapshot covers only in part."""
     return stats.withColumn("partial_from", F.trunc(F.col("newest_opening").cast("date"), "month"))
+
+
+def dataset_description(stats: DataFrame) -> DataFrame:
+    """dataset_info with what a caller has to know to ask: the code lists of status, size and section, and the keys that counts can be grouped by."""
+    names = lambda table: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    sections = names({k: f"{lo:02}-{hi:02}" for k, (lo, hi) in SECTIONS.items()})
+    lists = {"situacao": names(STATUS), "porte": names(SIZES), "cnae_secoes": sections, "group_by_options": F.array(*(F.lit(k) for k in sorted(group_keys())))}
+    return dataset_info(stats).withColumns(lists)

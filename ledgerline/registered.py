@@ -698,3 +698,97 @@ def call_time_split(spark, sf_dir):
     out = usage.scrub_events(calls.withColumn("client_version", F.col("event_id").cast("string")), TOOLS)
     out = out.select(F.col("client_version").cast("long").alias("event_id"), "duration_ms", "db_ms", "local_ms")
     return out.join(calls.select("event_id", F.col("db_ms").alias("raw_db")), "event_id").select("event_id", "duration_ms", "raw_db", "db_ms", "local_ms")
+
+
+# records with all their blocks, one root's key range, cleaned contacts, response bodies, allow list
+
+_MATCHED = SQL["account_matches"].removeprefix(WITH)
+_MAIL = "e.email LIKE '%@%' AND lower(trim(split_part(e.email, '@', 2))) <> 'gmail.com'"
+
+
+@query(f"""SELECT e.cnpj, s.contact_score, CASE WHEN {_MAIL} THEN coalesce({_LEVEL}, 'candidate') END AS "match", m.number AS account_number, m.wa_business_name AS account_name, (SELECT count(*) FROM est t WHERE t.cnpj_basico = e.cnpj_basico) AS estabelecimentos_total
+ FROM est e LEFT JOIN ({SCORES}) s ON s.cnpj = e.cnpj LEFT JOIN ({_MATCHED}) m ON m.cnpj = e.cnpj WHERE e.matriz_filial = 1 AND e.cnpj = (SELECT min(t.cnpj) FROM est t WHERE t.cnpj_basico = e.cnpj_basico AND t.matriz_filial = 1)""")
+def company_record_blocks(spark, sf_dir):
+    e = demo.establishments(spark, sf_dir)
+    swept, matches = _sites(spark, sf_dir)
+    heads = ask.head_offices(e).select(F.col("cnpj_basico").alias("cnpj"))
+    none = spark.createDataFrame([], "codigo string, descricao string")
+    out = ask.company_records(e, demo.partners(spark, sf_dir), none, heads, scores.contact_scores(e), swept, matches, _checks(spark, sf_dir))
+    block = "registry_contact_quality"
+    return out.select("cnpj", f"{block}.contact_score", "website_contacts.match", F.col("account.number").alias("account_number"), F.col("account.wa_business_name").alias("account_name"), "estabelecimentos_total")
+
+
+@query("SELECT cnpj FROM est WHERE cnpj_basico = '00000014'")
+def establishments_of_root(spark, sf_dir):
+    return ask.of_root(demo.establishments(spark, sf_dir), "00000014").select("cnpj")
+
+
+_SHOP = "'d' || CAST(c_custkey % 40 AS STRING) || '.com.br'"
+_SOCIAL = "CASE c_custkey % 4 WHEN 0 THEN 'instagram:reel' WHEN 1 THEN 'instagram:vendedor' ELSE 'instagram:u' || CAST(c_custkey AS STRING) END"
+_SHOP_STATE = "CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' WHEN c_custkey % 40 % 7 = 0 THEN 'redirects_to_platform' ELSE 'ok' END"
+
+
+@query(f"""WITH sites AS (SELECT DISTINCT {_SHOP} AS domain, {_SHOP_STATE} AS status FROM customer),
+ items AS (SELECT {_SHOP} AS domain, 'social' AS kind, {_SOCIAL} AS value FROM customer UNION ALL SELECT {_SHOP}, 'emails', 'm' || CAST(c_custkey AS STRING) || '@loja.com.br' FROM customer),
+ good AS (SELECT DISTINCT i.domain, i.kind, i.value FROM items i JOIN sites s ON s.domain = i.domain AND s.status = 'ok'),
+ fate AS (SELECT g.domain, g.kind, g.value, CASE WHEN g.value = 'instagram:reel' THEN 'generic' WHEN n >= CASE g.kind WHEN 'social' THEN 10 ELSE 25 END THEN 'shared' END AS reason FROM good g JOIN (SELECT kind, value, count(*) AS n FROM good GROUP BY 1, 2) c ON c.kind = g.kind AND c.value = g.value)
+ SELECT kind || '_raw' AS metric, count(*) AS n FROM fate GROUP BY 1 UNION ALL SELECT kind || '_after', count(*) FROM fate WHERE reason IS NULL GROUP BY 1 UNION ALL SELECT kind || '_kept', count(*) FROM fate WHERE reason IS NULL GROUP BY 1
+ UNION ALL SELECT kind || '_drop_' || reason, count(*) FROM fate WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT kind || '_sites', count(DISTINCT domain) FROM fate WHERE reason IS NULL GROUP BY 1
+ UNION ALL SELECT 'any_contact_sites', count(DISTINCT domain) FROM fate WHERE reason IS NULL AND kind <> 'social' UNION ALL SELECT unnest(['ok', 'ok_raw']), count(*) FROM sites WHERE status = 'ok' UNION ALL SELECT 'status_' || status, count(*) FROM sites GROUP BY 1""", views=False)
+def cleaned_funnel(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    shop = F.expr(_SHOP).alias("domain")
+    leads_to = F.expr("CASE WHEN c_custkey % 40 % 7 = 0 THEN 'https://www.instagram.com/x' ELSE concat('https://', d, '/') END")
+    swept = c.select(shop, F.expr(_SHOP).alias("d"), "c_custkey").select("domain", F.expr("CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' ELSE 'ok' END").alias("status"), leads_to.alias("final_url")).distinct()
+    made = lambda kind, value, rows=c: rows.select(shop, F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit("").alias("source_url"))
+    shown = made("social", _SOCIAL).unionByName(made("emails", "concat('m', c_custkey, '@loja.com.br')")).distinct()
+    return contacts.funnel(swept, contacts.clean_contacts(swept, shown)[1])
+
+
+_ROWS = "event_id % 130"
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN b WHEN 1 THEN 'unknown' WHEN 2 THEN 'unknown' WHEN 3 THEN b || ',1-10' WHEN 4 THEN b WHEN 5 THEN CASE WHEN n = 1 THEN '1-10' ELSE b END ELSE '' END AS buckets
+ FROM (SELECT event_id, n, CASE WHEN n = 0 THEN '0' WHEN n <= 10 THEN '1-10' WHEN n <= 100 THEN '10-100' ELSE '100+' END AS b FROM (SELECT event_id, event_id % 130 AS n FROM events))""", views=False)
+def response_buckets(spark, sf_dir):
+    rows = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.expr(f"CAST({_ROWS} AS INT)")), lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit("}"))), ","), F.lit("]"))
+    # one row too many is made, and one of them is turned into a page total, which doesn't count
+    rows = F.replace(rows, F.lit('{"i":0}'), F.lit('{"total_matching":9}'))
+    wrap = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    blocks = F.array_join(F.transform(F.sequence(F.lit(1), F.expr(f"CAST({_ROWS} AS INT)")), lambda i: F.concat(F.lit('{"type":"text","text":"{\\"i\\":'), i.cast("string"), F.lit('}"}'))), ",")
+    blocks = F.when(F.expr(f"{_ROWS} > 0"), blocks).otherwise(F.lit(""))
+    listed = wrap('{"result":{"structuredContent":', rows, "}}")
+    body = F.expr("event_id % 7")
+    body = (
+        F.when(body == 0, listed).when(body == 1, F.lit('{"error":{"code":1}}')).when(body == 2, F.lit('{"result":{"isError":true,"content":[]}}'))
+        .when(body == 3, wrap("[", wrap('{"result":{"structuredContent":{"result":', rows, "}}}"), ',{"result":{"structuredContent":{"a":1}}}]'))
+        .when(body == 4, F.replace(wrap('{"result":{"structuredContent":{"companies":', rows, "}}}"), F.lit('{"total_matching":9},'), F.lit("")))
+        .when(body == 5, wrap('{"result":{"content":[', blocks, "]}}")).otherwise(F.lit('{"result":'))
+    )
+    body = F.replace(body, F.lit('"companies":[{"total_matching":9}]'), F.lit('"companies":[]'))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(usage.response_buckets(body), ",").alias("buckets"))
+
+
+@query("""SELECT CASE event_id % 3 WHEN 0 THEN 'limit,uf' WHEN 1 THEN 'cnae' ELSE '' END AS argument_names, CASE event_id % 4 WHEN 0 THEN 'DB' WHEN 1 THEN 'none' END AS upstream, CASE WHEN event_id % 5 < 2 THEN 0.0 END AS upstream_ms,
+ CASE WHEN event_id % 2 = 0 THEN 'not_applicable' END AS cache, CASE event_id % 3 WHEN 0 THEN '2024.1' WHEN 1 THEN 'unknown' END AS deploy_version, count(*) AS n FROM events GROUP BY ALL""", views=False)
+def scrubbed_fields(spark, sf_dir):
+    made = {
+        "argument_names": "CASE event_id % 3 WHEN 0 THEN 'uf,secret,limit,uf' WHEN 1 THEN 'cnae' ELSE 'password' END", "upstream": "CASE event_id % 4 WHEN 0 THEN 'DB' WHEN 1 THEN 'none' ELSE 'other' END",
+        "upstream_ms": "CASE WHEN event_id % 5 < 2 THEN 0.0D WHEN event_id % 5 = 2 THEN -1.0D ELSE 86400001.0D END", "cache": "CASE WHEN event_id % 2 = 0 THEN 'not_applicable' ELSE 'hit' END",
+        "deploy_version": "CASE event_id % 3 WHEN 0 THEN '2024.1' WHEN 1 THEN 'a b' END",
+    }
+    out = usage.scrub_events(demo.events(spark, sf_dir).withColumns({k: F.expr(v) for k, v in made.items()}), TOOLS)
+    return out.groupBy(*made).agg(F.count("*").alias("n"))
+
+
+@query("SELECT month, newest_opening, establishments, companies, situacao, group_by_options FROM (SELECT '2026-09' AS month, strftime(max(data_inicio_atividade), '%Y-%m-%d') AS newest_opening, count(*) AS establishments, CAST(sum(CASE WHEN matriz_filial = 1 THEN 1 ELSE 0 END) AS BIGINT) AS companies, '01=nula,02=ativa,03=suspensa,04=inapta,08=baixada' AS situacao, 16 AS group_by_options FROM est)")
+def dataset_description(spark, sf_dir):
+    out = build.dataset_description(build.snapshot_stats(demo.establishments(spark, sf_dir), demo.partners(spark, sf_dir), "2026-09"))
+    status = F.array_join(F.transform(F.map_entries("situacao"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("month", F.date_format("newest_opening", "yyyy-MM-dd").alias("newest_opening"), "establishments", "companies", status.alias("situacao"), F.size("group_by_options").alias("group_by_options"))
+
+
+@query(f"SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS rejected FROM calls WHERE status = 'bogus' GROUP BY 1")
+def rejections_by_minute(spark, sf_dir):
+    calls = demo.events(spark, sf_dir).withColumn("event", F.when(F.col("status") == "bogus", "rejected").otherwise(F.col("event")))
+    return usage.rejections(calls).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -51,16 +51,30 @@ def write_raw(df: DataFrame, path: str) -> None:
 
 
 def ingest_dump(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame]:
-    """Every table of the dump as raw Parquet under `target`; a table that is there already complete is not read again."""
-    out = {}
+    """Every table of the dump as raw Parquet under `target`, a partition for each shard; shards that are there already are not read again.
+
+    A shard counts as done once the list of done ones names it, which is written after its rows; rows of an attempt
+    that broke off are replaced. Shards that come later are added. Quoted fields can hold line ends, so a shard is read
+    by one task; the publisher splits each large table into ten.
+    """
+    files, out = shard_catalogue(spark, folder).collect(), {}  # a few dozen files
     for table in FILES:
-        path = f"{target}/{table}"
-        if not exists(spark, f"{path}/_SUCCESS"):
-            read_dump(spark, folder, table).write.mode("overwrite").parquet(path, compression="zstd")
-        out[table] = spark.read.schema(raw_schema(table)).parquet(path)
+        path, log = f"{target}/{table}", f"{target}/_shards/{table}"
+        done = {r.shard for r in spark.read.schema("shard string").json(log).collect()} if exists(spark, log) else set()
+        new = {r.path.rsplit("/", 1)[1]: r.path for r in files if r.table == table and r.path.rsplit("/", 1)[1] not in done}
+        if new:
+            rows = spark.read.schema(raw_schema(table)).options(**CSV).csv(sorted(new.values())).withColumn("shard", F.col("_metadata.file_name"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path, compression="zstd")
+            spark.createDataFrame([(n,) for n in sorted(new)], "shard string").coalesce(1).write.mode("append").json(log)
+        out[table] = spark.read.schema(raw_schema(table)).parquet(path).select(*raw_schema(table).names)
     return out
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds event rows to a table with a folder for each day of ts, so that reports over a window read only its days."""
+    events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("day").parquet(path, compression="zstd")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators import usage
 from ..operators.accounts import latest_checks
 from ..operators.usage import SESSION_SECONDS, valid_calls
 
@@ -29,6 +30,27 @@ def call_metrics(events: DataFrame, tools: list[str], every: str = "60 seconds",
     return out.select(F.col("window.start").alias("start"), "tool", "status", "bound", "calls")
 
 
+def busy_gauge(samples: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """The stream form of operators.usage.busy_gauge."""
+    return usage.busy_gauge(samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), every)
+
+
+def rejections(events: DataFrame, every: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
+    """The stream form of operators.usage.rejections."""
+    return usage.rejections(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), every)
+
+
+def append_events(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Adds the new event rows of a stream to the day-partitioned event table `target`, each exactly once, then stops. The stream form of sources.dump.append_events."""
+    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).option("compression", "zstd").partitionBy("day").trigger(availableNow=True).start()
+
+
+def once_in_flight(due: DataFrame, within: str = "15 minutes") -> DataFrame:
+    """A stream of due groups (numbers, asked_at) without those that were handed out less than `within` before."""
+    return due.withWatermark("asked_at", within).dropDuplicatesWithinWatermark(["numbers"])
+
+
 class Sessions(StatefulProcessor):
     """Keeps each caller's last handshake by event time, and drops it once it is older than the session."""
 
