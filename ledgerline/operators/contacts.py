@@ -87,3 +87,10 @@ def sweep_outcome(sites: DataFrame) -> DataFrame:
     """(status, n, share) over all swept sites."""
     total = sites.agg(F.count("*").alias("total"))
     return sites.groupBy("status").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("status", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def shown_shares(sites: DataFrame, kept: DataFrame) -> DataFrame:
+    """(kind, n, share): how many of all swept sites show a contact of each kind after cleaning."""
+    total = sites.agg(F.count("*").alias("total"))
+    shown = kept.select("domain", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n"))
+    return shown.join(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))

@@ -728,6 +728,17 @@ _SOCIAL = "CASE c_custkey % 4 WHEN 0 THEN 'instagram:reel' WHEN 1 THEN 'instagra
 _SHOP_STATE = "CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' WHEN c_custkey % 40 % 7 = 0 THEN 'redirects_to_platform' ELSE 'ok' END"
 
 
+def _shops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Swept sites of made shops, and the contacts of their customers: generic, shared and own ones."""
+    c = table(spark, sf_dir, "customer")
+    shop = F.expr(_SHOP).alias("domain")
+    leads_to = F.expr("CASE WHEN c_custkey % 40 % 7 = 0 THEN 'https://www.instagram.com/x' ELSE concat('https://', d, '/') END")
+    swept = c.select(shop, F.expr(_SHOP).alias("d"), "c_custkey").select("domain", F.expr("CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' ELSE 'ok' END").alias("status"), leads_to.alias("final_url")).distinct()
+    made = lambda kind, value, rows=c: rows.select(shop, F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit("").alias("source_url"))
+    shown = made("social", _SOCIAL).unionByName(made("emails", "concat('m', c_custkey, '@loja.com.br')")).distinct()
+    return swept, shown
+
+
 @query(f"""WITH sites AS (SELECT DISTINCT {_SHOP} AS domain, {_SHOP_STATE} AS status FROM customer),
  items AS (SELECT {_SHOP} AS domain, 'social' AS kind, {_SOCIAL} AS value FROM customer UNION ALL SELECT {_SHOP}, 'emails', 'm' || CAST(c_custkey AS STRING) || '@loja.com.br' FROM customer),
  good AS (SELECT DISTINCT i.domain, i.kind, i.value FROM items i JOIN sites s ON s.domain = i.domain AND s.status = 'ok'),
@@ -736,15 +747,16 @@ _SHOP_STATE = "CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' WHEN c_custkey %
  UNION ALL SELECT kind || '_drop_' || reason, count(*) FROM fate WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT kind || '_sites', count(DISTINCT domain) FROM fate WHERE reason IS NULL GROUP BY 1
  UNION ALL SELECT 'any_contact_sites', count(DISTINCT domain) FROM fate WHERE reason IS NULL AND kind <> 'social' UNION ALL SELECT unnest(['ok', 'ok_raw']), count(*) FROM sites WHERE status = 'ok' UNION ALL SELECT 'status_' || status, count(*) FROM sites GROUP BY 1""", views=False)
 def cleaned_funnel(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    shop = F.expr(_SHOP).alias("domain")
-    leads_to = F.expr("CASE WHEN c_custkey % 40 % 7 = 0 THEN 'https://www.instagram.com/x' ELSE concat('https://', d, '/') END")
-    swept = c.select(shop, F.expr(_SHOP).alias("d"), "c_custkey").select("domain", F.expr("CASE WHEN c_custkey % 40 % 5 = 0 THEN 'timeout' ELSE 'ok' END").alias("status"), leads_to.alias("final_url")).distinct()
-    made = lambda kind, value, rows=c: rows.select(shop, F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit("").alias("source_url"))
-    shown = made("social", _SOCIAL).unionByName(made("emails", "concat('m', c_custkey, '@loja.com.br')")).distinct()
+    swept, shown = _shops(spark, sf_dir)
     return contacts.funnel(swept, contacts.clean_contacts(swept, shown)[1])
 
 
+@query(SQL["cleaned_funnel"].split(" SELECT kind || '_raw'")[0] + " SELECT kind, count(DISTINCT domain) AS n, round(count(DISTINCT domain) / CAST((SELECT count(*) FROM sites) AS DOUBLE), 4) AS share FROM fate WHERE reason IS NULL GROUP BY kind", views=False)
+def shown_contact_shares(spark, sf_dir):
+    swept, shown = _shops(spark, sf_dir)
+    return contacts.shown_shares(swept, contacts.clean_contacts(swept, shown)[0])
+
+
 _ROWS = "event_id % 130"
 
 
