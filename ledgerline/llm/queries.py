@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, url_trust
+from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, token_count, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -76,8 +76,12 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judged(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, sf_dir), TOKENIZER, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op13_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
