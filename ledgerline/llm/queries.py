@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, token_count, url_trust
+from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, source_audit, token_count, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -76,16 +76,20 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judged(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audited(documents(spark, sf_dir, "lang", "source", "text"), min_docs=10, top_terms=10)
+
+
 def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), TOKENIZER, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op13_token_count)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op11_source_audit, op13_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL}
 
 
 OP1_SQL = r"""
@@ -160,3 +164,40 @@ SELECT conv_id, count(*) AS n_turns,
          + CASE WHEN after = role THEN 0 WHEN role = 'user' THEN 8 ELSE 4 END) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents)
+, words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs)
+, terms AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10)
+, sizes AS (SELECT lang, count(*) AS v, sum(total) AS n FROM terms GROUP BY lang)
+, sources AS (SELECT DISTINCT lang, source FROM docs)
+, found AS (
+  SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN terms USING (lang, term) GROUP BY lang, source, term)
+, grid AS (
+  SELECT s.lang, s.source, t.term, coalesce(f.c, 0) AS c, t.total
+  FROM sources s JOIN terms t ON t.lang = s.lang
+  LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = t.term)
+, shares AS (
+  SELECT g.lang, g.source, g.term, g.c,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (g.c + 2) // (sum(g.c) OVER (PARTITION BY g.lang, g.source) + 2 * z.v) AS BIGINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (g.total + 2) // (z.n + 2 * z.v) AS BIGINT) AS q
+  FROM grid g JOIN sizes z ON z.lang = g.lang)
+, pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source)
+, rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 10
+"""

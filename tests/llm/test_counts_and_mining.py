@@ -1,6 +1,9 @@
 """Token counts, the source divergence audit and hard-negative mining against brute force and odd input."""
 
 import random
+import re
+from collections import Counter
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from ledgerline.llm import queries, token_count
+from ledgerline.llm import queries, source_audit, token_count
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -47,3 +50,48 @@ def test_op13_whole_table(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall()
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op13_token_count(spark, folder).collect()}
     assert got == {i: (len((t or "").encode()), n, n > 512) for (i, t), n in zip(rows, library_counts([t for _, t in rows]))}
+
+
+def audit_loops(rows, min_docs, top):
+    """The audit's contract by plain loops: {(lang, source, part, item): (value, rank)}."""
+    words = lambda t: [w.encode().lower().decode() for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    docs = [(lang or "", source or "", words(text)) for lang, source, text in rows]
+    out = {}
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        df = Counter(t for d in own for t in set(d[2]))
+        kept = sorted(t for t, n in df.items() if n >= min_docs)
+        counts = {s: Counter(t for d in own if d[1] == s for t in d[2] if df[t] >= min_docs) for s in {d[1] for d in own}}
+        total = sum(counts.values(), Counter())
+        share = lambda c: {t: 1 + 10**9 * (c[t] + 2) // (sum(c.values()) + 2 * len(kept)) for t in kept}
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        p, q = {s: share(c) for s, c in counts.items()}, share(total)
+        for s in counts:
+            pairs = sorted(((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in counts if o != s))
+            terms = sorted((-f(p[s][t], q[t]), t.encode(), t) for t in kept if counts[s][t] and p[s][t] > q[t])[:top]
+            for part, ranked in (("pair", pairs), ("term", terms)):
+                out |= {(lang, s, part, item): (-v, i + 1) for i, (v, _, item) in enumerate(ranked)}
+    return out
+
+
+@pytest.mark.parametrize("segment, block", [(8192, 32), (3, 2)])
+def test_source_audit_against_loops(spark, segment, block):
+    rng = random.Random(5)
+    vocabulary = ["a", "B", "b", "\u00e9t\u00e9", "\u00c9t\u00e9", "\U0001d518x", "z", "\ufffd", *(f"w{chr(97 + i)}" for i in range(12))]
+    rows = [(lang, f"s{s}", " ".join(rng.choices(vocabulary, weights=range(1, 21), k=rng.randint(0, 25))) + "1 b-b") for lang, s in product(("x", "y"), range(5)) for _ in range(4)]
+    rows += [(None, None, None), ("x", None, "lone"), ("x", "s0", None), ("z", "one", "alone"), ("z", "two", "1 2 3"), ("x", "s1", "b" * 100_000)] + [("x", "s2", "wa wb B b")] * 7
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "lang string, source string, text string, term string, member int")
+    out = source_audit.audited(docs, min_docs=4, top_terms=3, segment=segment, block=block)
+    assert out.columns == ["lang", "source", "part", "item", "value", "rank"]
+    got = [((r.lang, r.source, r.part, r["item"]), (r.value, r.rank)) for r in out.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == audit_loops(rows, 4, 3)
+
+
+def test_source_audit_empty_and_shared_nodes(spark):
+    assert source_audit.audited(spark.createDataFrame([], "lang string, source string, text string")).count() == 0
+    forest = source_audit.Forest(np.array([[3, 0] * 512, [5, 0] * 512]))
+    assert [len(made) for _, made, _ in forest.levels] == [2] * 10  # identical subtrees are one node
+    x, y, places = forest.leaf_pairs(0, 1)
+    assert sorted(zip(forest.counts[x].tolist(), forest.counts[y].tolist(), places.tolist())) == [(0, 0, 512), (3, 5, 512)]
+    big = np.array([0, 1, 10**13])
+    assert source_audit.shares(big, 10**13, 3).tolist() == [1 + 10**9 * (c + 2) // (10**13 + 6) for c in big.tolist()]
