@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, line_dedup, lm_score, near_dedup, packing, quality, secrets, source_audit, token_count, url_trust
+from . import bpe, chat, flac, hard_negatives, line_dedup, lm_score, near_dedup, packing, quality, secrets, source_audit, token_count, url_trust
 from .common import documents
 
 #: The tokenizer file of the registered queries.
@@ -80,16 +80,22 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audited(documents(spark, sf_dir, "lang", "source", "text"), min_docs=10, top_terms=10)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.expr("if(id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mined(vectors, anchor=F.expr("id % 100 = 0"), relabel=moved, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), TOKENIZER, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op11_source_audit, op13_token_count)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op11_source_audit, op12_hard_negatives, op13_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
 
 
 OP1_SQL = r"""
@@ -201,3 +207,24 @@ SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
 WHERE part = 'pair' OR rank <= 10
 """
+
+OP12_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+, scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 100 = 0)
+, positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+       p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 10
+"""

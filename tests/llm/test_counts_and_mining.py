@@ -1,5 +1,6 @@
 """Token counts, the source divergence audit and hard-negative mining against brute force and odd input."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -8,10 +9,11 @@ from itertools import product
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from ledgerline.llm import queries, source_audit, token_count
+from ledgerline.llm import hard_negatives, queries, source_audit, token_count
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -95,3 +97,62 @@ def test_source_audit_empty_and_shared_nodes(spark):
     assert sorted(zip(forest.counts[x].tolist(), forest.counts[y].tolist(), places.tolist())) == [(0, 0, 512), (3, 5, 512)]
     big = np.array([0, 1, 10**13])
     assert source_audit.shares(big, 10**13, 3).tolist() == [1 + 10**9 * (c + 2) // (10**13 + 6) for c in big.tolist()]
+
+
+def mining_loops(rows, anchor, positives, negatives, low, high):
+    """The mining's contract by plain loops, over (id, label, components)."""
+    good = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in rows if None not in (i, label, v) and all(x is not None and abs(x) <= 2**18 for x in v)]
+    out = []
+    for a, own, u in filter(lambda r: anchor(r[0]), good):
+        scored = [(-sum(x * y for x, y in zip(u, v)), i, label) for i, label, v in good]
+        for ps, p, _ in sorted(s for s in scored if s[2] == own and s[1] != a)[:positives]:
+            fit = sorted(s for s in scored if s[2] != own and low * -ps <= 100 * -s[0] <= high * -ps)[:negatives]
+            out += [(a, p, rank, n, -ps, -s) for rank, (s, n, _) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def test_hard_negatives_against_loops(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randint(0, 2), [rng.choice([-1.5, -0.3, 0.0, 0.004, 0.25, 1.0]) for _ in range(3)]) for i in range(-20, 160)]
+    rows += [(i, 1, [1.0, 0.25, 0.25]) for i in range(200, 240)] + [rows[5], rows[30], (300, 0, [1.0]), (310, 1, []), (320, 2, [2.0, 1.0, 1.0, 5.0])]
+    rows += [(None, 1, [1.0, 1.0, 1.0]), (400, None, [1.0, 1.0, 1.0]), (410, 1, None), (420, 1, [None, 1.0, 1.0]), (430, 1, [math.nan, 0.0, 0.0]), (440, 1, [math.inf, 0.0, 0.0]), (450, 1, [1e30, 0.0, 0.0]), (460, 9, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, label int, embedding array<double>, uid int, grove string")
+    want = mining_loops(rows, lambda i: i % 10 == 0, 3, 4, 30, 90)
+    assert len(want) > 100
+    for grove, chunk in ((4 << 20, 2048), (400, 3)):
+        out = hard_negatives.mined(frame, F.expr("id % 10 = 0"), positives=3, negatives=4, grove_bytes=grove, chunk=chunk)
+        assert out.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+        assert sorted(map(tuple, out.collect())) == want
+    assert hard_negatives.mined(frame.limit(0), F.expr("id % 10 = 0")).count() == 0
+    assert hard_negatives.mined(frame.where("vec_id = 0"), F.expr("id % 10 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 2**24])
+def test_tree_search_prunes_and_is_exact(monkeypatch, scale):
+    monkeypatch.setattr(hard_negatives, "LEAF", 4)
+    monkeypatch.setattr(hard_negatives, "FAN", 3)
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, (500, 8)) * scale
+    vectors[100:300] = vectors[100]  # a large group of copies
+    ids = rng.permutation(500)
+    kind = hard_negatives.number_type(vectors, vectors)
+    assert kind is (np.float64 if scale == 1 else np.int64)
+    order = hard_negatives.packed_order(vectors, np.arange(8))
+    assert sorted(order.tolist()) == list(range(500))
+    tree = hard_negatives.Tree(ids[order], vectors[order].astype(kind))
+    anchors = vectors[rng.integers(0, 500, 40)].astype(kind)
+    bounds = [tree.bounds(anchors)]
+    looked = []
+    take = hard_negatives.Windows.take
+    monkeypatch.setattr(hard_negatives.Windows, "take", lambda self, rows: (looked.append(len(rows)), take(self, rows))[1])
+    for at in range(40):
+        scores = sorted(zip((-(vectors @ anchors[at].astype(np.int64))).tolist(), ids.tolist()))
+        cuts = [(-(1 << 62), 1 << 62), (0, -scores[40][0]), (-scores[300][0], -scores[200][0]), (1, 0)]
+        windows = hard_negatives.Windows(*map(list, zip(*cuts)), k=7)
+        hard_negatives.search([tree], bounds, at, anchors[at], None, windows)
+        assert windows.best == [[s for s in scores if low <= -s[0] <= high][:7] for low, high in cuts]
+    assert sum(looked) < 40 * 500
+    one = hard_negatives.Windows([-(1 << 62)], [1 << 62], 1)
+    looked.clear()
+    hard_negatives.search([tree], bounds, 0, anchors[0], None, one)
+    assert sum(looked) < 250  # boxes below the best score aren't opened
