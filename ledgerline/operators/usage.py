@@ -111,17 +111,30 @@ def recent(events: DataFrame, days: int, now: Column | None = None) -> DataFrame
     return events.where(F.col("ts").cast("timestamp") >= now - F.make_dt_interval(F.lit(days)))
 
 
-def attribute_sessions(events: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame:
+def attribute_sessions(events: DataFrame, seconds: int = SESSION_SECONDS, block_seconds: int = 3600) -> DataFrame:
     """Tool calls with the name and version of the caller's latest handshake, if it is less than `seconds` old.
 
-    One window over (caller, ts), where a handshake of the same instant comes first. A caller's events are sorted in
-    one task; a caller with very many is best split in time beforehand, as the stream form does.
+    A blocked scan: the last handshake of each (caller, block of time) is found by partial aggregation, carried over the
+    blocks' ends (a row a block), and within a block a window looks back over the block's own events. So a caller's
+    events are spread over as many tasks as it has blocks; a shorter block suits callers with very many events.
+    A handshake of the same instant comes before a call; of several, the one with the larger event_id counts.
+    Events without a time come before all others, and those without a caller are one caller's.
     """
-    shake = F.when(F.col("event") == "initialize", F.struct("ts", "client_name", "client_version"))
-    order = Window.partitionBy("caller").orderBy("ts", F.when(F.col("event") == "initialize", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("last", F.last(shake, ignorenulls=True).over(order)).where("event = 'tool_call'")
-    live = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last.ts").cast("timestamp")) < F.lit(seconds * 1_000_000)
-    return rows.withColumns({"client_name": F.when(live, F.col("last.client_name")), "client_version": F.when(live, F.col("last.client_version"))}).drop("last")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    block = F.floor(micros / (block_seconds * 1_000_000)).cast("long")
+    shake = F.struct("ts", "client_name", "client_version")
+    opening = F.col("event") == "initialize"
+    # a null caller or block as a value of its own, so that joins and windows deal by the same keys
+    keys = [F.struct("caller").alias("of"), F.struct(block).alias("block")]
+    rows = events.select("*", *keys)
+    ends = events.select(*keys, "event", "event_id", "ts", "client_name", "client_version").groupBy("of", "block").agg(F.max_by(F.when(opening, shake), F.when(opening, F.struct("ts", "event_id"))).alias("end"))
+    before = Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("of", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("of", "block").orderBy("ts", F.when(opening, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(carried, ["of", "block"]).withColumn("last", F.coalesce(F.last(F.when(opening, shake), ignorenulls=True).over(within), "carried"))
+    live = micros - F.unix_micros(F.col("last.ts").cast("timestamp")) < F.lit(seconds * 1_000_000)
+    rows = rows.where("event = 'tool_call'").withColumns({"client_name": F.when(live, F.col("last.client_name")), "client_version": F.when(live, F.col("last.client_version"))})
+    return rows.select(*events.columns)
 
 
 def usage_totals(events: DataFrame) -> DataFrame:

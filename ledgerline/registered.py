@@ -426,10 +426,71 @@ def _domain_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.groupBy("domain").agg(F.min("page_id").alias("n")).join(e, "n").drop("n")
 
 
-@query()
+#: Pages that speak of companies of their domain in eight ways, made from the stored ones.
+SPEAKING_PAGES = """SELECT 'loja' || CAST(p.page_id % 40 AS STRING) || '.com.br' AS domain, p.page_id AS page_no, p.html || coalesce(CASE p.page_id % 8
+ WHEN 0 THEN '<footer>CNPJ ' || substr(cnpj, 1, 2) || '.' || substr(cnpj, 3, 3) || '.' || substr(cnpj, 6, 3) || '/' || substr(cnpj, 9, 4) || '-' || substr(cnpj, 13, 2) || '</footer>'
+ WHEN 1 THEN '<p>filial ' || cnpj_basico || '/0099-11</p>'
+ WHEN 2 THEN '<h2>' || nome_fantasia || '</h2><p>CEP ' || substr(cep, 1, 5) || '-' || substr(cep, 6, 3) || '</p>'
+ WHEN 3 THEN '<p>' || upper(razao_social) || ' (' || ddd1 || ') ' || telefone1 || '</p>'
+ WHEN 4 THEN '<p>' || nome_fantasia || ' em ' || municipio || '</p>'
+ WHEN 5 THEN '<h1>' || nome_fantasia || '</h1>' WHEN 6 THEN '<div>' || razao_social || '</div>' END, '') AS html
+FROM pages p LEFT JOIN est e ON e.matriz_filial = 1 AND CAST(e.cnpj_basico AS BIGINT) = p.page_id"""
+SPEAKING_COMPANIES = "SELECT 'loja' || CAST(CAST(cnpj_basico AS BIGINT) % 40 AS STRING) || '.com.br' AS domain, cnpj, razao_social, nome_fantasia, municipio, cep, ddd1 || telefone1 AS phone1, ddd2 || telefone2 AS phone2 FROM est WHERE matriz_filial = 1"
+_PAGE_HOST = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+_HOST_PAGES = f"SELECT {_PAGE_HOST} AS domain, page_id AS page_no, html FROM pages"
+_HOST_COMPANIES = f"SELECT domain, cnpj, razao_social, nome_fantasia, municipio, cep, ddd1 || telefone1 AS phone1, ddd2 || telefone2 AS phone2 FROM (SELECT {_PAGE_HOST} AS domain, min(page_id) AS n FROM pages GROUP BY 1) JOIN est ON CAST(cnpj_basico AS BIGINT) = n WHERE matriz_filial = 1"
+
+
+def _ownership_sql(pages: str, companies: str) -> str:
+    """The ownership decision on whole texts: each company against all that the pages of its domain say."""
+    # the entities that the given pages hold
+    plain = lambda c: f"replace(replace(replace(replace({c}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+    words = lambda c: f"trim(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    shown = " || ".join(f"""list_slice(regexp_extract_all(page, '{pattern.replace("'", "''")}', 1), 1, {n})""" for pattern, n in web.PROMINENT)
+    # in the text with all else than digits and their signs made bars, a word's edge is a run of digits' edge
+    numbers = lambda pattern: f"regexp_extract_all(bars, '{pattern}', 1)"
+    digits = lambda items: f"list_transform({items}, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
+    key, postal = r"\b(\d{2}\.?\d{3}\.?\d{3}\s?/\s?\d{4}\s?-?\s?\d{2})\b", r"\b(\d{5}-?\d{3})\b"
+    phone = r"regexp_extract_all(bars, '\b(?:55\s?)?\(?0?(\d{{2}})\)?[\s.-]?(9?\d{{4}})[\s.-]?(\d{{4}})\b', {0})"
+    phones = f"list_transform(list_zip({phone.format(1)}, {phone.format(2)}, {phone.format(3)}), lambda x: x[1] || x[2] || x[3])"
+    tokens = lambda c: f"list_filter(string_split({words(c)}, ' '), lambda w: w <> '' AND w NOT IN ({quoted(text.LEGAL_WORDS)}))"
+    name = lambda c: f"list_filter(string_split(regexp_replace(array_to_string({tokens(c)}, ' '), '(^| )[0-9]{{11,14}}( [0-9]{{11,14}})*$', '\\1'), ' '), lambda w: w <> '')"
+    kind = lambda t: f"CASE WHEN len({t}) >= 2 AND length(array_to_string({t}, '')) >= 10 THEN 'multi' WHEN len({t}) = 1 AND length({t}[1]) >= 7 AND {t}[1] NOT IN ({quoted(text.COMMON_NAMES)}) THEN 'single' END"
+    where = lambda i: f"CASE WHEN kind{i} IS NULL THEN NULL WHEN contains(prominent, ' ' || name{i} || ' ') THEN 'title/heading/copyright' WHEN contains(body, ' ' || name{i} || ' ') THEN 'body' END"
+    return f"""pages_of AS ({pages}), companies_of AS ({companies}),
+ p1 AS (SELECT domain, page_no, regexp_replace(html, '[A-Za-z0-9+/=_.%-]{{150,}}', ' ', 'g') AS page FROM pages_of),
+ p2 AS (SELECT domain, page_no, {plain("regexp_replace(regexp_replace(page, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>|<svg\\b.*?</svg>', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS raw,
+  list_transform({shown}, lambda x: {plain("regexp_replace(x, '<[^>]+>', ' ', 'g')")}) AS shown FROM p1),
+ p3 AS (SELECT domain, page_no, ' ' || {words("raw")} || ' ' AS body, ' ' || array_to_string(list_transform(shown, lambda x: {words("x")}), ' | ') || ' ' AS prominent, regexp_replace(raw, '[^0-9./\\s()+-]', '|', 'g') AS bars FROM p2),
+ site AS (SELECT domain, string_agg(prominent, ' ' ORDER BY page_no) AS prominent, string_agg(body, ' ' ORDER BY page_no) AS body,
+  flatten(list({digits(numbers(key))})) AS keys,
+  flatten(list({digits(numbers(postal))})) AS postal, flatten(list({phones})) AS phones FROM p3 GROUP BY domain),
+ n1 AS (SELECT *, {name("nome_fantasia")} AS t1, {name("razao_social")} AS t2 FROM companies_of),
+ n2 AS (SELECT n1.*, {kind("t1")} AS kind1, {kind("t2")} AS kind2, array_to_string(t1, ' ') AS name1, array_to_string(t2, ' ') AS name2, {words("municipio")} AS town, replace(coalesce(cep, ''), '-', '') AS code FROM n1),
+ n3 AS (SELECT n2.*, s.keys, {where(1)} AS where1, {where(2)} AS where2, list_contains(s.keys, cnpj) AS has_key, len(list_filter(s.keys, lambda k: substr(k, 1, 8) = substr(cnpj, 1, 8))) > 0 AS has_root,
+  code <> '' AND list_contains(s.postal, code) AS has_code, coalesce(list_contains(s.phones, phone1), FALSE) OR coalesce(list_contains(s.phones, phone2), FALSE) AS has_phone, town <> '' AND contains(body, ' ' || town || ' ') AS in_town FROM n2 JOIN site s ON s.domain = n2.domain),
+ n4 AS (SELECT *, list_filter(['name_' || kind1 || '_in_' || where1, 'name_' || kind2 || '_in_' || where2], lambda x: x IS NOT NULL) AS names,
+  CASE WHEN where1 IS NOT NULL AND (kind1 = 'multi' OR where2 IS NULL OR kind2 = 'single') THEN 1 WHEN where2 IS NOT NULL THEN 2 END AS best,
+  list_filter([CASE WHEN has_code THEN 'cep' END, CASE WHEN has_phone THEN 'phone' END], lambda x: x IS NOT NULL) AS geo FROM n3),
+ n5 AS (SELECT *, CASE best WHEN 1 THEN kind1 ELSE kind2 END = 'multi' AS multi, CASE best WHEN 1 THEN where1 ELSE where2 END <> 'body' AS stands_out, length(CASE best WHEN 1 THEN name1 ELSE name2 END) AS size FROM n4)
+ SELECT domain, cnpj, CASE WHEN has_key OR has_root THEN 'confirmed' WHEN best IS NULL THEN 'candidate' WHEN len(geo) > 0 THEN CASE WHEN multi THEN 'confirmed' ELSE 'likely' END
+   WHEN in_town THEN CASE WHEN multi AND stands_out THEN 'confirmed' ELSE 'likely' END WHEN multi OR stands_out AND size >= 8 THEN 'likely' ELSE 'candidate' END AS level,
+  array_to_string(CASE WHEN has_key THEN ['cnpj_on_page'] WHEN has_root THEN ['cnpj_root_on_page'] WHEN best IS NULL THEN CAST([] AS VARCHAR[]) WHEN len(geo) > 0 THEN names || geo WHEN in_town THEN names || ['city'] ELSE names END, ',') AS evidence FROM n5"""
+
+
+@query(f"SELECT * FROM (WITH {_ownership_sql(_HOST_PAGES, _HOST_COMPANIES)})")
 def site_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(web.url_host(F.col("url")).alias("domain"), F.col("page_id").alias("page_no"), "html")
-    return sites.match_sites(pages, _domain_companies(spark, sf_dir))
+    return sites.match_sites(pages, _domain_companies(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query(f"SELECT * FROM (WITH {_ownership_sql(SPEAKING_PAGES, SPEAKING_COMPANIES)})")
+def site_ownership(spark, sf_dir):
+    est, pages = demo.establishments(spark, sf_dir), table(spark, sf_dir, "pages")
+    made = spark.sql(SPEAKING_PAGES.replace("FROM pages p", "FROM {pages} p").replace("JOIN est e", "JOIN {est} e"), pages=pages, est=est)
+    companies = spark.sql(SPEAKING_COMPANIES.replace("FROM est", "FROM {est}"), est=est).withColumn("phones", F.array_compact(F.array("phone1", "phone2")))
+    return sites.match_sites(made, companies).withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,38 +53,65 @@ def once_in_flight(due: DataFrame, within: str = "15 minutes") -> DataFrame:
 
 
 class Sessions(StatefulProcessor):
-    """Keeps each caller's last handshake by event time, and drops it once it is older than the session."""
+    """Keeps each caller's handshakes as long as a call that may still come can belong to one.
+
+    A handshake is of no more use once the watermark is `seconds` past it: a timer at that event time drops it, so a
+    caller who never comes back leaves no state. A call takes the latest handshake known that isn't later than itself,
+    also when it comes after younger events; a handshake that comes after a call it precedes doesn't change that call.
+    Rows older than the watermark are dropped by Spark before they get here.
+    """
 
     def __init__(self, seconds: int = SESSION_SECONDS):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp, client_name string, client_version string")
+        self.handle = handle
+        self.shakes = handle.getListState("shakes", "ts timestamp, event_id long, client_name string, client_version string")
+
+    def _keep(self, shakes: list[tuple], watermark_ms: int) -> None:
+        """Stores the handshakes that are still of use, and sets a timer for the first that won't be."""
+        keep = [s for s in shakes if self._end(s) > watermark_ms]
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if keep:
+            self.shakes.put(keep)
+            self.handle.registerTimer(self._end(keep[0]))
+        elif self.shakes.exists():
+            self.shakes.clear()
+
+    def _end(self, shake: tuple) -> int:
+        return int(pd.Timestamp(shake[0]).value // 1_000_000) + self.seconds * 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows)
-        batch = batch.assign(turn=(batch.event != "initialize").astype(int)).sort_values(["ts", "turn", "event_id"])
-        last, out = (self.last.get() if self.last.exists() else None), []
-        for r in batch.itertuples():
-            if r.event == "initialize":
-                last = (r.ts.to_pydatetime(), r.client_name, r.client_version)
-            elif r.event == "tool_call":
-                live = last is not None and (r.ts - pd.Timestamp(last[0])).total_seconds() < self.seconds
-                out.append((r.event_id, r.ts, r.tool, key[0], last[1] if live else None, last[2] if live else None))
-        if last is not None and (batch.ts.max() - pd.Timestamp(last[0])).total_seconds() < self.seconds:
-            self.last.update(last)
-        else:
-            self.last.clear()
+        known = [tuple(s) for s in self.shakes.get()] if self.shakes.exists() else []
+        new = batch[batch.event == "initialize"]
+        known += [(r.ts.to_pydatetime(), r.event_id, r.client_name, r.client_version) for r in new.itertuples()]
+        known.sort(key=lambda s: (pd.Timestamp(s[0]), s[1]))
+        times = [pd.Timestamp(s[0]) for s in known]
+        out = []
+        for r in batch[batch.event == "tool_call"].sort_values(["ts", "event_id"]).itertuples():
+            i = bisect_right(times, r.ts) - 1
+            live = i >= 0 and (r.ts - times[i]).total_seconds() < self.seconds
+            out.append((r.event_id, r.ts, r.tool, key[0], known[i][2] if live else None, known[i][3] if live else None))
+        self._keep(known, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["event_id", "ts", "tool", "caller", "client_name", "client_version"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep([tuple(s) for s in self.shakes.get()] if self.shakes.exists() else [], timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame([], columns=["event_id", "ts", "tool", "caller", "client_name", "client_version"])
+
     def close(self) -> None:
         pass
 
 
-def attribute_sessions(events: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame:
-    """The stream form of operators.usage.attribute_sessions; needs the RocksDB state store. Events of a caller must not come later than those of a later batch."""
-    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event", "tool", "caller", "client_name", "client_version")
-    return rows.groupBy("caller").transformWithStateInPandas(Sessions(seconds), outputStructType=SESSION_OUTPUT, outputMode="Append", timeMode="None")
+def attribute_sessions(events: DataFrame, seconds: int = SESSION_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The stream form of operators.usage.attribute_sessions; needs the RocksDB state store.
+
+    Rows may be up to `late` behind the newest one seen; later ones are dropped, and so are rows without a time.
+    """
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event", "tool", "caller", "client_name", "client_version").where("ts IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("caller").transformWithStateInPandas(Sessions(seconds), outputStructType=SESSION_OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def upsert_checks(checks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
