@@ -17,15 +17,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import boxed, staged, unboxed
 
 KEY = r"A-Za-z0-9+/_\-"
 CREDENTIAL = r"(?i)pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|credential|private|bearer|client.?key"
-#: A value: after a credential word and a sign of assignment, after Bearer, or the password of a url; else a run of key characters.
+#: A value: after a credential word and a sign of assignment, after Bearer, or the password of a url (behind a user name of at most 1,024 characters); else a run of key characters.
 ASSIGNED = r"""(?<=[:=\s"'])(?:(?<=[:=>]{1,2}["'\s]{0,3})(?<=(?i:pass|password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|auth|credential|private.?key|client.?key)["']?\s{0,2}[:=>]{1,2}["'\s]{0,3})|(?<=(?i:bearer)\s))"""
-IN_URL = r"(?<=:)(?<=//[^\s/:@]{1,64}:)[^\s/:@]{3,256}+(?=@)"
-CANDIDATE = rf"""{ASSIGNED}[^\s"'`<>,;(){{}}\[\]]{{4,4096}}+|{IN_URL}|(?<![{KEY}])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z0-9+/_\-]*+[a-z]++[a-z0-9+/_\-]*+[A-Z])[{KEY}]{{16,}}+={{0,2}}"""
+IN_URL = r"(?<=:)(?<=//[^\s/:@]{1,1024}:)[^\s/:@]{3,}+(?=@)"
+CANDIDATE = rf"""{ASSIGNED}[^\s"'`<>,;(){{}}\[\]]{{4,}}+|{IN_URL}|(?<![{KEY}])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z0-9+/_\-]*+[a-z]++[a-z0-9+/_\-]*+[A-Z])[{KEY}]{{16,}}+={{0,2}}"""
 AROUND = 48
 #: Findings of each kind that the templates make.
 TEMPLATES = 300
@@ -84,7 +85,7 @@ def _features(word: Column, before: Column, after: Column, path: Column) -> dict
 
 def _candidates(box: DataFrame) -> DataFrame:
     """One row (key, id, k, start, word, before, after, path) for each candidate of (key, id, text, path)."""
-    hit = box.where(F.col("text").rlike(CANDIDATE)).select("key", "id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("words"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    hit = box.where(F.col("text").rlike(CANDIDATE)).select(F.monotonically_increasing_id().alias("n"), "key", "id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("words"), F.split("text", CANDIDATE, -1).alias("gaps"))
     # a word starts after the gaps up to it and the words before it
     sizes = lambda items: F.transform(items, F.length)
     steps = F.zip_with(sizes("gaps"), F.concat(F.array(F.lit(0)), sizes("words")), lambda g, w: g + w)
@@ -92,9 +93,10 @@ def _candidates(box: DataFrame) -> DataFrame:
         F.arrays_zip(F.col("words").alias("word"), F.slice("gaps", 1, F.size("words")).alias("gap"), F.slice("gaps", 2, F.size("words")).alias("next"), F.slice(steps, 1, F.size("words")).alias("step")),
         lambda r: F.struct(r["word"].alias("word"), r["step"].cast("long").alias("step"), F.right(r["gap"], F.lit(AROUND)).alias("before"), F.left(r["next"], F.lit(AROUND)).alias("after")),
     )
-    # running sums of the steps, kept with each row in one pass
-    rows = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")), lambda a, r: F.struct((a["at"] + r["step"]).alias("at"), F.array_append(a["starts"], a["at"] + r["step"]).alias("starts")), lambda a: F.arrays_zip(rows.alias("r"), a["starts"].alias("start")))
-    return hit.select("key", "id", "path", F.posexplode(rows).alias("k", "r")).select("key", "id", "path", "k", "r.start", "r.r.word", "r.r.before", "r.r.after")
+    # a fold that appends to an array would be quadratic in a text's candidates, a window over them isn't
+    rows = hit.select("n", "key", "id", "path", F.posexplode(rows).alias("k", "r"))
+    start = F.sum("r.step").over(Window.partitionBy("n").orderBy("k"))
+    return rows.select("key", "id", "path", "k", start.alias("start"), "r.word", "r.before", "r.after")
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def _bigrams(words: DataFrame) -> Column:
 def _with_language(found: DataFrame, dictionary: DataFrame, bigrams: Column) -> DataFrame:
     """found (with a column n that numbers its rows) and the features likelihood and covered."""
     c = _classes(F.concat(F.lit("."), "word", F.lit(".")))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    pairs = F.regexp_extract_all(c, F.lit("(?=(..))"), F.lit(1))  # substring() would count from the start for each
     likely = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at(bigrams, p), F.lit(-4.0))) / (F.length("word") + 1)
     # letters of a candidate in words of the dictionary: it is cut where the case or the kind of sign changes
     cut = F.split(F.lower(F.regexp_replace("word", r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")), "[^\\p{L}]+")

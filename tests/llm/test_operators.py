@@ -142,6 +142,20 @@ def test_secrets_of_kinds_that_no_template_has(spark):
     assert all(caught[k] >= 20 for k in kinds) and all(caught[k] <= 2 for k in harmless)
 
 
+def test_secrets_of_any_length_go_to_the_last_character(spark):
+    rng = np.random.default_rng(11)
+    key = lambda n, signs="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(list(signs), n))
+    long, longer, password = key(10_000), key(100_000), key(300, "abcdefghkmnpqrstwxyzABCDEFGHKMNPRSTWXYZ2345679!$.&") + "!9z"
+    texts = [f'token = "{long}" is set', f"api_key={longer}\nafter", f"see postgres://admin:{password}@db.host/x", f"see https://{'u' * 500}:{password}@db.host/x", f"many {' '.join(f'password={key(20)}' for _ in range(3000))} end"]
+    texts += ["plain words " * 20] * 20
+    clean = {r.doc_id: r.text for r in secrets.redacted(make(spark, list(enumerate(texts))), path_col=None).collect()}
+    assert clean[0] == 'token = "[SECRET]" is set' and clean[1] == "api_key=[SECRET]\nafter"
+    assert clean[2] == "see postgres://admin:[SECRET]@db.host/x" and clean[3] == f"see https://{'u' * 500}:[SECRET]@db.host/x"
+    assert clean[4] == f"many {' '.join(['password=[SECRET]'] * 3000)} end" and clean[5] == texts[5]
+    starts = sorted(r.start for r in secrets.scan(make(spark, [(4, texts[4])]), path_col=None).collect())
+    assert starts == [14 + 30 * i for i in range(3000)]
+
+
 def test_secrets_on_nothing(spark):
     for rows in ([], [(1, None, None), (1, "", ""), (1, "", ""), (None, "no candidate here", "x")]):
         docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, source string, word string, n long")

@@ -15,7 +15,8 @@ def test_stages(spark, tmp_path):
     prose = lambda i: " ".join(word(i, j) for j in range(80))
     shared = "this very line is repeated in many of the documents here"
     key = "AKIA" + "Q7ZD2M4K8P3X9W5R"
-    rows = [(i, prose(i) + (f"\n{shared}" if i < 6 else "") + (f"\nuse {key} here" if i == 9 else ""), "en", "src/a", 0) for i in range(30)]
+    long = "".join("aB3dE5gH7jK9mN2pQ4rS6tV8wX"[(i * i + 7 * i) % 26] for i in range(10_000))
+    rows = [(i, prose(i) + (f"\n{shared}" if i < 6 else "") + (f"\nuse {key} here" if i == 9 else f'\ntoken = "{long}" here' if i == 11 else ""), "en", "src/a", 0) for i in range(30)]
     rows += [(50, prose(20) + " one more", "en", "src/a", 0), (51, "BUY NOW " * 100, "en", "src/b", 0), (52, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
@@ -29,6 +30,7 @@ def test_stages(spark, tmp_path):
     assert set(seen["quality rules"]) == {*range(30), 50}
     assert [i for i, t in seen["line dedup"].items() if shared in t] == [5]
     assert set(seen["near dedup"]) == set(range(30))
+    assert seen["secret scan"][11] == prose(11) + '\ntoken = "[SECRET]" here'
     assert key not in seen["secret scan"][9] and "[SECRET]" in seen["secret scan"][9]
     assert set(seen["packing"]) == set(range(30)) and corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
