@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.text import fold
+from .name_index import NameIndex
 
 MAX_ROWS = 100
 
@@ -157,11 +158,14 @@ class Filters:
             out.append(F.col("cnae_secundaria").contains(prefix))
         return out
 
-    def apply(self, establishments: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    def apply(self, establishments: DataFrame, partners: DataFrame | None = None, name_index: NameIndex | None = None, partner_index: NameIndex | None = None) -> DataFrame:
         where = self.conditions()
+        if self.name_contains and name_index:
+            establishments = name_index.narrowed(establishments, "cnpj", self.name_contains)
         out = establishments.where(reduce(lambda a, b: a & b, where)) if where else establishments
         if self.partner_name:
             if partners is None:
                 raise ValueError("partner_name needs the table of partners")
+            partners = partner_index.narrowed(partners, "cnpj_basico", self.partner_name) if partner_index else partners
             out = out.join(partners.where(contains_folded(F.col("nome_socio"), self.partner_name)).select("cnpj_basico"), "cnpj_basico", "left_semi")
         return out

@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 from ..functions import codes
 from ..functions.text import fold, formatted_key
 from ..functions.web import mail_domain
+from ..sources.shared import written
 from .accounts import account_matches
 from .filters import Filters, contains_folded, one_of, only_digits, page, state, text_guard
+from .name_index import NameIndex
 
 ORDERS = {
     "data_inicio_atividade": lambda: F.col("data_inicio_atividade").desc_nulls_last(),
@@ -78,7 +80,7 @@ def count_companies(
         raise ValueError(f"group_by: at most two of {', '.join(known)}")
     if limit is not None:
         page(limit)
-    rows = (filters or Filters()).apply(establishments, partners)
+    rows = (filters or Filters()).apply(establishments, partners, name_index, partner_index)
     if unit == "empresas" or metric == "sum_capital":
         rows = rows.where("matriz_filial = 1")
     name, value = ("total", F.count("*")) if metric == "count" else ("capital_social_total_brl", F.sum("capital_social"))
@@ -144,12 +146,17 @@ def search_companies(
     partners: DataFrame | None = None,
     sites: DataFrame | None = None,
     matches: DataFrame | None = None,
+    name_index: NameIndex | None = None,
+    partner_index: NameIndex | None = None,
 ) -> DataFrame:
-    """One page of companies, with has_more and next_offset. Scores filter before the page is cut; sites join after it."""
+    """One page of companies, with has_more and next_offset. Scores filter before the page is cut; sites join after it.
+
+    name_index (companies' names by cnpj) and partner_index (partners' names by cnpj_basico) narrow searches inside names.
+    """
     if order_by not in ORDERS:
         raise ValueError(f"order_by: one of {', '.join(ORDERS)}")
     limit, offset = page(limit, offset)
-    rows = (filters or Filters()).apply(establishments, partners)
+    rows = (filters or Filters()).apply(establishments, partners, name_index, partner_index)
     if min_contact_score is not None:
         if scores is None:
             raise ValueError("min_contact_score needs the score table")
@@ -202,12 +209,14 @@ def company_records(establishments: DataFrame, partners: DataFrame, activities:
     `keys` is a small set. Partners: the first 100 by entry date; secondary activities: the first 50, with their texts.
     """
     asked = keys.select(F.regexp_replace("cnpj", r"\D", "").alias("asked")).distinct()
+    # the asked companies' part of the table is read and written once; all that follows comes from that part
+    establishments = written(establishments.join(asked.select(F.substring("asked", 1, 8).alias("cnpj_basico")).distinct(), "cnpj_basico", "left_semi"), "asked")
     roots = asked.where("length(asked) = 8").select("asked", F.col("asked").alias("cnpj_basico"))
-    by_root = head_offices(establishments.join(roots.select("cnpj_basico"), "cnpj_basico", "left_semi")).join(roots, "cnpj_basico")
+    by_root = head_offices(establishments).join(roots, "cnpj_basico")
     by_key = establishments.join(asked.where("length(asked) = 14").withColumn("cnpj", F.col("asked")), "cnpj")
     rows = by_root.unionByName(by_key)
     of = rows.select("cnpj_basico").distinct()
-    totals = establishments.join(of, "cnpj_basico", "left_semi").groupBy("cnpj_basico").agg(F.count("*").alias("estabelecimentos_total"))
+    totals = establishments.groupBy("cnpj_basico").agg(F.count("*").alias("estabelecimentos_total"))
     place = F.row_number().over(Window.partitionBy("cnpj_basico").orderBy(F.col("data_entrada").asc_nulls_last(), "nome_socio", "cnpj_cpf_socio"))
     linked = partners.join(of, "cnpj_basico", "left_semi").withColumn("place", place).where("place <= 100")
     partner = F.struct("place", "nome_socio", codes.partner_kind(F.col("identificador_socio")).alias("tipo"), "cnpj_cpf_socio", F.col("qualificacao_socio_descricao").alias("qualificacao"), "data_entrada", "faixa_etaria", "nome_representante")
@@ -226,14 +235,18 @@ def list_partners(partners: DataFrame, cnpj: str, limit: int = 200) -> DataFrame
     return partners.where(F.col("cnpj_basico") == root).select(*cols).orderBy(F.col("data_entrada").asc_nulls_last(), "nome_socio", "cnpj_cpf_socio").limit(limit)
 
 
-def search_partners(partners: DataFrame, establishments: DataFrame, name: str, contains: bool = False, cpf_middle: str | None = None, uf: str | None = None, limit: int = 25, offset: int = 0) -> DataFrame:
-    """A page of the companies that a person or firm is a partner of, by whole folded name, or by a part of it within a state."""
+def search_partners(partners: DataFrame, establishments: DataFrame, name: str, contains: bool = False, cpf_middle: str | None = None, uf: str | None = None, limit: int = 25, offset: int = 0, index: NameIndex | None = None) -> DataFrame:
+    """A page of the companies that a person or firm is a partner of, by whole folded name, or by a part of it within a state.
+
+    With an index of the partners' names (by cnpj_basico), a search for a part reads the companies that it gives, not all partners.
+    """
     if contains:
         text_guard(name, uf)
     if not 4 <= len((name or "").strip()) <= 256:
         raise ValueError("name: 4 to 256 characters")
     limit, offset = page(limit, offset)
     key = F.col("nome_key") if "nome_key" in partners.columns else fold(F.col("nome_socio"))
+    partners = index.narrowed(partners, "cnpj_basico", name.strip()) if contains and index else partners
     found = partners.where(key.contains(fold(F.lit(name.strip()))) if contains else key == fold(F.lit(name.strip())))
     if cpf_middle:
         found = found.where(F.col("cnpj_cpf_socio") == f"***{only_digits(cpf_middle, 'cpf_middle', 6, 6)}**")

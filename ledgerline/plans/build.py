@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.codes import SECTIONS, SIZES, STATUS, section
 from ..functions.text import decimal_comma, fold, null_if_empty, typed_date
+from ..operators.name_index import write_name_index
 from ..operators.queries import group_keys
 from ..sources.dump import exists, register_views
 
@@ -20,6 +21,8 @@ ESTABLISHMENT_COLUMNS = (
     "tipo_logradouro logradouro numero complemento bairro cep municipio_codigo municipio cidade_exterior pais ddd1 telefone1 ddd2 telefone2 email situacao_especial "
     "opcao_simples data_opcao_simples data_exclusao_simples opcao_mei data_opcao_mei data_exclusao_mei uf cnae_secao"
 ).split()
+#: Parts of a build that are no tables of rows: the stats record and the indexes of names.
+NOT_TABLES = ("stats", "nomes_est", "nomes_socios")
 OPTIONAL_TEXT = "nome_fantasia cnae_secundaria tipo_logradouro logradouro numero complemento bairro cep cidade_exterior pais ddd1 telefone1 ddd2 telefone2 email situacao_especial".split()
 
 
@@ -63,15 +66,20 @@ def partner_links(raw: dict[str, DataFrame]) -> DataFrame:
     return s.withColumn("nome_key", fold(F.col("nome_socio")))
 
 
-def write_by_state(e: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
-    """Partitioned by state, within it by ranges of (activity, opening date), so that statistics prune both."""
+def write_by_state(e: DataFrame, path: str, rows_per_file: int = 5_000_000, block_bytes: int = 64 << 20, **options: str) -> None:
+    """Partitioned by state, within it by ranges of (activity, opening date), so that statistics prune both; keys lie anywhere in it and have Bloom filters."""
     ranged = e.repartitionByRange(F.col("uf"), F.col("cnae_divisao"), F.col("data_inicio_atividade")).sortWithinPartitions("uf", "cnae_principal", "data_inicio_atividade")
-    ranged.write.partitionBy("uf").option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", 64 << 20).parquet(path, compression="zstd")
+    ranged.write.partitionBy("uf").options(**bloom("cnpj", "cnpj_basico") | options).option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", block_bytes).parquet(path, compression="zstd")
 
 
-def write_by_key(df: DataFrame, path: str, *keys: str) -> None:
+def bloom(*columns: str) -> dict[str, str]:
+    """Writer options for a Bloom filter of each column in every row group: where statistics can't tell, it tells whether a key may be there."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
+def write_by_key(df: DataFrame, path: str, *keys: str, block_bytes: int = 32 << 20, **options: str) -> None:
     """Ranges of the key in sorted files, for lookups by key or key range."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", 32 << 20).parquet(path, compression="zstd")
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**options).option("parquet.block.size", block_bytes).parquet(path, compression="zstd")
 
 
 def write_codes(table: DataFrame, path: str) -> None:
@@ -88,14 +96,16 @@ def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str,
     """Writes all layouts into a new folder below `target` and returns where each is; a reader repoints when all are complete."""
     base = f"{target}/{month}-{uuid.uuid4().hex[:8]}"
     codes = [t for t in raw if raw[t].columns == ["codigo", "descricao"]]
-    paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "stats", *codes)}
+    paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "nomes_est", "nomes_socios", "stats", *codes)}
     write_by_state(establishments(raw), paths["estabelecimentos"])
     # the other layouts come from the finished table, not from the joins again
     e = spark.read.parquet(paths["estabelecimentos"])
     write_by_key(e.select(*ESTABLISHMENT_COLUMNS), paths["est_cnpj"], "cnpj")
     write_by_key(partner_links(raw), paths["socios"], "cnpj_basico")
     partners = spark.read.parquet(paths["socios"])
-    write_by_key(partners, paths["socios_nome"], "nome_key")
+    write_by_key(partners, paths["socios_nome"], "nome_key", **bloom("nome_key", "cnpj_basico"))
+    write_name_index(partners, "cnpj_basico", ["nome_key"], paths["nomes_socios"], folded=True)
+    write_name_index(e, "cnpj", ["razao_social", "nome_fantasia"], paths["nomes_est"])
     for table in codes:
         write_codes(raw[table], paths[table])
     snapshot_stats(e, partners, month).coalesce(1).write.json(paths["stats"])
@@ -117,7 +127,7 @@ def current(spark: SparkSession, target: str) -> dict[str, str] | None:
 
 def repoint(spark: SparkSession, target: str) -> list[str]:
     """Points the temporary views of the layouts at the current build."""
-    return register_views(spark, {k: v for k, v in (current(spark, target) or {}).items() if k != "stats"})
+    return register_views(spark, {k: v for k, v in (current(spark, target) or {}).items() if k not in NOT_TABLES})
 
 
 def audit(raw: dict[str, DataFrame], built: DataFrame, partners: DataFrame, anchors: DataFrame | None = None) -> DataFrame:

@@ -11,9 +11,11 @@ from .functions import codes, phones, text, web
 from .operators import accounts, contacts, scores, sites, usage
 from .operators import queries as ask
 from .operators.filters import Filters
+from .operators.name_index import NameIndex, write_name_index
 from .plans import build, demo
 from .plans.demo import WITH
 from .plans.raw_demo import WITH_RAW, raw_dump
+from .sources.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,6 +170,18 @@ def company_records(spark, sf_dir):
     return out.select("cnpj", "razao_social", "estabelecimentos_total", F.coalesce(F.size("socios"), F.lit(0)).cast("long").alias("n_socios"))
 
 
+@query("""SELECT e.cnpj, (SELECT string_agg(concat_ws('|', nome_socio, CASE identificador_socio WHEN 1 THEN 'pessoa juridica' WHEN 2 THEN 'pessoa fisica' WHEN 3 THEN 'estrangeiro' END, cnpj_cpf_socio, qualificacao_socio_descricao, strftime(data_entrada, '%Y-%m-%d'), faixa_etaria, nome_representante), ';' ORDER BY data_entrada NULLS LAST, nome_socio, cnpj_cpf_socio) FROM (SELECT *, row_number() OVER (PARTITION BY cnpj_basico ORDER BY data_entrada NULLS LAST, nome_socio, cnpj_cpf_socio) AS place FROM socios) s WHERE s.cnpj_basico = e.cnpj_basico AND place <= 100) AS socios,
+ (SELECT string_agg(a.codigo || ' ' || a.descricao, ';' ORDER BY a.codigo) FROM (SELECT DISTINCT cnae_principal AS codigo, cnae_principal_descricao AS descricao FROM est) a WHERE list_contains(string_split(e.cnae_secundaria, ','), a.codigo)) AS atividades
+ FROM est e WHERE e.cnae_secundaria IS NOT NULL""")
+def company_record_lists(spark, sf_dir):
+    e = demo.establishments(spark, sf_dir)
+    activities = e.select(F.col("cnae_principal").alias("codigo"), F.col("cnae_principal_descricao").alias("descricao")).distinct()
+    out = ask.company_records(e, demo.partners(spark, sf_dir), activities, e.where("cnae_secundaria IS NOT NULL").select("cnpj"))
+    partner = F.transform("socios", lambda s: F.concat_ws("|", s["nome_socio"], s["tipo"], s["cnpj_cpf_socio"], s["qualificacao"], s["data_entrada"].cast("string"), s["faixa_etaria"], s["nome_representante"]))
+    activity = F.transform("cnae_secundaria_descricoes", lambda a: F.concat_ws(" ", a["codigo"], a["descricao"]))
+    return out.select("cnpj", F.array_join(partner, ";").alias("socios"), F.array_join(activity, ";").alias("atividades"))
+
+
 @query("SELECT cnpj_basico, count(*) AS n, CAST(sum(CASE WHEN matriz_filial = 1 THEN 1 ELSE 0 END) AS BIGINT) AS heads FROM est GROUP BY 1")
 def establishments_per_root(spark, sf_dir):
     return demo.establishments(spark, sf_dir).groupBy("cnpj_basico").agg(F.count("*").alias("n"), F.count_if(F.col("matriz_filial") == 1).alias("heads"))
@@ -192,6 +206,26 @@ def search_partners_contains(spark, sf_dir):
     return text.formatted_values(ask.search_partners(demo.partners(spark, sf_dir), demo.establishments(spark, sf_dir), "conceição", contains=True, uf="MT", limit=50, offset=10).select(*PARTNER_COLUMNS))
 
 
+def _indexed(rows: DataFrame, key: str, *names: str) -> NameIndex:
+    path = shared_folder(rows.sparkSession, "names")
+    write_name_index(rows, key, list(names), path)
+    return NameIndex(rows.sparkSession, path)
+
+
+@query(SQL["search_partners_contains"].removeprefix(f"{WITH} "))
+def search_partners_trigrams(spark, sf_dir):
+    partners = demo.partners(spark, sf_dir)
+    index = _indexed(partners, "cnpj_basico", "nome_socio")
+    return text.formatted_values(ask.search_partners(partners, demo.establishments(spark, sf_dir), "conceição", contains=True, uf="MT", limit=50, offset=10, index=index).select(*PARTNER_COLUMNS))
+
+
+@query(f"{PAGE} FROM est WHERE uf = 'RJ' AND (contains(strip_accents(lower(razao_social)), '7 comercio') OR contains(strip_accents(lower(nome_fantasia)), '7 comercio')) AND cnpj_basico IN (SELECT cnpj_basico FROM socios WHERE contains(strip_accents(lower(nome_socio)), '8 da conceicao')) ORDER BY est.razao_social, cnpj LIMIT 100")
+def search_names_trigrams(spark, sf_dir):
+    est, partners = demo.establishments(spark, sf_dir), demo.partners(spark, sf_dir)
+    asked = Filters(uf="RJ", name_contains="7 Comércio", partner_name="8 da Conceição")
+    return _page(ask.search_companies(est, asked, order_by="razao_social", limit=100, partners=partners, name_index=_indexed(est, "cnpj", "razao_social", "nome_fantasia"), partner_index=_indexed(partners, "cnpj_basico", "nome_socio")))
+
+
 @query(f"SELECT cnpj, complemento, logradouro, {STATUS_SQL} AS situacao, count(*) OVER () AS total_matching FROM est WHERE tipo_logradouro = 'AVENIDA' AND contains(strip_accents(lower(logradouro)), 'sao nation_1') AND numero = '7' AND situacao_cadastral = '02' ORDER BY complemento NULLS LAST, cnpj LIMIT 50")
 def companies_at_address(spark, sf_dir):
     return ask.companies_at_address(demo.establishments(spark, sf_dir), logradouro_contains="Av. São Nation_1", numero="7").select("cnpj", "complemento", "logradouro", "situacao", "total_matching")
@@ -321,6 +355,15 @@ def search_min_score(spark, sf_dir):
     return out.select("cnpj", "email", "telefone1", "registry_contact_quality.contact_score", "registry_contact_quality.contact_tier")
 
 
+@query(SQL["search_min_score"].removeprefix(f"{WITH} "))
+def search_min_score_written(spark, sf_dir):
+    """As a server answers: the scores are written once, a search reads that table and scores nothing."""
+    e, path = demo.establishments(spark, sf_dir), shared_folder(spark, "scores")
+    scores.write_scores(scores.contact_scores(e), f"{path}/rows", f"{path}/tiers")
+    out = ask.search_companies(e, include_contacts=True, min_contact_score="high", scores=spark.read.parquet(f"{path}/rows"), limit=100)
+    return out.select("cnpj", "email", "telefone1", "registry_contact_quality.contact_score", "registry_contact_quality.contact_tier")
+
+
 # phones, addresses, pages
 
 RAW_PHONE = "CASE c_custkey % 5 WHEN 0 THEN '(11) 9' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') || '-' || lpad(CAST(c_custkey * 37 % 10000 AS STRING), 4, '0') WHEN 1 THEN '0055 21 3' || lpad(CAST(c_custkey * 7919 % 10000000 AS STRING), 7, '0') WHEN 2 THEN '351 931 062 752' WHEN 3 THEN '10 2' || lpad(CAST(c_custkey AS STRING), 7, '1') ELSE '31 8' || lpad(CAST(c_custkey * 31 % 10000000 AS STRING), 7, '0') END"
