@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .records import read_quoted
+
 # The dump's columns, by position.
 TABLES = {
     "empresas": "cnpj_basico razao_social natureza_juridica qualificacao_responsavel capital_social porte ente_federativo",
@@ -54,8 +56,8 @@ def ingest_dump(spark: SparkSession, folder: str, target: str) -> dict[str, Data
     """Every table of the dump as raw Parquet under `target`, a partition for each shard; shards that are there already are not read again.
 
     A shard counts as done once the list of done ones names it, which is written after its rows; rows of an attempt
-    that broke off are replaced. Shards that come later are added. Quoted fields can hold line ends, so a shard is read
-    by one task; the publisher splits each large table into ten.
+    that broke off are replaced. Shards that come later are added. Quoted fields can hold line ends; records.py cuts a
+    shard into records all the same in as many tasks as it has splits.
     """
     files, out = shard_catalogue(spark, folder).collect(), {}  # a few dozen files
     for table in FILES:
@@ -63,7 +65,7 @@ def ingest_dump(spark: SparkSession, folder: str, target: str) -> dict[str, Data
         done = {r.shard for r in spark.read.schema("shard string").json(log).collect()} if exists(spark, log) else set()
         new = {r.path.rsplit("/", 1)[1]: r.path for r in files if r.table == table and r.path.rsplit("/", 1)[1] not in done}
         if new:
-            rows = spark.read.schema(raw_schema(table)).options(**CSV).csv(sorted(new.values())).withColumn("shard", F.col("_metadata.file_name"))
+            rows = read_quoted(spark, sorted(new.values()), raw_schema(table))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path, compression="zstd")
             spark.createDataFrame([(n,) for n in sorted(new)], "shard string").coalesce(1).write.mode("append").json(log)
         out[table] = spark.read.schema(raw_schema(table)).parquet(path).select(*raw_schema(table).names)

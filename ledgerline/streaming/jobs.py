@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from ..operators import usage
 from ..operators.accounts import latest_checks
 from ..operators.usage import SESSION_SECONDS, valid_calls
+from ..sources import keyed
 
 SESSION_OUTPUT = "event_id long, ts timestamp, tool string, caller string, client_name string, client_version string"
 
@@ -114,27 +115,18 @@ def attribute_sessions(events: DataFrame, seconds: int = SESSION_SECONDS, late:
     return rows.groupBy("caller").transformWithStateInPandas(Sessions(seconds), outputStructType=SESSION_OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
-def upsert_checks(checks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Merges a stream of account checks into versions of the table `target`; the newest check of each number stays.
+def upsert_checks(checks: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merges a stream of account checks into the keyed table `target`; the newest check of each number stays.
 
-    A version is complete before the pointer file names it, so readers never see half of one.
+    Only the buckets that a batch's numbers fall into are written anew, and a batch that is given again changes nothing.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = current_version(spark, target)
-        known = [spark.read.schema(batch.schema).parquet(now)] if now else []
-        version = f"{target}/v{epoch}"
-        latest_checks(batch, *known).write.mode("overwrite").parquet(version)
-        spark.createDataFrame([(epoch, version)], "epoch long, path string").coalesce(1).write.mode("append").json(f"{target}/versions")
+        keyed.upsert(batch, target, "number", lambda new, old: latest_checks(new, old), epoch, buckets)
 
     return checks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_version(spark: SparkSession, target: str) -> str | None:
-    """The folder of the newest complete version of a table that upsert_checks keeps; null before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/versions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    row = spark.read.schema("epoch long, path string").json(f"{target}/versions").orderBy(F.desc("epoch")).first()
-    return row.path if row else None
+    """A path pattern of the rows of the newest complete version of a table that upsert_checks keeps; null before the first."""
+    return keyed.live_path(spark, target)
