@@ -1,7 +1,8 @@
 """Text scoring by online logistic context mixing over bits.
 
 A text is a row of tokens: its words (A-Z lower-cased) and an end. Each token is a path of bits in a Huffman tree of the
-frequent words, the end and an escape; a word that the tree lacks follows its escape by its own bits. Each bit of a path is
+frequent words, the end and an escape; a word that the tree lacks follows its escape by its own bits. A word
+seen once is learned twice where it stands, as itself and as an escape: so often would the rest of the texts have needed one. Each bit of a path is
 predicted by four contexts: the node alone, and the node hashed with the profile (language) that the words so far fit
 best, the last word, and the last two words. Counts of every
 context come from all training texts; tables grow with the training tokens up to a size that a worker holds.
@@ -10,7 +11,7 @@ seen). Weights and adaptive probability maps are learned online over every train
 and merged; from there the weights go on adapting within each scored text, block by block, so that every bit is
 predicted from what comes before it alone. A word behind an escape takes a discounted share of its training count, or, if
 it is new, the discount's share times its spelling: the same kind of mixer over the bits of its bytes, with
-contexts of bytes, learned from all distinct words that the tree lacks.
+contexts of bytes, learned from all distinct words.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ HOT_WORDS = 1 << 16
 #: log2 of the slots of a hashed table at most (three tables, 8 bytes a slot while learning, 2 while scoring).
 MOST_BITS = 23
 CONTEXTS, GATES, BUCKETS = 4, 16, 33
+#: Profiles are told apart by their digest modulo this; those of a large number share places.
+PROFILES = 64
 #: Tokens after which the weights of a text are adapted; tokens and words that are expanded to bits at once.
 BLOCK, RUN = 64, 1 << 13
 #: Strength of the learned weights against what a text shows.
@@ -108,9 +111,7 @@ class Tree:
         """Of each token, at `place` in its text: hashes of the profile so far, the last word, and the last two words."""
         n = len(leaf)
         out = np.empty((3, n), np.uint64)
-        total = np.cumsum(self.profiles[leaf], axis=0, dtype=np.float64)
-        total = np.concatenate([np.zeros((1, total.shape[1])), total])
-        profile = np.where(place > 0, (total[:-1] - total[np.arange(n) - place]).argmax(1) + 1, 0)
+        profile = self.best_profile(leaf, place)
         out[0] = profile.astype(np.uint64) * M3 + M2
         mixed = np.full(n, M2)
         for k in (1, 2):
@@ -120,6 +121,28 @@ class Tree:
             out[k] = mixed
         return out
 
+    def with_escapes(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves to learn, and the tokens that they stand for: an escape before each leaf that was seen once."""
+        once = np.flatnonzero(self.counts[leaf] == 1)
+        once = once[leaf[once] < self.escape]
+        at = np.insert(np.arange(len(leaf)), once, once)
+        out = leaf[at]
+        out[once + np.arange(len(once))] = self.escape
+        return out, at
+
+    def best_profile(self, leaf: np.ndarray, place: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Of each token: the profile, from 1 on, that the words of its text before it fit best; 0 for a first token. Worked out `step` tokens at a time."""
+        out = np.empty(len(leaf), np.int64)
+        carried, begun = np.zeros(self.profiles.shape[1]), np.zeros(self.profiles.shape[1])
+        for a in range(0, len(leaf), step):
+            sums = np.cumsum(self.profiles[leaf[a : a + step]], axis=0, dtype=np.float64)
+            sums = np.concatenate([np.zeros((1, sums.shape[1])), sums]) + carried
+            start = np.arange(a, a + len(sums) - 1) - place[a : a + step]
+            before = np.where((start >= a)[:, None], sums[np.maximum(start - a, 0)], begun)
+            out[a : a + step] = np.where(place[a : a + step] > 0, (sums[:-1] - before).argmax(1) + 1, 0)
+            carried, begun = sums[-1], before[-1]
+        return out
+
     def bits(self, leaf: np.ndarray, contexts: np.ndarray, size: int) -> tuple[np.ndarray, *Bits]:
         """For every bit of the tokens: token, slots in the four tables, bit."""
         n = self.start[leaf + 1] - self.start[leaf]
@@ -388,16 +411,18 @@ def frequent(counted: DataFrame, most: int = HOT_WORDS) -> DataFrame:
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile_col: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
-    """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs.
+    """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score, bits_per_byte) for each row of docs.
 
     Tokens are the words and one end. Documents whose crc32 of the id as text is 1 modulo 5 are held out; the rest
     is learned from. base_score is the log10 probability under add-one-half unigram counts, score that under
-    the model. profile_col, if given, parts the training documents' word counts (null: the empty profile); it is
-    not looked at in scoring. Null text has no words. Repeated rows count each; rows without an id are scored, not
+    the model; both take the words that training lacks as one kind of token. spelled_score also has the probability of such words'
+    bytes, and so is that of the very text; bits_per_byte comes from it. profile_col, if given, parts the training documents' word counts (null: the empty profile; of very many profiles several
+    count together); it is not looked at in scoring. Null text has no words. Repeated rows count each; rows without an id are scored, not
     learned from, and not held out. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     profile = F.coalesce(F.col(f"`{profile_col}`").cast("string"), F.lit("")) if profile_col else F.lit("")
+    profile = (F.crc32(profile) % PROFILES).cast("string")
     box = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), profile.alias("profile"))
     training = box.where(F.crc32(F.col("id").cast("string")) % 5 != 1).select("text", "profile")
     by_profile = training.mapInArrow(_counts, "profile string, word string, c long").groupBy("word", "profile").agg(F.sum("c").alias("c"))
@@ -406,17 +431,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = total + 0.5 * (distinct + 1)
 
-    hot = frequent(counted.where(F.col("word") != END), hot_words).orderBy(F.desc("c"), "word").collect()  # hot_words at most
+    words = counted.where(F.col("word") != END)
+    hot = frequent(words, hot_words).orderBy(F.desc("c"), "word").collect()  # hot_words at most
     listed = F.broadcast(spark.createDataFrame([(r.word,) for r in hot], "word string"))
     place, names = {r.word: i for i, r in enumerate(hot)}, [r.profile for r in training.select("profile").distinct().orderBy("profile").collect()]
     shares = np.zeros((len(hot), max(len(names), 1)))
     for r in by_profile.join(listed, "word", "left_semi").toLocalIterator():
         shares[place[r.word], names.index(r.profile)] = r.c
     ends = counted.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rest = counted.where(F.col("word") != END)
-    rest = rest.join(listed, "word", "left_anti")
-    n_rare, kinds, once, twice = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    tree, size, spelled_size = Tree([r.word.encode() for r in hot], [r.c for r in hot], n_rare, ends, shares), table_bits(total), table_bits(8 * kinds)
+    rest = words.join(listed, "word", "left_anti")
+    n_rare, kinds = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    once, twice = words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    tree, size, spelled_size = Tree([r.word.encode() for r in hot], [r.c for r in hot], n_rare + sum(r.c == 1 for r in hot), ends, shares), table_bits(total), table_bits(8 * (distinct - 1))
     sent = spark.sparkContext.broadcast(tree)
 
     def read(batch: pa.Array) -> Iterator[Bits]:
@@ -425,6 +451,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
             leaf, hashes = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
             place = np.concatenate([np.arange(len(t[0])) for t in tokens])
             contexts = sent.value.contexts(leaf, hashes, place)
+            leaf, at = sent.value.with_escapes(leaf)
+            contexts = contexts[:, at]
             for i in range(0, len(leaf), RUN):
                 yield sent.value.bits(leaf[i : i + RUN], contexts[:, i : i + RUN], size)[1:]
 
@@ -433,7 +461,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
             yield spelling([w.encode() for w in words], spelled_size)[1:]
 
     model = spark.sparkContext.broadcast(_learned(training.select("text"), read, sum(tree.sizes(size))))
-    speller = spark.sparkContext.broadcast(_learned(rest.select("word"), spell, SPELLED[0] + 3 * (1 << spelled_size)))
+    speller = spark.sparkContext.broadcast(_learned(words.select("word"), spell, SPELLED[0] + 3 * (1 << spelled_size)))
 
     @F.arrow_udf("double")
     def spelled(words: pa.Array) -> pa.Array:
@@ -446,7 +474,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
         return pa.array(out, pa.float64())
 
     # P(word | escape): a discounted count, or the discount's share by the word's spelling
-    less = once / (once + 2 * twice) if once else 0.5
+    less = min(once / (once + 2 * twice), 0.95) if once else 0.5
     known = F.log10((F.col("c") - less) / max(n_rare, 1))
     new = math.log10(less * kinds / n_rare) if n_rare else 0.0
 
@@ -471,10 +499,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
     own = staged(box.select("id", "text").mapInArrow(sums, "id long, key long, n_tokens long, size long, known long, base double, path double, words array<string>, times array<long>"), "documents")
     rare = own.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
     rare = rare.join(rest, "word", "left").withColumn("spelled", spelled(F.when(F.col("c").isNull(), F.col("word"))))
-    chance = F.when(F.col("c").isNull(), new + F.col("spelled")).otherwise(known)
-    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("known_r"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_r"), F.sum(F.col("n") * chance).alias("path_r"))
-    both = own.drop("words", "times").join(rare, "key", "left").na.fill(0, ["known_r", "base_r", "path_r"])
+    chance = F.when(F.col("c").isNull(), F.lit(new)).otherwise(known)
+    times = lambda c: F.sum(F.col("n") * c)
+    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("known_r"), times(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_r"), times(chance).alias("path_r"), times(F.when(F.col("c").isNull(), F.col("spelled")).otherwise(0.0)).alias("spelled_r"))
+    both = own.drop("words", "times").join(rare, "key", "left").na.fill(0, ["known_r", "base_r", "path_r", "spelled_r"])
     score = F.col("path") + F.col("path_r")
+    whole = score + F.col("spelled_r")
     return both.select(
         F.col("id").alias(id_col),
         F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"),
@@ -483,5 +513,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("base_r") - F.col("n_tokens") * math.log10(norm)).alias("base_score"),
         score.alias("score"),
-        (-score * math.log2(10) / F.col("size")).alias("bits_per_byte"),
+        whole.alias("spelled_score"),
+        (-whole * math.log2(10) / F.col("size")).alias("bits_per_byte"),
     )

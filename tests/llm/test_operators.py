@@ -234,6 +234,29 @@ def test_lm_score(spark, odd):
     assert lm_score.scored(make(spark, [], EMPTY)).count() == 0
 
 
+def test_lm_score_of_texts_with_many_unknown_words(spark):
+    rng = np.random.default_rng(9)
+    known = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(120)]
+    fresh = lambda: "".join(rng.choice(list("aeiou"), 1)[0] + rng.choice(list("klmnprst"), 1)[0] for _ in range(5))
+    rows = [(i, " ".join(fresh() if rng.random() < 0.3 else known[int(rng.integers(0, 120) ** 2 / 120)] for _ in range(60))) for i in range(250)]
+    for hot in (1 << 16, 60):  # every word in the tree, and most words behind its escape
+        out = lm_score.scored(make(spark, rows), hot_words=hot).where("held_out").collect()
+        tokens, unknown = sum(r.n_tokens for r in out), sum(r.n_tokens - r.n_known for r in out)
+        assert 0.25 < unknown / tokens < 0.35
+        score, base, spelled = (sum(getattr(r, c) for r in out) for c in ("score", "base_score", "spelled_score"))
+        # an unknown word is as likely as it is frequent, and its ten letters cost little more than they must (10 * log2(5 * 8) / 2 = 26.6 bits)
+        assert score > base + 0.5 * tokens
+        assert all(r.spelled_score < r.score < 0 for r in out)
+        assert 26 < (score - spelled) / unknown * np.log2(10) < 36
+    tree = lm_score.Tree([b"a", b"b"], [3, 1], 1, 2, np.ones((2, 1)))
+    leaf, at = tree.with_escapes(np.array([0, 1, 1, 3]))
+    assert leaf.tolist() == [0, 2, 1, 2, 1, 3] and at.tolist() == [0, 1, 1, 2, 2, 3]
+    # profiles worked out in runs are those worked out at once
+    tree = lm_score.Tree([b"a", b"b", b"c"], [3, 2, 2], 1, 2, rng.random((3, 4)))
+    leaf, place = rng.integers(0, 5, 500), np.concatenate([np.arange(n) for n in (1, 120, 0, 300, 79)])
+    assert (tree.best_profile(leaf, place) == tree.best_profile(leaf, place, 7)).all()
+
+
 def small_model(rng, slots):
     counts = rng.integers(0, 70, slots).astype(np.uint64) | rng.integers(0, 90, slots).astype(np.uint64) << np.uint64(32)
     x, seen = lm_score.prepared(counts)
