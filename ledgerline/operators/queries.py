@@ -71,8 +71,10 @@ def count_companies(
     order: str = "count_desc",
     limit: int | None = 25,
     partners: DataFrame | None = None,
+    name_index: NameIndex | None = None,
+    partner_index: NameIndex | None = None,
 ) -> DataFrame:
-    """Counts (or summed capital of head offices) by up to two keys. limit None returns all groups."""
+    """Counts (or summed capital of head offices) by up to two keys. limit None returns all groups; indexes as in search_companies."""
     keys, known = [group_by] if isinstance(group_by, str) else list(group_by), group_keys()
     if unit not in ("estabelecimentos", "empresas") or metric not in ("count", "sum_capital") or order not in ("count_desc", "key_asc", "key_desc"):
         raise ValueError("unit, metric or order is unknown")

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codes import section
+from ..functions.codes import SECTIONS, section
 
-#: The section of an activity code, as the SQL of the checks has it.
-SECTION = """CASE WHEN d BETWEEN 1 AND 3 THEN 'A' WHEN d BETWEEN 5 AND 9 THEN 'B' WHEN d BETWEEN 10 AND 33 THEN 'C' WHEN d = 35 THEN 'D' WHEN d BETWEEN 36 AND 39 THEN 'E'
- WHEN d BETWEEN 41 AND 43 THEN 'F' WHEN d BETWEEN 45 AND 47 THEN 'G' WHEN d BETWEEN 49 AND 53 THEN 'H' WHEN d BETWEEN 55 AND 56 THEN 'I' WHEN d BETWEEN 58 AND 63 THEN 'J'
- WHEN d BETWEEN 64 AND 66 THEN 'K' WHEN d = 68 THEN 'L' WHEN d BETWEEN 69 AND 75 THEN 'M' WHEN d BETWEEN 77 AND 82 THEN 'N' WHEN d = 84 THEN 'O' WHEN d = 85 THEN 'P'
- WHEN d BETWEEN 86 AND 88 THEN 'Q' WHEN d BETWEEN 90 AND 93 THEN 'R' WHEN d BETWEEN 94 AND 96 THEN 'S' WHEN d = 97 THEN 'T' WHEN d = 99 THEN 'U' END"""
+#: The sections with their first and last divisions, as a table that the SQL of the checks joins.
+SECTION_RANGES = f"(VALUES {', '.join(f"('{letter}', {first}, {last})" for letter, (first, last) in SECTIONS.items())}) AS ranges(letter, first, last)"
 
 BASE = """
 SELECT lpad(CAST(c_custkey AS STRING), 8, '0') AS cnpj_basico,
@@ -70,7 +67,7 @@ SELECT event_id, ts, CASE WHEN event_type = 'signup' THEN 'initialize' ELSE 'too
   CASE WHEN event_id % 18 = 0 THEN 'validation' END AS expected_outcome
 FROM events
 """
-ESTABLISHMENTS = f"SELECT *, {SECTION} AS cnae_secao FROM (SELECT *, CAST(cnae_divisao AS INTEGER) AS d FROM ({BASE}) b) b2"
+ESTABLISHMENTS = f"SELECT b.*, ranges.letter AS cnae_secao FROM ({BASE}) b LEFT JOIN {SECTION_RANGES} ON CAST(b.cnae_divisao AS INTEGER) BETWEEN ranges.first AND ranges.last"
 #: What the SQL of the checks starts with.
 WITH = f"WITH est AS ({ESTABLISHMENTS}), socios AS ({PARTNERS}), calls AS ({EVENTS})"
 

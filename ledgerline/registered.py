@@ -654,7 +654,7 @@ def scrubbed_events(spark, sf_dir):
 
 # the typed build from raw tables
 
-_SECTION_OF = demo.SECTION.replace("d = ", "e.d = ").replace("d BETWEEN", "e.d BETWEEN")
+_SECTION_OF = f"(SELECT letter FROM {demo.SECTION_RANGES} WHERE e.d BETWEEN first AND last)"
 
 
 def _date_sql(c: str) -> str:
