@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,7 @@ ESTABLISHMENT_COLUMNS = (
     "tipo_logradouro logradouro numero complemento bairro cep municipio_codigo municipio cidade_exterior pais ddd1 telefone1 ddd2 telefone2 email situacao_especial "
     "opcao_simples data_opcao_simples data_exclusao_simples opcao_mei data_opcao_mei data_exclusao_mei uf cnae_secao"
 ).split()
+STATS = "month string, newest_opening date, establishments long, companies long, without_name long, links long"
 #: Parts of a build that are no tables of rows: the stats record and the indexes of names.
 NOT_TABLES = ("stats", "nomes_est", "nomes_socios")
 OPTIONAL_TEXT = "nome_fantasia cnae_secundaria tipo_logradouro logradouro numero complemento bairro cep cidade_exterior pais ddd1 telefone1 ddd2 telefone2 email situacao_especial".split()
@@ -66,9 +67,11 @@ def partner_links(raw: dict[str, DataFrame]) -> DataFrame:
     return s.withColumn("nome_key", fold(F.col("nome_socio")))
 
 
-def write_by_state(e: DataFrame, path: str, rows_per_file: int = 5_000_000, block_bytes: int = 64 << 20, **options: str) -> None:
+def write_by_state(e: DataFrame, path: str, rows_per_file: int = 5_000_000, block_bytes: int = 64 << 20, seen: Observation | None = None, **options: str) -> None:
     """Partitioned by state, within it by ranges of (activity, opening date), so that statistics prune both; keys lie anywhere in it and have Bloom filters."""
     ranged = e.repartitionByRange(F.col("uf"), F.col("cnae_divisao"), F.col("data_inicio_atividade")).sortWithinPartitions("uf", "cnae_principal", "data_inicio_atividade")
+    # behind the exchange, as the sampling before it reads the rows too
+    ranged = ranged.observe(seen, *establishment_figures()) if seen else ranged
     ranged.write.partitionBy("uf").options(**bloom("cnpj", "cnpj_basico") | options).option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", block_bytes).parquet(path, compression="zstd")
 
 
@@ -77,15 +80,22 @@ def bloom(*columns: str) -> dict[str, str]:
     return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
 
 
-def write_by_key(df: DataFrame, path: str, *keys: str, block_bytes: int = 32 << 20, **options: str) -> None:
+def write_by_key(df: DataFrame, path: str, *keys: str, block_bytes: int = 32 << 20, seen: Observation | None = None, **options: str) -> None:
     """Ranges of the key in sorted files, for lookups by key or key range."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**options).option("parquet.block.size", block_bytes).parquet(path, compression="zstd")
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.observe(seen, F.count(F.lit(1)).alias("links")) if seen else ranged
+    ranged.write.options(**options).option("parquet.block.size", block_bytes).parquet(path, compression="zstd")
 
 
 def write_codes(table: DataFrame, path: str) -> None:
     table.orderBy("codigo").coalesce(1).write.parquet(path, compression="zstd")
 
 
+def establishment_figures() -> list[Column]:
+    """What is counted while the establishments are written."""
+    return [F.max("data_inicio_atividade").alias("newest_opening"), F.count(F.lit(1)).alias("establishments"), F.count_if(F.col("matriz_filial") == 1).alias("companies"), F.count_if(F.col("razao_social").isNull()).alias("without_name")]
+
+
 def snapshot_stats(e: DataFrame, partners: DataFrame, month: str) -> DataFrame:
     """One row: row counts and the newest opening date, which bounds the last month that is only partly there."""
     links = partners.agg(F.count("*").alias("links"))
@@ -97,18 +107,21 @@ def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str,
     base = f"{target}/{month}-{uuid.uuid4().hex[:8]}"
     codes = [t for t in raw if raw[t].columns == ["codigo", "descricao"]]
     paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "nomes_est", "nomes_socios", "stats", *codes)}
-    write_by_state(establishments(raw), paths["estabelecimentos"])
+    rows, links = Observation(), Observation()
+    write_by_state(establishments(raw), paths["estabelecimentos"], seen=rows)
     # the other layouts come from the finished table, not from the joins again
     e = spark.read.parquet(paths["estabelecimentos"])
     write_by_key(e.select(*ESTABLISHMENT_COLUMNS), paths["est_cnpj"], "cnpj")
-    write_by_key(partner_links(raw), paths["socios"], "cnpj_basico")
+    write_by_key(partner_links(raw), paths["socios"], "cnpj_basico", seen=links)
     partners = spark.read.parquet(paths["socios"])
     write_by_key(partners, paths["socios_nome"], "nome_key", **bloom("nome_key", "cnpj_basico"))
     write_name_index(partners, "cnpj_basico", ["nome_key"], paths["nomes_socios"], folded=True)
     write_name_index(e, "cnpj", ["razao_social", "nome_fantasia"], paths["nomes_est"])
     for table in codes:
         write_codes(raw[table], paths[table])
-    snapshot_stats(e, partners, month).coalesce(1).write.json(paths["stats"])
+    # the figures come from the writes themselves; an empty table was seen by no task
+    figures = {"month": month, "newest_opening": None, "establishments": 0, "companies": 0, "without_name": 0, "links": 0} | rows.get | links.get
+    spark.createDataFrame([figures], STATS).coalesce(1).write.json(paths["stats"])
     return paths
 
 
