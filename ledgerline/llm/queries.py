@@ -90,12 +90,44 @@ def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), TOKENIZER, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op7: all but the model's own scores."""
+    return op7_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def op8_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8: the payload read back."""
+    return op8_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def op9_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op9: the base, and that what fails it isn't kept."""
+    return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("base_failed") & F.col("kept")).alias("kept_in_spite"))
+
+
+def op10_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10: hosts, paths, and the verdicts that rules give."""
+    return op10_url_trust(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+#: Queries over the columns that SQL can check of operators that it can't express whole.
+PARTS = (op7_base_columns, op8_payload_columns, op9_base_columns, op10_rule_columns)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op11_source_audit, op12_hard_negatives, op13_token_count)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_secrets, op4_bpe, op5_packing, op6_chat, op7_lm_score, op8_flac, op9_quality, op10_url_trust, op11_source_audit, op12_hard_negatives, op13_token_count, *PARTS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op7_base_columns": OP7_BASE_SQL, "op8_payload_columns": OP8_PAYLOAD_SQL, "op9_base_columns": OP9_BASE_SQL, "op10_rule_columns": OP10_RULE_SQL}
+
+
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of bytes in hexadecimal, bit by bit."""
+    value = lambda at: f"(instr('0123456789ABCDEF', substr({digits}, CAST({at} AS BIGINT), 1)) - 1)"
+    byte = f"({value('2 * i + 1')} * 16 + {value('2 * i + 2')})"
+    bits = f"flatten(list_transform(range(length({digits}) // 2), lambda i: list_transform(range(8), lambda k: CAST(({byte} >> k) & 1 AS BIGINT))))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), CAST(4294967295 AS BIGINT))"
 
 
 OP1_SQL = r"""
@@ -228,3 +260,61 @@ FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
 QUALIFY row_number() OVER w <= 10
 """
+
+LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_BASE_SQL = rf"""
+WITH tokens AS (
+  SELECT doc_id, {_crc32_sql("hex(encode(CAST(doc_id AS VARCHAR)))")} % 5 = 1 AS held_out,
+         list_append(regexp_extract_all({LOWER_AZ}, '[^\x20\x09-\x0D]+'), chr(10)) AS words
+  FROM documents)
+, each AS (SELECT doc_id, held_out, unnest(words) AS word FROM tokens)
+, seen AS (SELECT word, count(*) AS c FROM each WHERE NOT held_out GROUP BY word)
+, total AS (SELECT sum(c) AS n, count(*) AS v FROM seen)
+SELECT e.doc_id, e.held_out, count(*) AS n_tokens, count(s.c) AS n_known, CAST(t.n AS BIGINT) AS train_tokens,
+       round(sum(log10(coalesce(s.c, 0) + 0.5)) - count(*) * log10(t.n + 0.5 * (t.v + 1)), 3) AS base_score
+FROM each e LEFT JOIN seen s ON s.word = e.word CROSS JOIN total t
+GROUP BY e.doc_id, e.held_out, t.n, t.v
+"""
+
+OP8_PAYLOAD_SQL = rf"""
+SELECT doc_id, n_bytes, n_bytes + pad AS payload_bytes, sha256(text || repeat(' ', pad)) AS payload_sha256,
+       {_crc32_sql("tail")} AS tail_crc32
+FROM (SELECT *, right(hex(encode(right(text, 16) || repeat(' ', pad))), 32) AS tail FROM (SELECT doc_id, text, n_bytes, CAST(greatest(1, (n_bytes + 191) // 192) * 192 - n_bytes AS BIGINT) AS pad
+      FROM (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents)))
+"""
+
+OP9_BASE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+, windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM docs WHERE len(words) >= 3))
+, twice AS (
+  SELECT doc_id, unnest([i, i + 1, i + 2]) AS place
+  FROM windows SEMI JOIN (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1) d USING (doc_id, w))
+, repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM twice GROUP BY doc_id)
+, lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+       CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+       len(words) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(words) AS base_failed, FALSE AS kept_in_spite
+FROM docs d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN repeated r ON r.doc_id = d.doc_id
+"""
+
+OP10_RULE_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+, places AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+, rules AS (
+  SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+                        ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, domain, begins))
+SELECT p.page_id, p.host, p.path, r.domain || r.begins AS rule, r.verdict AS ruled
+FROM places p LEFT JOIN rules r ON (p.host = r.domain OR ends_with(p.host, '.' || r.domain)) AND starts_with(p.path, r.begins)
+QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.domain || r.begins) DESC NULLS LAST) = 1
+"""
