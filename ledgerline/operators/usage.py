@@ -51,46 +51,47 @@ def response_buckets(body: Column) -> Column:
 
     A message's data is its structured content, or its text blocks (one block: its JSON; several: a list of them). Lists
     count their rows without page totals and truncation marks, records their companies or partners, else one row.
-    Errors give unknown; a body that isn't JSON, or has a text block that isn't, gives an empty array.
+    Errors give unknown; a body that isn't JSON, or has a text block that isn't, gives an empty array. The body and each
+    text block are parsed once, into variants; all else are looks into these.
     """
 
-    def starts(c: Column, sign: str) -> Column:
-        return F.ltrim(c).startswith(sign)
+    def get(v: Column, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(v, path, kind)
 
-    def has(record: Column, key: str) -> Column:
-        return F.array_contains(F.json_object_keys(record), key)
+    def is_object(v: Column) -> Column:
+        return F.schema_of_variant(v).startswith("OBJECT")
 
     def let(value: Column, then) -> Column:
         return F.transform(F.array(value), then)[0]  # value is worked out once, however often `then` names it
 
     def of_rows(rows: Column) -> Column:
-        control = F.filter(rows, lambda r: (F.contains(r, F.lit('"total_matching"')) | F.contains(r, F.lit('"truncated"'))) & starts(r, "{") & (has(r, "total_matching") | F.get_json_object(r, "$.truncated").eqNullSafe("true")))
+        control = F.filter(rows, lambda r: get(r, "$.total_matching").isNotNull() | get(r, "$.truncated", "string").eqNullSafe("true"))
         return F.size(rows) - F.size(control)
 
     def of_record(data: Column) -> Column:
-        lists = F.coalesce(*(let(F.get_json_object(data, f"$.{k}"), lambda x: F.when(starts(x, "["), F.json_array_length(x))) for k in ("companies", "partners")))
-        return F.coalesce(lists, F.when((F.size(F.json_object_keys(data)) == 0) | has(data, "error"), 0).otherwise(1))
+        lists = F.coalesce(*(F.size(get(data, f"$.{k}", "array<variant>")) for k in ("companies", "partners")))
+        return F.coalesce(lists, F.when((F.schema_of_variant(data) == "OBJECT<>") | get(data, "$.error").isNotNull(), 0).otherwise(1))
 
     def of_data(data: Column) -> Column:
-        inner = let(F.when(starts(data, "{"), F.get_json_object(data, "$.result")), lambda x: F.when(starts(x, "["), x))
-        rows = let(F.when(starts(data, "["), data).otherwise(inner), lambda x: let(F.from_json(x, "array<string>"), of_rows))
-        return let(F.coalesce(rows, F.when(starts(data, "{"), of_record(data))), result_bucket)
+        rows = let(F.coalesce(get(data, "$", "array<variant>"), get(data, "$.result", "array<variant>")), of_rows)
+        return let(F.coalesce(rows, F.when(is_object(data), of_record(data))), result_bucket)
 
     def of_texts(texts: Column) -> Column:
-        joined = F.when(F.size(texts) == 1, texts[0]).otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
-        return F.when(F.forall(texts, lambda t: F.try_parse_json(t).isNotNull()), let(joined, of_data))
+        # one text is the data, several are its rows
+        whole = F.when(F.size(texts) == 1, of_data(texts[0])).otherwise(let(of_rows(texts), result_bucket))
+        return F.when(F.forall(texts, lambda t: t.isNotNull()), whole)
 
     def of_message(m: Column) -> Column:
-        blocks = F.from_json(F.coalesce(F.get_json_object(m, "$.result.content"), F.lit("[]")), "array<struct<type: string, text: string>>")
-        texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
-        structured = lambda data: F.when(data.isNotNull(), of_data(data)).otherwise(let(texts, of_texts))
-        failed = F.get_json_object(m, "$.result.isError").eqNullSafe("true") | has(m, "error")
-        return F.when(failed, "unknown").otherwise(let(F.get_json_object(m, "$.result.structuredContent"), structured))
+        blocks = F.coalesce(get(m, "$.result.content", "array<variant>"), F.array().cast("array<variant>"))
+        texts = F.transform(F.filter(blocks, lambda b: get(b, "$.type", "string") == "text"), lambda b: F.try_parse_json(get(b, "$.text", "string")))
+        structured = lambda data: F.when(data.isNotNull() & ~F.is_variant_null(data), of_data(data)).otherwise(let(texts, of_texts))
+        failed = get(m, "$.result.isError", "string").eqNullSafe("true") | get(m, "$.error").isNotNull()
+        return F.when(failed, "unknown").otherwise(let(get(m, "$.result.structuredContent"), structured))
 
-    messages = F.when(starts(body, "["), F.from_json(body, "array<string>")).otherwise(F.array(body))
     none = F.array().cast("array<string>")
     whole = lambda out: F.when(F.forall(out, lambda b: b.isNotNull()), out).otherwise(none)
-    return F.when(F.try_parse_json(body).isNotNull(), let(F.transform(messages, of_message), whole)).otherwise(none)
+    messages = lambda v: let(F.transform(F.coalesce(get(v, "$", "array<variant>"), F.array(v)), of_message), whole)
+    return let(F.try_parse_json(body), lambda v: F.when(v.isNotNull(), messages(v)).otherwise(none))
 
 
 def outcome(raised: Column, code: Column, body: Column) -> Column:
