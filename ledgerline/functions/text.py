@@ -8,8 +8,9 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 ACCENTED = "áàâãäåāăąçćčďéèêëēęěíìîïīłñńňóòôõöøōőŕřśšťúùûüūůűýÿžźż"
 PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorrsstuuuuuuuyyzzz"
@@ -44,6 +45,29 @@ def fold(c: Column) -> Column:
     return _mapped(c, "NFD")
 
 
+#: Compares without case and accents, in any script.
+COLLATION = "UNICODE_CI_AI"
+
+
+def collated(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns that compare without case and accents by themselves: in equality, joins, grouping and contains. Written tables keep it."""
+    return df.withColumns({c: F.collate(c, COLLATION) for c in columns})
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with all collated columns as plain strings again."""
+    return df.select(*(F.collate(f.name, "UTF8_BINARY").alias(f.name) if _folds(f) else F.col(f.name) for f in df.schema.fields))
+
+
+def _folds(field: StructField) -> bool:
+    return isinstance(field.dataType, StringType) and field.dataType.collation == COLLATION
+
+
+def self_folding(df: DataFrame) -> set[str]:
+    """The columns of df that compare without case and accents by themselves."""
+    return {f.name for f in df.schema.fields if _folds(f)}
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 

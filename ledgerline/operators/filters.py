@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.text import fold
+from ..functions.text import fold, self_folding
 from .name_index import NameIndex
 
 MAX_ROWS = 100
@@ -70,8 +70,13 @@ def text_guard(text: str, uf: str | None) -> None:
         raise ValueError("a name search needs 3 to 256 characters")
 
 
-def contains_folded(c: Column, text: str) -> Column:
-    return fold(c).contains(fold(F.lit(text)))
+def contains_folded(c: Column, text: str, by_itself: bool = False) -> Column:
+    """Whether a column holds a text, case and accents aside; `by_itself`: the column's own collation sees to that."""
+    return F.contains(c, F.lit(text)) if by_itself else fold(c).contains(fold(F.lit(text)))
+
+
+def equals_folded(c: Column, text: str, by_itself: bool = False) -> Column:
+    return c == F.lit(text) if by_itself else fold(c) == fold(F.lit(text))
 
 
 @dataclass
@@ -101,8 +106,10 @@ class Filters:
     cep: str | None = None
     partner_name: str | None = None
 
-    def conditions(self) -> list[Column]:
+    def conditions(self, folding: set[str] | frozenset[str] = frozenset()) -> list[Column]:
+        """The conditions set; `folding`: columns that compare without case and accents by themselves."""
         c, out = F.col, []
+        holds = lambda name, text: contains_folded(c(name), text, name in folding)
         if self.cnae:
             prefixes = [only_digits(x, "cnae", 2, 7) for x in ([self.cnae] if isinstance(self.cnae, str) else self.cnae)]
             if len(prefixes) > 20:
@@ -118,7 +125,7 @@ class Filters:
         if self.municipio_codigo:
             out.append(c("municipio_codigo") == only_digits(self.municipio_codigo, "municipio_codigo", 1, 4).zfill(4))
         if self.municipio:
-            out.append(fold(c("municipio")) == fold(F.lit(self.municipio.strip())))
+            out.append(equals_folded(c("municipio"), self.municipio.strip(), "municipio" in folding))
         if self.situacao:
             out.append(c("situacao_cadastral") == one_of(self.situacao, codes.STATUS, "situacao"))
         if self.matriz_only:
@@ -127,7 +134,7 @@ class Filters:
             out.append(c("porte") == one_of(self.porte, codes.SIZES, "porte", codes.SIZE_ALIASES))
         if self.natureza_juridica:
             text = self.natureza_juridica.strip()
-            out.append(c("natureza_juridica").startswith(text) if re.fullmatch(r"\d{1,4}", text) else contains_folded(c("natureza_juridica_descricao"), text))
+            out.append(c("natureza_juridica").startswith(text) if re.fullmatch(r"\d{1,4}", text) else holds("natureza_juridica_descricao", text))
         if self.capital_min is not None:
             out.append(c("capital_social") >= float(self.capital_min))
         if self.capital_max is not None:
@@ -145,7 +152,7 @@ class Filters:
                 out.append(c(name).eqNullSafe("S") == wanted)
         if self.name_contains:
             text_guard(self.name_contains, self.uf)
-            out.append(contains_folded(c("razao_social"), self.name_contains) | contains_folded(c("nome_fantasia"), self.name_contains))
+            out.append(holds("razao_social", self.name_contains) | holds("nome_fantasia", self.name_contains))
         if self.cep:
             out.append(c("cep") == only_digits(self.cep, "cep", 8, 8))
         return out
@@ -159,7 +166,7 @@ class Filters:
         return out
 
     def apply(self, establishments: DataFrame, partners: DataFrame | None = None, name_index: NameIndex | None = None, partner_index: NameIndex | None = None) -> DataFrame:
-        where = self.conditions()
+        where = self.conditions(self_folding(establishments))
         if self.name_contains and name_index:
             establishments = name_index.narrowed(establishments, "cnpj", self.name_contains)
         out = establishments.where(reduce(lambda a, b: a & b, where)) if where else establishments
@@ -167,5 +174,5 @@ class Filters:
             if partners is None:
                 raise ValueError("partner_name needs the table of partners")
             partners = partner_index.narrowed(partners, "cnpj_basico", self.partner_name) if partner_index else partners
-            out = out.join(partners.where(contains_folded(F.col("nome_socio"), self.partner_name)).select("cnpj_basico"), "cnpj_basico", "left_semi")
+            out = out.join(partners.where(contains_folded(F.col("nome_socio"), self.partner_name, "nome_socio" in self_folding(partners))).select("cnpj_basico"), "cnpj_basico", "left_semi")
         return out

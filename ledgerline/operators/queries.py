@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes
-from ..functions.text import fold, formatted_key
+from ..functions.text import fold, formatted_key, self_folding
 from ..functions.web import mail_domain
 from ..sources.shared import written
 from .accounts import account_matches
@@ -247,9 +247,12 @@ def search_partners(partners: DataFrame, establishments: DataFrame, name: str, c
     if not 4 <= len((name or "").strip()) <= 256:
         raise ValueError("name: 4 to 256 characters")
     limit, offset = page(limit, offset)
-    key = F.col("nome_key") if "nome_key" in partners.columns else fold(F.col("nome_socio"))
     partners = index.narrowed(partners, "cnpj_basico", name.strip()) if contains and index else partners
-    found = partners.where(key.contains(fold(F.lit(name.strip()))) if contains else key == fold(F.lit(name.strip())))
+    if "nome_socio" in self_folding(partners):
+        key, asked = F.col("nome_socio"), F.lit(name.strip())
+    else:
+        key, asked = F.col("nome_key") if "nome_key" in partners.columns else fold(F.col("nome_socio")), fold(F.lit(name.strip()))
+    found = partners.where(F.contains(key, asked) if contains else key == asked)
     if cpf_middle:
         found = found.where(F.col("cnpj_cpf_socio") == f"***{only_digits(cpf_middle, 'cpf_middle', 6, 6)}**")
     offices = head_offices(establishments)

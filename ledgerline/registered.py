@@ -206,6 +206,20 @@ def search_partners_contains(spark, sf_dir):
     return text.formatted_values(ask.search_partners(demo.partners(spark, sf_dir), demo.establishments(spark, sf_dir), "conceição", contains=True, uf="MT", limit=50, offset=10).select(*PARTNER_COLUMNS))
 
 
+@query(SQL["search_partners_contains"].removeprefix(f"{WITH} "))
+def search_partners_collated(spark, sf_dir):
+    """On a written table whose names compare without case and accents by themselves."""
+    partners = written(text.collated(demo.partners(spark, sf_dir), "nome_socio"), "partners")
+    return text.formatted_values(text.plain(ask.search_partners(partners, demo.establishments(spark, sf_dir), "CONCEIÇÃO", contains=True, uf="MT", limit=50, offset=10)).select(*PARTNER_COLUMNS))
+
+
+@query(f"SELECT uf, count(*) AS total, min(municipio) AS municipio FROM est WHERE lower(municipio) = 'nation_3' AND uf = 'BA' AND contains(strip_accents(lower(nome_fantasia)), 'sao nation_3 1') GROUP BY uf")
+def count_collated(spark, sf_dir):
+    e = written(text.collated(demo.establishments(spark, sf_dir), "municipio", "razao_social", "nome_fantasia"), "establishments")
+    found = Filters(municipio="Natión_3", uf="BA", name_contains="SÃO NATIÔN_3 1").apply(e)
+    return text.plain(found.groupBy("uf").agg(F.count("*").alias("total"), F.min("municipio").alias("municipio")))
+
+
 def _indexed(rows: DataFrame, key: str, *names: str) -> NameIndex:
     path = shared_folder(rows.sparkSession, "names")
     write_name_index(rows, key, list(names), path)

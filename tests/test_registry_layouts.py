@@ -113,3 +113,18 @@ def test_search_inside_names_reads_a_small_part(spark, tmp_path, monkeypatch):
     assert 0 < most < 500 and postings < total / 4
     monkeypatch.setattr("ledgerline.operators.name_index.NAMED", 0)  # a join in place of named keys: the same rows
     assert [r.cnpj for r in ask.search_companies(e, Filters(uf=name.uf, name_contains=part), name_index=index).collect()] == [name.cnpj]
+
+
+def test_collated_columns_fold_by_themselves_in_any_script(spark, tmp_path):
+    from ledgerline.functions import text
+
+    towns = ["SÃO PAULO", "sao paulo", "São  Paulo", "Αθήνα", "ΑΘΗΝΑ", "Йошкар-Ола", "йошкар-ола", None, ""]
+    rows = spark.createDataFrame([(str(i), t, "SP", f"Casa {t}") for i, t in enumerate(towns)], "cnpj string, municipio string, uf string, razao_social string").withColumn("nome_fantasia", F.lit(None).cast("string"))
+    text.collated(rows, "municipio", "razao_social").write.parquet(str(tmp_path / "t"))
+    e = spark.read.parquet(str(tmp_path / "t"))
+    assert text.self_folding(e) == {"municipio", "razao_social"} and text.self_folding(text.plain(e)) == set()
+    found = lambda **f: sorted(r.cnpj for r in Filters(**f).apply(e).select("cnpj").collect())
+    assert found(municipio="Sao Paulo") == ["0", "1"] and found(municipio="αθηνα") == ["3", "4"] and found(municipio="ЙОШКАР-ола") == ["5", "6"]
+    assert found(uf="SP", name_contains="ΘΗΝ") == ["3", "4"] and found(uf="SP", name_contains="casa s") == ["0", "1", "2"]
+    assert "translate" not in Filters(municipio="x").apply(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert e.groupBy("municipio").count().where("count = 2").count() == 3
