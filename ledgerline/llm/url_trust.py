@@ -23,6 +23,10 @@ MANY = 1000
 LINKS = r"""(?i)\shref\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
 
 
+#: Links from a host, or back to those that link to it, that are kept together; more are dealt over several tasks.
+HUB = 100_000
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or a url without ://."""
     at = F.instr(url, "://")
@@ -55,7 +59,7 @@ def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
     return linked.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, one_task: int = ONE_TASK) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, one_task: int = ONE_TASK, hub: int = HUB) -> DataFrame:
     """(kind, host, score): personalised PageRank over edges (kind, src, dst, w) from seeds (kind, host, mass).
 
     Each kind is a graph of its own; its masses sum to 1, and so do its scores. A round passes `damping` of what each
@@ -67,19 +71,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     rounds and their results are the same.
     """
     shared_dir(edges.sparkSession)
-    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    moves = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("w") / F.col("all")).alias("share"))
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"), F.ceil(F.count("*") / hub).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("dst"), F.col("chunks")).cast("int")
+    moves = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), chunk.alias("chunk"), "dst", (damping * F.col("w") / F.col("all")).alias("share"))
     ends = edges.select("kind", F.explode(F.array("src", "dst")).alias("host")).union(seeds.select("kind", "host")).distinct()
-    # a host's step to itself carries its score on; the others bring a share of what came to their source
-    steps = staged(moves.unionByName(ends.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))), "steps")
+    # a host's step to itself carries its score on; the others bring a share of what came to their source. Each knows the chunks of where it leads
+    loops = ends.select("kind", "host", F.lit(0).alias("chunk"), F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))
+    dealt = out.where("chunks > 1").select("kind", F.col("src").alias("dst"), "chunks")
+    steps = staged(moves.unionByName(loops).join(dealt, ["kind", "dst"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select("kind", "host", "chunk", "dst", "share", "chunks"), "steps")
     few = steps.count() <= one_task
     kept = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    steps = kept((steps if few else steps.repartition("kind", "host")).checkpoint()).hint("merge")
-    rank = kept(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("score")).withColumn("fresh", F.col("score")).checkpoint())
+    steps = kept((steps if few else steps.repartition("kind", "host", "chunk")).checkpoint()).hint("merge")
+    of = steps.where("share IS NULL").select("kind", "host", "chunks")
+    rank = kept(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("score")).withColumn("fresh", F.col("score")).join(of, ["kind", "host"]).checkpoint())
+    whole = steps.where("chunks > 1").isEmpty()  # no host has more links than a chunk takes
     for i in range(1, math.ceil(math.log(tolerance) / math.log(damping)) + 1):
-        moved = rank.join(steps, ["kind", "host"]).where("fresh > 0 OR share IS NULL")
-        moved = moved.select("kind", "dst", F.when(F.col("share").isNull(), F.col("score")).otherwise(0.0).alias("score"), (F.col("fresh") * F.coalesce("share", F.lit(0.0))).alias("fresh"))
-        rank = moved.groupBy("kind", "dst").agg((F.sum("score") + F.sum("fresh")).alias("score"), F.sum("fresh").alias("fresh")).withColumnRenamed("dst", "host")
+        sent = rank.drop("chunks").withColumn("chunk", F.lit(0)) if whole else rank.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        moved = sent.join(steps, ["kind", "host", "chunk"]).where("fresh > 0 OR share IS NULL")
+        moved = moved.select("kind", "dst", "chunks", F.when(F.col("share").isNull(), F.col("score")).otherwise(0.0).alias("score"), (F.col("fresh") * F.coalesce("share", F.lit(0.0))).alias("fresh"))
+        rank = moved.groupBy("kind", "dst").agg((F.sum("score") + F.sum("fresh")).alias("score"), F.sum("fresh").alias("fresh"), F.max("chunks").alias("chunks")).withColumnRenamed("dst", "host")
         if i % 5 == 0:
             rank = kept(rank.checkpoint())
             if (rank.groupBy("kind").agg(F.sum("fresh").alias("f")).agg(F.max("f")).first()[0] or 0) <= tolerance * (1 - damping):

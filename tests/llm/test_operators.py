@@ -437,15 +437,15 @@ def test_url_trust(spark):
     assert clash.count() == len(rows) and clash.where("host = 'x'").isEmpty() and clash.where("many <> 2").isEmpty()
 
 
-@pytest.mark.parametrize("one_task", [0, 1 << 16])
-def test_propagation_equals_dense_algebra(spark, one_task):
-    """Two graphs at once, with hosts that link nowhere, seeds that link nowhere, and a chain that is longer than any fixed number of rounds."""
+@pytest.mark.parametrize("one_task, hub", [(0, 100_000), (1 << 16, 100_000), (0, 2), (1 << 16, 2)])
+def test_propagation_equals_dense_algebra(spark, one_task, hub):
+    """With and without hosts whose links are dealt over chunks: two graphs at once, with hosts that link nowhere, seeds that link nowhere, and a chain that is longer than any fixed number of rounds."""
     rng = np.random.default_rng(5)
     graphs = {"trust": [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 12, 30), rng.integers(0, 15, 30), rng.integers(1, 5, 30)) if a != b], "distrust": [(i, i + 1, 1.0) for i in range(20)]}
     seeds = {"trust": {0: 0.5, 3: 0.25, 14: 0.25}, "distrust": {0: 1.0}}
     edges = spark.createDataFrame([(k, f"h{a}", f"h{b}", w) for k, es in graphs.items() for a, b, w in es], "kind string, src string, dst string, w double")
     mass = spark.createDataFrame([(k, f"h{h}", m) for k, ms in seeds.items() for h, m in ms.items()], "kind string, host string, mass double")
-    got = {(r.kind, r.host): r.score for r in url_trust.propagate(edges, mass, tolerance=1e-4, one_task=one_task).collect()}
+    got = {(r.kind, r.host): r.score for r in url_trust.propagate(edges, mass, tolerance=1e-4, one_task=one_task, hub=hub).collect()}
     for kind, es in graphs.items():
         n = 21
         w, s = np.zeros((n, n)), np.zeros(n)
