@@ -17,6 +17,7 @@ from ..functions.text import fold
 
 #: Characters of a key that place it in a chunk of a posting list.
 CHUNK_CHARS = 4
+POSTINGS, COUNTS = "trigram string, chunk string, keys array<string>", "trigram string, n long"
 #: A trigram's postings are read if there are at most so many times as many as of the rarest.
 WORTH = 16
 #: Up to so many keys, by the counts, a search names them to the scan, whose statistics then skip the rest; more are joined.
@@ -40,7 +41,7 @@ def write_name_index(rows: DataFrame, key: str, names: list[str], path: str, fol
     pairs = rows.select(F.col(key).cast("string").alias("key"), F.explode(both).alias("trigram")).where("key IS NOT NULL")
     lists = pairs.groupBy("trigram", F.substring("key", 1, CHUNK_CHARS).alias("chunk")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     lists.repartitionByRange("trigram", "chunk").sortWithinPartitions("trigram", "chunk").write.options(**options).parquet(f"{path}/postings", compression="zstd")
-    postings = rows.sparkSession.read.parquet(f"{path}/postings")
+    postings = rows.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
     counts = postings.groupBy("trigram").agg(F.sum(F.size("keys")).alias("n"))
     counts.repartitionByRange("trigram").sortWithinPartitions("trigram").write.options(**options).parquet(f"{path}/counts", compression="zstd")
 
@@ -50,8 +51,8 @@ class NameIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.postings = spark.read.parquet(f"{path}/postings")
-        self.counts = spark.read.parquet(f"{path}/counts")
+        self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        self.counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
 
     def plan(self, text: str) -> list[tuple[str, int]] | None:
         """The trigrams to read with their numbers of keys, rarest first; empty if no name can hold the text, None if it has no trigram."""

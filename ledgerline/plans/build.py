@@ -108,12 +108,13 @@ def build_registry(spark: SparkSession, raw: dict[str, DataFrame], target: str,
     codes = [t for t in raw if raw[t].columns == ["codigo", "descricao"]]
     paths = {k: f"{base}/{k}" for k in ("estabelecimentos", "est_cnpj", "socios", "socios_nome", "nomes_est", "nomes_socios", "stats", *codes)}
     rows, links = Observation(), Observation()
-    write_by_state(establishments(raw), paths["estabelecimentos"], seen=rows)
+    typed, linked = establishments(raw), partner_links(raw)
+    write_by_state(typed, paths["estabelecimentos"], seen=rows)
     # the other layouts come from the finished table, not from the joins again
-    e = spark.read.parquet(paths["estabelecimentos"])
+    e = spark.read.schema(typed.schema).parquet(paths["estabelecimentos"])
     write_by_key(e.select(*ESTABLISHMENT_COLUMNS), paths["est_cnpj"], "cnpj")
-    write_by_key(partner_links(raw), paths["socios"], "cnpj_basico", seen=links)
-    partners = spark.read.parquet(paths["socios"])
+    write_by_key(linked, paths["socios"], "cnpj_basico", seen=links)
+    partners = spark.read.schema(linked.schema).parquet(paths["socios"])
     write_by_key(partners, paths["socios_nome"], "nome_key", **bloom("nome_key", "cnpj_basico"))
     write_name_index(partners, "cnpj_basico", ["nome_key"], paths["nomes_socios"], folded=True)
     write_name_index(e, "cnpj", ["razao_social", "nome_fantasia"], paths["nomes_est"])
@@ -143,15 +144,21 @@ def repoint(spark: SparkSession, target: str) -> list[str]:
     return register_views(spark, {k: v for k, v in (current(spark, target) or {}).items() if k not in NOT_TABLES})
 
 
-def audit(raw: dict[str, DataFrame], built: DataFrame, partners: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """(check, expected, actual, ok): raw against built rows, keys, names, head offices; with anchors (check, expected), published figures too."""
+def audit(raw: dict[str, DataFrame], built: DataFrame, partners: DataFrame, anchors: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """(check, expected, actual, ok): raw against built rows, keys, names, head offices; with anchors (check, expected), published figures too.
+
+    figures: the build's stats row; what was counted while the tables were written is taken from it and not counted again.
+    """
     from_raw = raw["estabelecimentos"].agg(F.count("*").alias("rows")).join(raw["socios"].agg(F.count("*").alias("links")))
     # distinct keys as a two-step count, so that no task holds all keys
     per_root = built.groupBy("cnpj_basico").agg(F.count_if(F.col("matriz_filial") == 1).alias("heads"))
     heads = per_root.agg(F.count_if(F.col("heads") > 1).alias("double_heads"))
     keys = built.groupBy("cnpj").count().agg(F.count("*").alias("keys"))
-    e = built.agg(F.count("*").alias("built"), F.count_if(F.col("razao_social").isNull()).alias("nameless"))
-    all_in_one = from_raw.join(e).join(keys).join(heads).join(partners.agg(F.count("*").alias("built_links")))
+    if figures is None:
+        e = built.agg(F.count("*").alias("built"), F.count_if(F.col("razao_social").isNull()).alias("nameless")).join(partners.agg(F.count("*").alias("built_links")))
+    else:
+        e = figures.select(F.col("establishments").alias("built"), F.col("without_name").alias("nameless"), F.col("links").alias("built_links"))
+    all_in_one = from_raw.join(e).join(keys).join(heads)
     rows = F.array(*(F.struct(F.lit(n).alias("check"), F.expr(x).cast("long").alias("expected"), F.expr(a).cast("long").alias("actual")) for n, x, a in (("establishments", "rows", "built"), ("partner_links", "links", "built_links"), ("distinct_keys", "built", "keys"), ("without_name", "0", "nameless"), ("roots_with_two_head_offices", "0", "double_heads"))))
     out = all_in_one.select(F.explode(rows).alias("r")).select("r.*")
     by_status = built.groupBy("situacao_cadastral").agg(F.count("*").alias("actual")).select(F.concat(F.lit("status_"), F.col("situacao_cadastral")).alias("check"), F.lit(None).cast("long").alias("expected"), "actual")

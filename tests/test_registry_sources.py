@@ -83,3 +83,33 @@ def test_an_upsert_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
     assert set(removed) == {before[b] for b in touched} | ({after[b] for b in after} - {r.path for r in keyed.manifest(spark, target)})
     assert live() == set(want.values()) and keyed.versions(spark, target) == [3]
     assert keyed.upsert(spark.createDataFrame([], CHECK), str(tmp_path / "none"), "number", merge, 0) == [] and keyed.live_path(spark, str(tmp_path / "none")) is None
+
+
+def test_figures_of_the_writes_equal_a_second_scan(spark, tmp_path):
+    from ledgerline.plans import build, raw_demo
+
+    raw = raw_demo.raw_dump(spark, "/root/testdata/sf0.001")
+    paths = build.build_registry(spark, raw, str(tmp_path), "2024-01")
+    e, partners, stats = spark.read.parquet(paths["est_cnpj"]), spark.read.parquet(paths["socios"]), spark.read.schema(build.STATS).json(paths["stats"])
+    assert stats.drop("without_name").first().asDict() == build.snapshot_stats(e, partners, "2024-01").first().asDict()
+    audit = lambda **f: sorted(map(str, build.audit(raw, e, partners, **f).collect()))
+    assert audit(figures=stats) == audit()
+    empty = {k: v.limit(0) for k, v in raw.items()}
+    stats = spark.read.schema(build.STATS).json(build.build_registry(spark, empty, str(tmp_path / "empty"), "2024-02")["stats"]).first()
+    assert (stats.month, stats.newest_opening, stats.establishments, stats.links) == ("2024-02", None, 0, 0)
+
+
+def test_share_sketches_merge_over_months(spark):
+    from ledgerline.operators import scores
+
+    rows = spark.range(60_000).selectExpr("lpad(CAST(id % 20000 AS STRING), 8, '0') AS cnpj_basico", "if(id % 3 = 0, 'a@x.com', concat('m', id % 9, '@y.com ')) AS email", "'11' AS ddd1", "if(id < 5, '33334444', NULL) AS telefone1", "NULL AS ddd2", "NULL AS telefone2", "date_add(DATE'2020-01-01', CAST(id % 700 AS INT)) AS data_inicio_atividade")
+    rows = rows.selectExpr("*").withColumn("ddd2", F.col("ddd2").cast("string")).withColumn("telefone2", F.col("telefone2").cast("string"))
+    kept = scores.share_sketches(rows)
+    merged = {(r.kind, r.value): r.n for r in scores.merged_shares(kept).collect()}
+    exact = {("email", r.em): r.n for r in scores.mail_shares(rows).collect()} | {("phone", r.ph): r.n for r in scores.phone_shares(rows).collect()}
+    assert merged["phone", "1133334444"] == 5 and all(abs(merged[k] - n) <= 0.03 * n for k, n in exact.items())
+    # months added one by one: the estimate may differ by what sketches are off
+    early, late = kept.where("month < '2021-01'"), kept.where("month >= '2021-01'")
+    again = {(r.kind, r.value): r.n for r in scores.merged_shares(early.unionByName(late)).collect()}
+    assert again.keys() == merged.keys() and all(abs(again[k] - n) <= 0.03 * n for k, n in merged.items())
+    assert scores.share_sketches(rows.limit(0)).count() == 0
