@@ -112,7 +112,14 @@ def sf(spark, tmp_path_factory):
     docs = [(i, t) for i, t in enumerate(TEXTS)] + [(50 + i, f"head {i}\n \t{SHARED.upper() if i % 2 else SHARED}\ntail {i}\n{SHARED}") for i in range(6)]
     chats = [(1, 0, "user", "a[TURN]b\\"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n é"), (1, 3, "assistant", "𝔘[["), (2, 0, None, "<s>"), (2, None, "od[d", "\\e"), (3, 0, "user", ""), (3, 0, "user", ""), (3, 0, "assistant", "x")]
     chats += [(4, i, ["user", "assistant"][i // 3 % 2], f"turn {i}") for i in range(3000)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    docs = [(i, t, [None, "x", "y"][i % 3], f"s{i % 4}" if i % 7 else None) for i, t in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    rng = np.random.default_rng(2)
+    vectors = [(i, int(rng.integers(0, 10)), rng.normal(0, 0.3, 8).tolist()) for i in range(0, 900, 2)] + [(1, 2, None), (3, None, [0.5] * 8), (5, 2, [None] + [0.5] * 7), (7, 2, [float("nan")] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    urls = [None, "no scheme", "http://a.Example.com/en/7x?q", "https://b.example.com/en/8", "https://c.net/de/8", "https://Example.net/de/81#f", "https://x.org/es/", "https://org/es/2", "https://xorg/es/2", "ftp://h.edu?x://y", "https://h.edu#/en/"]
+    pages = [(i, u, f'<a href="https://link{i}.org/">x</a>' if i % 2 else None) for i, u in enumerate(urls)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(chats, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
@@ -120,7 +127,7 @@ def sf(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet/*.parquet'")
     out = queries.queries()[name](spark, sf)
     want = db.execute(queries.oracle_sql()[name])
@@ -131,7 +138,7 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 def test_media_query_equals_brute_force(spark, sf):
     rows = {r.doc_id: r for r in queries.op8_flac(spark, sf).collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert len(rows) == len(docs)
     for i, text in docs:
         raw, r = (text or "").encode(), rows[i]
