@@ -90,28 +90,28 @@ def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), TOKENIZER, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-def op7_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def columns_of_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op7: all but the model's own scores."""
     return op7_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
-def op8_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def columns_of_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op8: the payload read back."""
     return op8_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
 
 
-def op9_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def columns_of_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op9: the base, and that what fails it isn't kept."""
     return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("base_failed") & F.col("kept")).alias("kept_in_spite"))
 
 
-def op10_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def columns_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op10: hosts, paths, and the verdicts that rules give."""
     return op10_url_trust(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
 
 
 #: Queries over the columns that SQL can check of operators that it can't express whole.
-PARTS = (op7_base_columns, op8_payload_columns, op9_base_columns, op10_rule_columns)
+PARTS = (columns_of_op7, columns_of_op8, columns_of_op9, columns_of_op10)
 
 
 def queries() -> dict[str, Query]:
@@ -119,7 +119,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op7_base_columns": OP7_BASE_SQL, "op8_payload_columns": OP8_PAYLOAD_SQL, "op9_base_columns": OP9_BASE_SQL, "op10_rule_columns": OP10_RULE_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_source_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL, "columns_of_op7": OP7_BASE_SQL, "columns_of_op8": OP8_PAYLOAD_SQL, "columns_of_op9": OP9_BASE_SQL, "columns_of_op10": OP10_RULE_SQL}
 
 
 def _crc32_sql(digits: str) -> str:
