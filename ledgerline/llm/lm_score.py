@@ -19,12 +19,11 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,21 +38,50 @@ MOST_BITS = 23
 CONTEXTS, GATES, BUCKETS = 4, 16, 33
 #: Profiles are told apart by their digest modulo this; those of a large number share places.
 PROFILES = 64
-#: Tokens after which the weights of a text are adapted; tokens and words that are expanded to bits at once.
-BLOCK, RUN = 64, 1 << 13
+#: Tokens after which the weights of a text are adapted; tokens that are expanded to bits at once.
+BLOCK, RUN = 64, 1 << 12
+#: Texts whose blocks are scored together.
+PIECE = 128
+#: Bits of a path whose slots lie together: one hash and about one line of the cache stand for them.
+DEEP = 4  # 4 at most, as a place in a group has four bits
 #: Strength of the learned weights against what a text shows.
 HOLD = 400.0
-#: Slots that are packed together; distinct words that a task counts before it hands them on.
-PART, COUNTED = 1 << 16, 400_000
+#: Slots that are packed together; bytes of text whose words are counted before they are handed on.
+PART, COUNTED = 1 << 16, 1 << 25
 #: Bytes of text whose tokens are held at once.
-TEXTS = 1 << 19
+TEXTS = 1 << 21
 END = "\n"
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 Bits = tuple[list[np.ndarray], np.ndarray]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none) one behind the other, A-Z lower-cased, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at an end leave empty ones
+    if there.all():
+        return words, n
+    return words.filter(pa.array(there)), np.bincount(np.repeat(np.arange(len(n)), n)[there], minlength=len(n))
+
+
+def runs(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Parts of a column of texts of about `limit` bytes, or one text."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, side="right")))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
+def squeezed(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(data), asbytes=True)
+
+
+def spread(data: bytes, size: int, dtype: str) -> np.ndarray:
+    """The `size` values that squeezed() took."""
+    return np.frombuffer(pa.Codec("zstd", 1).decompress(data, size * np.dtype(dtype).itemsize), dtype)
 
 
 def table_bits(events: int, least: int = 14, most: int = MOST_BITS) -> int:
@@ -67,8 +95,8 @@ class Tree:
     def __init__(self, words: list[bytes], counts: list[int], escaped: int, ends: int, profiles: np.ndarray):
         # log P(word | profile) by leaf; the escape and the end tell nothing
         self.profiles = np.log((profiles + 0.1) / (profiles.sum(0) + 0.1 * max(len(words), 1))).astype(np.float32)
-        self.profiles = np.concatenate([self.profiles - self.profiles.mean(1, keepdims=True), np.zeros((2, profiles.shape[1]), np.float32)])
-        self.place = {w: i for i, w in enumerate(words)}
+        self.profiles = np.concatenate([self.profiles - self.profiles.mean(1, keepdims=True), np.zeros((2, profiles.shape[1]), np.float32)]).T.copy()
+        self.words = pa.array(words, pa.binary())
         self.escape, self.end = len(words), len(words) + 1
         self.counts = np.array([*counts, 0, ends], float)
         heap = [(max(c, 1), i) for i, c in enumerate([*counts, escaped, ends])]
@@ -82,30 +110,40 @@ class Tree:
             heapq.heappush(heap, (a + b, node))
             node += 1
         self.nodes = len(words) + 1
-        at, bit = [], []
-        starts = [0]
+        at, bit, inside, root, deep, groups = [], [], [], [], [], [0]
         for leaf in range(len(words) + 2):
             path = []
             while leaf != node - 1:
                 path.append((up[leaf] - self.nodes - 1, side[leaf]))
                 leaf = up[leaf]
-            for n, b in reversed(path):
+            for i, (n, b) in enumerate(reversed(path)):
+                if i % DEEP == 0:
+                    root.append(n)
+                    deep.append(min(DEEP, len(path) - i))
+                inside.append(2 * inside[-1] + bit[-1] if i % DEEP else 1)
                 at.append(n)
                 bit.append(b)
-            starts.append(len(at))
-        self.start, self.at, self.bit = np.array(starts), np.array(at, np.int64), np.array(bit, np.uint8)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            groups.append(len(root))
+        # of each bit of the paths: its node, the node's place in its group, and the bit
+        self.path = (np.array(at, np.int64) << 5 | np.array(inside, np.int64) << 1 | np.array(bit, np.int64)).astype(np.int32)
+        # a path's groups of DEEP bits: their first nodes, and where their bits begin
+        self.group, self.root, self.begin = np.array(groups), np.array(root, np.uint64) * M3, np.cumsum([0, *deep])
+        self.hashes = np.array([*map(xxhash.xxh3_64_intdigest, words), 0, 0], np.uint64)
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and hash of each word, and of the end."""
-        place, escape = self.place, self.escape
-        leaf = np.fromiter((place.get(w, escape) for w in words), np.int64, len(words))
-        hashes = np.zeros(len(words) + 1, np.uint64)
-        known = leaf < escape
-        hashes[:-1][known] = self.hashes[leaf[known]]
-        for i in np.flatnonzero(~known).tolist():
-            hashes[i] = xxhash.xxh3_64_intdigest(words[i])
-        return np.append(leaf, self.end), hashes
+        return self.tokens_of(pa.array(words, pa.binary()), np.array([len(words)]))[:2]
+
+    def tokens_of(self, words: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf, hash and place of each token of texts that have `n` words each, an end behind each text's."""
+        at = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
+        leaf = np.full(len(words) + len(n), self.end)
+        leaf[at] = pc.index_in(words.cast(pa.binary()), value_set=self.words).fill_null(self.escape).to_numpy(zero_copy_only=False)
+        hashes = self.hashes.take(leaf)
+        rare = np.flatnonzero(leaf[at] == self.escape)
+        hashes[at[rare]] = np.fromiter(map(xxhash.xxh3_64_intdigest, words.take(pa.array(rare)).to_numpy(zero_copy_only=False)), np.uint64, len(rare))
+        ends = np.cumsum(n + 1)
+        return leaf, hashes, np.arange(len(leaf)) - np.repeat(ends - n - 1, n + 1)
 
     def contexts(self, leaf: np.ndarray, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each token, at `place` in its text: hashes of the profile so far, the last word, and the last two words."""
@@ -133,40 +171,70 @@ class Tree:
     def best_profile(self, leaf: np.ndarray, place: np.ndarray, step: int = 1 << 16) -> np.ndarray:
         """Of each token: the profile, from 1 on, that the words of its text before it fit best; 0 for a first token. Worked out `step` tokens at a time."""
         out = np.empty(len(leaf), np.int64)
-        carried, begun = np.zeros(self.profiles.shape[1]), np.zeros(self.profiles.shape[1])
+        carried, begun = np.zeros(len(self.profiles)), np.zeros(len(self.profiles))
         for a in range(0, len(leaf), step):
-            sums = np.cumsum(self.profiles[leaf[a : a + step]], axis=0, dtype=np.float64)
-            sums = np.concatenate([np.zeros((1, sums.shape[1])), sums]) + carried
-            start = np.arange(a, a + len(sums) - 1) - place[a : a + step]
-            before = np.where((start >= a)[:, None], sums[np.maximum(start - a, 0)], begun)
-            out[a : a + step] = np.where(place[a : a + step] > 0, (sums[:-1] - before).argmax(1) + 1, 0)
-            carried, begun = sums[-1], before[-1]
+            some, there = leaf[a : a + step], place[a : a + step]
+            start = np.arange(len(some)) - there
+            here, start = start >= 0, np.maximum(start, 0)
+            best, which = np.full(len(some), -np.inf), np.zeros(len(some), np.int64)
+            for k, logs in enumerate(self.profiles):
+                sums = np.empty(len(some) + 1)
+                sums[0] = 0
+                np.cumsum(logs.take(some), dtype=np.float64, out=sums[1:])
+                sums += carried[k]
+                before = np.where(here, sums.take(start), begun[k])
+                carried[k], begun[k] = sums[-1], before[-1]
+                fit = np.subtract(sums[:-1], before, out=before)
+                which[fit > best] = k + 1
+                np.maximum(best, fit, out=best)
+            out[a : a + step] = np.where(there > 0, which, 0)
         return out
 
     def bits(self, leaf: np.ndarray, contexts: np.ndarray, size: int) -> tuple[np.ndarray, *Bits]:
         """For every bit of the tokens: token, slots in the four tables, bit."""
-        n = self.start[leaf + 1] - self.start[leaf]
-        token = np.repeat(np.arange(len(leaf)), n)
-        at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + self.start[leaf][token]
-        node = self.at[at]
-        return token, [node, *_hashed(contexts, token, node, self.sizes(size))], self.bit[at]
+        of, group = _ranges(self.group, leaf)
+        bit_of, at = _ranges(self.begin, group)
+        path = self.path.take(at, mode="clip")
+        slots = _hashed(contexts, of, self.root.take(group), bit_of, (path >> 1 & 15).astype(np.int64), self.sizes(size))
+        return of.take(bit_of, mode="clip"), [(path >> 5).astype(np.int64), *slots], (path & 1).astype(np.uint8)
 
     def sizes(self, size: int) -> list[int]:
         """Slots of the four tables."""
-        return [self.nodes, *[1 << size] * 3]
+        return [-(-self.nodes // 16) * 16, *[1 << size] * 3]
 
 
-def _hashed(contexts: np.ndarray, of: np.ndarray, node: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """Slots of hashed contexts, each table behind the ones before it."""
+def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges from start[i] to start[i + 1] for each i in `of`, one behind the other: which one, and the places in it."""
+    first = start.take(of)
+    n = start.take(of + 1) - first
+    ends = np.cumsum(n)
+    which = np.repeat(np.arange(len(of)), n)
+    first -= ends
+    first += n
+    place = first.take(which, mode="clip")  # which is faster than the mode that raises; all places are there
+    place += np.arange(len(which))
+    return which, place
+
+
+def _hashed(contexts: np.ndarray, of: np.ndarray, step: np.ndarray, group: np.ndarray, inside: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Slots of hashed contexts, each table behind the ones before it: a hash for each group of bits, and each of its nodes has its own slot beside the others'."""
     out, at = [], sizes[0]
-    step = node.astype(np.uint64) * M3
     for c, n in zip(contexts, sizes[1:]):
-        out.append((((c[of] + step) * M2) >> np.uint64(65 - int(n).bit_length())).astype(np.int64) + at)
+        slot = (((c.take(of) + step) * M2) >> np.uint64(65 - int(n).bit_length())).view(np.int64)
+        slot += at  # tables begin at multiples of 16
+        slot = slot.take(group, mode="clip")
+        slot ^= inside
+        out.append(slot)
         at += n
     return out
 
 
 SPELLED = [1 << 16]
+# of each byte: its bits' nodes, and its groups of DEEP bits as a tree's paths have them
+_NODE = 1 << np.arange(8) | np.arange(256)[:, None] >> 8 - np.arange(8)
+_DEEP = np.array([min(DEEP, 8 - i) for i in range(0, 8, DEEP)])
+_ROOT = _NODE[:, ::DEEP].astype(np.uint64) * M3
+_INSIDE = np.concatenate([1 << np.arange(n) | (_NODE[:, i : i + n] & (1 << np.arange(n)) - 1) for i, n in zip(range(0, 8, DEEP), _DEEP)], axis=1)
 
 
 def spelling(words: list[bytes], size: int) -> tuple[np.ndarray, *Bits]:
@@ -183,12 +251,9 @@ def spelling(words: list[bytes], size: int) -> tuple[np.ndarray, *Bits]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
     sofar = total[:-1] - total[np.arange(len(flat)) - place]
     contexts = np.stack([two * M1 + np.uint64(2), (two | last[2] << np.uint64(16)) * M1 + np.uint64(3), (sofar ^ sofar >> np.uint64(31)) * M1 + np.uint64(4)])
-    shift = np.arange(8, dtype=np.uint64)
-    byte = flat.astype(np.uint64)[:, None]
-    node = ((np.uint64(1) << shift) | byte >> (np.uint64(8) - shift)).astype(np.int64).ravel()
-    bit = (byte >> (np.uint64(7) - shift) & np.uint64(1)).astype(np.uint8).ravel()
-    of = np.repeat(np.arange(len(flat)), 8)
-    return word[of], [last[0].astype(np.int64)[of] << 8 | node, *_hashed(contexts, of, node, [*SPELLED, *[1 << size] * 3])], bit
+    of, group = np.repeat(np.arange(len(flat)), 8), np.repeat(np.arange(len(flat)), len(_DEEP))
+    slots = _hashed(contexts, group, _ROOT.take(flat, axis=0).ravel(), np.repeat(np.arange(len(group)), np.tile(_DEEP, len(flat))), _INSIDE.take(flat, axis=0).ravel(), [*SPELLED, *[1 << size] * 3])
+    return word.take(of), [(last[0].astype(np.int64) << 8).take(of) | _NODE.take(flat, axis=0).ravel(), *slots], np.unpackbits(flat)
 
 
 _SMALL = np.arange(64)
@@ -208,27 +273,56 @@ def prepared(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, seen
 
 
-def gate_of(seen: list[np.ndarray]) -> np.ndarray:
-    return np.minimum((seen[2].astype(np.int64) + 1) >> 2, 3) * 4 + np.minimum(seen[3], 3)
+def fresh(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's input as prepared() has it, by arithmetic alone, and how often the slot was seen (and 0.4)."""
+    both = counts.view(np.int32).astype(np.float32)  # zeros and ones by turns; a learner hands its counts on before they reach 2^31
+    both += np.float32(0.2)
+    zeros, ones = both[::2], both[1::2]
+    x = ones / zeros
+    return np.log(x, out=x), zeros + ones
+
+
+#: Gates by how often the longer contexts' slots were seen (log2).
+_GATES = [np.minimum((np.arange(32) + 1) >> 2, 3) * 4, np.minimum(np.arange(32), 3)]
+
+
+def gate_of(two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """The gate, from log2 of how often the slots of the last word and of the last two were seen."""
+    return _GATES[0].take(two) + _GATES[1].take(three)
+
+
+def gate_of_sums(two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """The same from what fresh() tells: their logs are 3, 7 and 11 from 4, 64 and 1024 on; 1, 2 and 3 from 1, 2 and 4 on."""
+    far = (two > 4).view(np.uint8) + (two > 64).view(np.uint8) + (two > 1024).view(np.uint8)
+    return (far * np.uint8(4) + (three > 1).view(np.uint8) + (three > 2).view(np.uint8) + (three > 4).view(np.uint8)).astype(np.int64)
 
 
 def mixed(weights: list[np.ndarray], x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The mix in the logistic domain of columns of inputs with their weights, and its probability."""
-    st = weights[0] * x[0]
+    """The mix in the logistic domain of columns of inputs with their weights, and its probability; weights are overwritten."""
+    st = weights[0]
+    st *= x[0]
     for w, v in zip(weights[1:], x[1:]):
-        st += w * v
+        w *= v
+        st += w
     np.clip(st, -16, 16, out=st)
-    return st, 1 / (1 + np.exp(-st))
+    p = np.exp(-st)
+    p += 1
+    return st, np.divide(1, p, out=p)
 
 
 #: Slots of a scoring table hold the mixer's input in steps of 1/64 and, in the lower five bits, how often they were seen.
-_STEPS = (np.arange(2048) / 64 - 16).astype(np.float32)
+_STEP = np.float32(1 / 64)
 
 
 def packed(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint((x + 16) * 64), 0, 2047).astype(np.uint16) << np.uint16(5)) | np.minimum(seen, 31)
 
 
+#: What a zero and a one add to a slot; the share of a gate's slope that stays from run to run.
+_ONE = np.array([1, 1 << 32], np.uint64)
+KEPT = 0.995 ** (RUN / (1 << 13))
+
+
 class Learner:
     """What one task learns: counts of all slots, weights by gate with their slopes, hits and tries of the maps."""
 
@@ -237,20 +331,28 @@ class Learner:
         self.weights, self.slope, self.maps, self.n = np.full((GATES, CONTEXTS), 0.35, np.float32), np.full(GATES, 20.0), np.zeros((2, GATES, BUCKETS)), 0
 
     def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
-        """Predicts the bits from what was seen before, moves the weights of each gate against the error, then counts the bits."""
-        x, seen = zip(*(prepared(self.counts.take(s)) for s in slots))
-        gate = gate_of(seen)
-        st, p = mixed([w.take(gate) for w in self.weights.T.copy()], x)
-        error, spread = bit - p, p * (1 - p)
+        """Counts the bits, predicts them from what was seen before, and moves the weights of each gate against the error."""
+        one, x, seen = _ONE.take(bit, mode="clip"), [], []
+        for s in slots:
+            found = self.counts.take(s, mode="clip")
+            np.add.at(self.counts, s, one)  # while the slots are in the core's cache
+            v, n = fresh(found)
+            x.append(v)
+            seen.append(n)
+        gate = gate_of_sums(*seen[2:])
+        st, p = mixed([w.take(gate, mode="clip") for w in self.weights.T.copy()], x)
+        error = bit.astype(np.float32)
+        error -= p
         step = np.stack([np.bincount(gate, error * v, GATES) for v in x], axis=1)
-        self.slope = 0.995 * self.slope + np.bincount(gate, spread * sum(v * v for v in x), GATES)
+        self.slope = KEPT * self.slope + np.bincount(gate, p * (1 - p) * sum(v * v for v in x), GATES)
         self.weights += (step / (self.slope + 20)[:, None]).astype(np.float32)
-        at = gate * BUCKETS + np.rint(st + 16).astype(np.int64)
-        self.maps[0] += np.bincount(at, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
-        self.maps[1] += np.bincount(at, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
-        flat = self.counts.view(np.uint32)
-        for s in slots:
-            np.add.at(flat, s * 2 + bit, np.uint32(1))
+        at = np.rint(st + 16).astype(np.int64)
+        at += gate * BUCKETS
+        at += at
+        at += bit
+        tries = np.bincount(at, minlength=2 * GATES * BUCKETS).reshape(GATES, BUCKETS, 2)
+        self.maps[0] += tries[:, :, 1]
+        self.maps[1] += tries.sum(2)
         self.n += len(bit)
 
 
@@ -263,15 +365,29 @@ class Model:
         self.slope = ((1 + 20 / (maps[1] + 20)) / 2).astype(np.float32).ravel()
         self.rise = (maps[0] / (maps[1] + 20) / 2).astype(np.float32).ravel()
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self.table = self.table.copy()  # numpy's own memory lies on large pages, a pickle's doesn't
+
     def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        codes = [self.table.take(s) for s in slots]
-        return [_STEPS.take(c >> np.uint16(5)) for c in codes], gate_of([c & np.uint16(31) for c in codes])
+        codes = [self.table.take(s, mode="clip") for s in slots]
+        x = [(c >> np.uint16(5)).view(np.int16).astype(np.float32) for c in codes]
+        for v in x:
+            v *= _STEP
+            v -= 16
+        return x, gate_of(*(c & np.uint16(31) for c in codes[2:]))
 
     def logs(self, p: np.ndarray, st: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the refined probability of each bit."""
-        at = np.rint(st + 16).astype(np.int64) + gate * BUCKETS
-        fine = self.slope.take(at) * p + self.rise.take(at)
-        return np.log10(np.where(bit == 1, fine, 1 - fine))
+        at = np.rint(st + 16).astype(np.int64)
+        at += gate * BUCKETS
+        fine = self.slope.take(at, mode="clip")
+        fine *= p
+        fine += self.rise.take(at, mode="clip")
+        np.subtract(1 - bit, fine, out=fine)  # a one's chance with its sign turned, or a zero's
+        np.log(np.abs(fine, out=fine), out=fine)  # the natural logarithm has a vector form
+        fine *= np.float32(1 / math.log(10))
+        return fine
 
     def frozen(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """log10 probability of each bit, without adapting."""
@@ -291,29 +407,35 @@ class Model:
         place = np.arange(len(leaf)) - np.repeat(np.cumsum(length) - length, length)
         contexts = tree.contexts(leaf, hashes, place)
         by_block = np.argsort(place // BLOCK, kind="stable")
-        ends = np.cumsum(np.bincount(place // BLOCK))
+        # pieces of a block: the tokens of up to PIECE neighbouring texts
+        piece = (place // BLOCK * len(order) + text // PIECE)[by_block]
+        ends = np.append(np.flatnonzero(np.diff(piece)) + 1, len(piece))
         weights = [np.tile(w, len(order)) for w in self.weights]
         slope = np.full(len(order) * GATES, HOLD)
         out, first = np.zeros(len(order)), 0
         while first < len(ends):
-            # blocks of about RUN tokens are expanded to bits at once
+            # pieces of about RUN tokens are expanded to bits at once
             begin = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, begin + RUN)))
             some = by_block[begin : ends[last - 1]]
             token, slots, bit = tree.bits(leaf[some], contexts[:, some], size)
             x, gate = self.look(slots)
-            of = text[some][token]
+            of = text[some].take(token, mode="clip")
             row = of * GATES + gate
-            cuts = np.searchsorted(token, ends[first:last] - begin)
+            cuts = np.searchsorted(token, ends[first:last] - begin).tolist()
             for a, b in zip([0, *cuts[:-1]], cuts):
+                if a == b:  # a tree of one leaf has no bits
+                    continue
                 part, now, v = slice(a, b), row[a:b], [y[a:b] for y in x]
-                st, p = mixed([w.take(now) for w in weights], v)
-                n = (int(of[b - 1]) + 1 if b > a else 0) * GATES  # the texts that go on are the first ones
-                out[: n // GATES] += np.bincount(of[part], self.logs(p, st, gate[part], bit[part]), n // GATES)
+                st, p = mixed([w.take(now, mode="clip") for w in weights], v)
+                low, high = int(of[a]), int(of[b - 1]) + 1
+                out[low:high] += np.bincount(of[part] - low, self.logs(p, st, gate[part], bit[part]), high - low)
                 error = bit[part] - p
-                slope[:n] += np.bincount(now, p * (1 - p) * sum(y * y for y in v), n)
+                low, high = low * GATES, high * GATES
+                now = now - low
+                slope[low:high] += np.bincount(now, p * (1 - p) * sum(y * y for y in v), high - low)
                 for w, y in zip(weights, v):
-                    w[:n] += (np.bincount(now, error * y, n) / slope[:n]).astype(np.float32)
+                    w[low:high] += (np.bincount(now, error * y, high - low) / slope[low:high]).astype(np.float32)
             first = last
         back = np.empty(len(order))
         back[order] = out
@@ -331,14 +453,14 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
             for i in range(0, slots, PART):
                 block = learner.counts[i : i + PART]
                 if block.any():  # by byte planes, as most counts are small
-                    yield named(i // PART, zlib.compress(np.ascontiguousarray(block.view(np.uint8).reshape(-1, 8).T).tobytes(), 1))
+                    yield named(i // PART, squeezed(block.view(np.uint8).reshape(-1, 8).T))
             yield named(-1 - TaskContext.get().partitionId(), pickle.dumps((learner.weights, learner.slope, learner.maps)))
 
         for batch in batches:
             for part in stream(batch.column(0)):
                 learner = learner or Learner(slots)
                 learner.learn(*part)
-                if learner.n > 3 << 30:  # before a count could overflow
+                if learner.n >= 1 << 30:  # before a count could overflow
                     yield from handed()
                     learner.counts[:], learner.maps[:], learner.n = 0, 0, 0
         if learner:
@@ -351,7 +473,7 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
                 if i < 0:
                     yield named(i, data)
                     continue
-                counts = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u4").reshape(-1, 2)
+                counts = np.ascontiguousarray(spread(data, 8 * min(PART, slots - i * PART), "u1").reshape(8, -1).T).view("<u4").reshape(-1, 2)
                 if i in held:
                     held[i] += counts
                 else:
@@ -360,7 +482,7 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
             # sums beyond 32 bits are halved together: what the mixer takes is their ratio
             counts >>= np.maximum(np.ceil(np.log2(counts.max(1) + 1.0)) - 32, 0).astype(np.uint64)[:, None]
             x, seen = prepared(counts[:, 0] | counts[:, 1] << np.uint64(32))
-            yield named(i, zlib.compress(packed(x, seen).astype("<u2").tobytes(), 1))
+            yield named(i, squeezed(packed(x, seen).astype("<u2")))
 
     table = np.full(slots, packed(np.zeros(1), np.zeros(1, np.uint8))[0])
     slope, pull, maps = np.full(GATES, 20.0), np.full((GATES, CONTEXTS), 0.35 * 20), np.zeros((2, GATES, BUCKETS))
@@ -370,31 +492,20 @@ def _learned(rows: DataFrame, stream: Callable[[pa.Array], Iterator[Bits]], slot
             w, s, m = pickle.loads(row.data)
             slope, pull, maps = slope + s, pull + w * s[:, None], maps + m
         else:
-            data = np.frombuffer(zlib.decompress(row.data), "<u2")
+            data = spread(row.data, min(PART, slots - row.block * PART), "<u2")
             table[row.block * PART :][: len(data)] = data
     return Model(table, pull / slope[:, None], maps)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts by profile, texts' ends among them, summed over runs of texts."""
-    seen: dict[str, Counter] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for name, words in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], names=["profile", "word", "c"])
-        seen.clear()
-
     for batch in batches:
-        names, at = batch.column(1).to_pylist(), 0
-        for texts in slices(batch.column(0)):
-            for name, text in zip(names[at:], texts):
-                words = seen.setdefault(name, Counter())
-                words.update(words_of(text))
-                words[END.encode()] += 1
-            at += len(texts)
-            if sum(map(len, seen.values())) > COUNTED:
-                yield from flush()
-    yield from flush()
+        names = batch.column(1).dictionary_encode()
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            for texts in runs(batch.column(0).filter(pc.equal(names.indices, i)), COUNTED):
+                counted = split(texts)[0].value_counts()
+                words, c = pa.concat_arrays([counted.field(0), pa.array([END])]), pa.concat_arrays([counted.field(1), pa.array([len(texts)])])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), words, c], names=["profile", "word", "c"])
 
 
 def frequent(counted: DataFrame, most: int = HOT_WORDS) -> DataFrame:
@@ -446,10 +557,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
     sent = spark.sparkContext.broadcast(tree)
 
     def read(batch: pa.Array) -> Iterator[Bits]:
-        for texts in slices(batch, TEXTS):
-            tokens = [sent.value.tokens(words_of(t)) for t in texts]
-            leaf, hashes = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
-            place = np.concatenate([np.arange(len(t[0])) for t in tokens])
+        for texts in runs(batch, TEXTS):
+            leaf, hashes, place = sent.value.tokens_of(*split(texts))
             contexts = sent.value.contexts(leaf, hashes, place)
             leaf, at = sent.value.with_escapes(leaf)
             contexts = contexts[:, at]
@@ -457,7 +566,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
                 yield sent.value.bits(leaf[i : i + RUN], contexts[:, i : i + RUN], size)[1:]
 
     def spell(batch: pa.Array) -> Iterator[Bits]:
-        for words in slices(batch, 1 << 14):
+        for words in slices(batch, 1 << 13):
             yield spelling([w.encode() for w in words], spelled_size)[1:]
 
     model = spark.sparkContext.broadcast(_learned(training.select("text"), read, sum(tree.sizes(size))))
@@ -483,18 +592,38 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
         logs = np.log10(tree.counts + 0.5)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1), TEXTS):
-                words = [words_of(t) for t in texts]
-                tokens = [tree.tokens(w) for w in words]
-                path, rows = model.value.score(tree, tokens, size), []
-                for w, (leaf, _), p in zip(words, tokens, path.tolist()):
-                    rare = Counter(w[i] for i in np.flatnonzero(leaf == tree.escape).tolist())
-                    there = leaf != tree.escape
-                    rows.append((key, len(leaf), sum(map(len, w)) + len(w) + 1, int((tree.counts[leaf[there]] > 0).sum()), float(logs[leaf[there]].sum()), p, [x.decode() for x in rare], list(rare.values())))
-                    key += 1
-                types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), types))], names=["id", "key", "n_tokens", "size", "known", "base", "path", "words", "times"])
-                at += len(rows)
+            for texts in runs(batch.column(1), TEXTS):
+                words, n = split(texts)
+                leaf, hashes, _ = tree.tokens_of(words, n)
+                ends = np.cumsum(n + 1)
+                path = model.value.score(tree, list(zip(np.split(leaf, ends[:-1]), np.split(hashes, ends[:-1]))), size)
+                there = leaf != tree.escape
+                sums_of = lambda v, of: np.add.reduceat(np.where(there, v.take(leaf), 0), ends - n - 1).astype(of)
+                lengths = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                cuts = np.cumsum(np.concatenate([np.zeros(1, np.int64), n]))
+                # words behind an escape with their counts, as lists by text
+                rare = np.flatnonzero(np.delete(~there, ends - 1))
+                of = np.searchsorted(cuts, rare, side="right") - 1
+                listed = words.take(pa.array(rare)).dictionary_encode()
+                kinds, times = np.unique(of * max(len(listed.dictionary), 1) + listed.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                of, kind = np.divmod(kinds, max(len(listed.dictionary), 1))
+                lists = pa.array(np.searchsorted(of, np.arange(len(n) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(n)),
+                        pa.array(key + np.arange(len(n))),
+                        pa.array(n + 1),
+                        pa.array(lengths[cuts[1:]] - lengths[cuts[:-1]] + n + 1),
+                        pa.array(sums_of(tree.counts > 0, np.int64)),
+                        pa.array(sums_of(logs, float)),
+                        pa.array(path),
+                        pa.ListArray.from_arrays(lists, listed.dictionary.take(pa.array(kind))),
+                        pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+                    ],
+                    names=["id", "key", "n_tokens", "size", "known", "base", "path", "words", "times"],
+                )
+                at += len(n)
+                key += len(n)
 
     own = staged(box.select("id", "text").mapInArrow(sums, "id long, key long, n_tokens long, size long, known long, base double, path double, words array<string>, times array<long>"), "documents")
     rare = own.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
