@@ -124,10 +124,11 @@ class Tree:
                 at.append(n)
                 bit.append(b)
             groups.append(len(root))
-        # of each bit of the paths: its node, the node's place in its group, and the bit
-        self.path = (np.array(at, np.int64) << 5 | np.array(inside, np.int64) << 1 | np.array(bit, np.int64)).astype(np.int32)
-        # a path's groups of DEEP bits: their first nodes, and where their bits begin
-        self.group, self.root, self.begin = np.array(groups), np.array(root, np.uint64) * M3, np.cumsum([0, *deep])
+        # of each bit of a group: its node, the node's place in the group, and the bit; -1 behind a path's end
+        # a path's groups of DEEP bits, and their first nodes
+        self.group, self.root, deep = np.array(groups), np.array(root, np.uint64) * M3, np.array(deep, np.int64)
+        self.path = np.full((len(root), DEEP), -1, np.int32)
+        self.path[np.arange(DEEP) < deep[:, None]] = np.array(at, np.int64) << 5 | np.array(inside, np.int64) << 1 | np.array(bit, np.int64)
         self.hashes = np.array([*map(xxhash.xxh3_64_intdigest, words), 0, 0], np.uint64)
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +194,10 @@ class Tree:
     def bits(self, leaf: np.ndarray, contexts: np.ndarray, size: int) -> tuple[np.ndarray, *Bits]:
         """For every bit of the tokens: token, slots in the four tables, bit."""
         of, group = _ranges(self.group, leaf)
-        bit_of, at = _ranges(self.begin, group)
-        path = self.path.take(at, mode="clip")
+        path = self.path.take(group, axis=0, mode="clip").ravel()
+        there = np.flatnonzero(path >= 0)
+        path = path.take(there, mode="clip")
+        bit_of = there // DEEP
         slots = _hashed(contexts, of, self.root.take(group), bit_of, (path >> 1 & 15).astype(np.int64), self.sizes(size))
         return of.take(bit_of, mode="clip"), [(path >> 5).astype(np.int64), *slots], (path & 1).astype(np.uint8)
 
@@ -323,11 +326,17 @@ _ONE = np.array([1, 1 << 32], np.uint64)
 KEPT = 0.995 ** (RUN / (1 << 13))
 
 
+def aligned(n: int, dtype: str) -> np.ndarray:
+    """Zeros that begin with a line of the cache, so that a group's slots don't lie across one more; numpy's own memory lies on large pages."""
+    raw = np.zeros(n * np.dtype(dtype).itemsize + 64, np.uint8)
+    return raw[-raw.ctypes.data % 64 :][: n * np.dtype(dtype).itemsize].view(dtype)
+
+
 class Learner:
     """What one task learns: counts of all slots, weights by gate with their slopes, hits and tries of the maps."""
 
     def __init__(self, slots: int):
-        self.counts = np.zeros(slots, np.uint64)  # two counts of 32 bits each
+        self.counts = aligned(slots, "u8")  # two counts of 32 bits each
         self.weights, self.slope, self.maps, self.n = np.full((GATES, CONTEXTS), 0.35, np.float32), np.full(GATES, 20.0), np.zeros((2, GATES, BUCKETS)), 0
 
     def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
@@ -367,7 +376,9 @@ class Model:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state
-        self.table = self.table.copy()  # numpy's own memory lies on large pages, a pickle's doesn't
+        table = self.table
+        self.table = aligned(len(table), "u2")
+        self.table[:] = table
 
     def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         codes = [self.table.take(s, mode="clip") for s in slots]
@@ -536,7 +547,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
     profile = (F.crc32(profile) % PROFILES).cast("string")
     box = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), profile.alias("profile"))
     training = box.where(F.crc32(F.col("id").cast("string")) % 5 != 1).select("text", "profile")
-    by_profile = training.mapInArrow(_counts, "profile string, word string, c long").groupBy("word", "profile").agg(F.sum("c").alias("c"))
+    by_profile = training.mapInArrow(_counts, "profile string, word string, c long").repartition("word").groupBy("word", "profile").agg(F.sum("c").alias("c"))
     by_profile = staged(by_profile, "profiles")
     counted = staged(by_profile.groupBy("word").agg(F.sum("c").alias("c")), "words")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -627,7 +638,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prof
 
     own = staged(box.select("id", "text").mapInArrow(sums, "id long, key long, n_tokens long, size long, known long, base double, path double, words array<string>, times array<long>"), "documents")
     rare = own.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    rare = rare.join(rest, "word", "left").withColumn("spelled", spelled(F.when(F.col("c").isNull(), F.col("word"))))
+    rare = rare.join(rest.hint("shuffle_hash"), "word", "left").withColumn("spelled", spelled(F.when(F.col("c").isNull(), F.col("word"))))
     chance = F.when(F.col("c").isNull(), F.lit(new)).otherwise(known)
     times = lambda c: F.sum(F.col("n") * c)
     rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("known_r"), times(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_r"), times(chance).alias("path_r"), times(F.when(F.col("c").isNull(), F.col("spelled")).otherwise(0.0)).alias("spelled_r"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -479,6 +480,67 @@ def test_lm_score_learns_from_everything(spark):
     assert 0 < len(some) <= 100 and min(some) == 2001 - len(some)  # from a count on, in steps of a sixteenth of a doubling
 
 
+def test_lm_score_finds_the_words_that_bytes_split_finds():
+    texts = ["", None, " A b\x1cC ", "\t\n\x0b\x0c\r ", "É É\x85x\xa0y\u2003Z", "one", "  two\nTWO  Two", "ka" * 5000]
+    words, n = lm_score.split(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+    parts = list(lm_score.runs(pa.array(texts), 12))
+    assert [t for part in parts for t in part.to_pylist()] == texts and all(len(part) == 1 or sum(len((t or "").encode()) for t in part.to_pylist()) <= 12 for part in parts)
+    tree = lm_score.Tree([b"one", b"two"], [5, 3], 2, 8, np.ones((2, 1)))
+    leaf, hashes, place = tree.tokens_of(words, n)
+    alone = [tree.tokens(ws) for ws in want]
+    assert (leaf == np.concatenate([a for a, _ in alone])).all() and (hashes == np.concatenate([h for _, h in alone])).all()
+    assert place.tolist() == [i for ws in want for i in range(len(ws) + 1)]
+
+
+def test_lm_score_slots_of_a_group_of_bits_lie_together():
+    rng = np.random.default_rng(4)
+    tree = small_tree(rng)
+    token, slots, bit = tree.bits(np.arange(tree.end + 1), rng.integers(0, 1 << 63, (3, tree.end + 1)).astype(np.uint64), 12)
+    word, spelled, _ = lm_score.spelling([b"abc", b"d"], 12)
+    for of, tables in ((token, slots), (word, spelled)):
+        depth = np.arange(len(of)) - np.searchsorted(of, of)
+        if tables is spelled:
+            depth %= 8
+        group = np.cumsum(depth % lm_score.DEEP == 0)
+        for table in tables[1:]:
+            line = table >> 4
+            assert all(len(set(line[group == g])) == 1 and len(set(table[group == g])) == (group == g).sum() for g in set(group.tolist()))
+    # the paths are those of a prefix code
+    paths = ["".join(map(str, bit[token == t])) for t in range(tree.end + 1)]
+    assert sum(2.0 ** -len(x) for x in paths) == 1 and not any(a != b and b.startswith(a) for a in paths for b in paths)
+
+
+def test_lm_score_learner_equals_a_loop_over_bits():
+    rng = np.random.default_rng(8)
+    learner, counts = lm_score.Learner(400), np.zeros((400, 2), np.int64)
+    counts[:] = rng.choice([0, 1, 2, 3, 4, 63, 64, 1023, 1024, 5000], (400, 2))
+    learner.counts[:] = counts[:, 0].astype(np.uint64) | counts[:, 1].astype(np.uint64) << np.uint64(32)
+    weights, slope, tries = learner.weights.astype(float), learner.slope.copy(), np.zeros((2, lm_score.GATES, lm_score.BUCKETS))
+    for _ in range(3):
+        slots, bits = [rng.integers(100 * k, 100 * k + 100, 300) for k in range(4)], rng.integers(0, 2, 300).astype(np.uint8)
+        step, more = np.zeros_like(weights), np.zeros(lm_score.GATES)
+        for i, bit in enumerate(bits.tolist()):
+            seen = [counts[s[i]] for s in slots]
+            x = np.array([np.log((c[1] + 0.2) / (c[0] + 0.2)) for c in seen])
+            logs = [int(np.ceil(np.log2(c.sum() + 1))) for c in seen]
+            g = min((logs[2] + 1) >> 2, 3) * 4 + min(logs[3], 3)
+            st = min(max(weights[g] @ x, -16), 16)
+            p = 1 / (1 + np.exp(-st))
+            step[g] += (bit - p) * x
+            more[g] += p * (1 - p) * (x * x).sum()
+            tries[:, g, round(st + 16)] += bit, 1
+        for s in slots:
+            np.add.at(counts, (s, bits), 1)
+        slope = lm_score.KEPT * slope + more
+        weights += step / (slope + 20)[:, None]
+        learner.learn(slots, bits)
+        assert (learner.counts & np.uint64(0xFFFFFFFF) == counts[:, 0]).all() and (learner.counts >> np.uint64(32) == counts[:, 1]).all()
+    assert np.allclose(learner.weights, weights, atol=1e-4) and np.allclose(learner.slope, slope, rtol=1e-4)
+    assert np.abs(learner.maps - tries).sum() <= 4  # a mix that lies on a bucket's edge may round to the other
+
+
 def test_url_trust_takes_links_without_a_scheme(spark):
     pages = make(spark, [("x.edu", '<a href="//y.edu/p">y</a> <a href="/local">z</a>')], "host string, html string")
     assert [(r.src, r.dst) for r in url_trust.host_edges(pages).collect()] == [("x.edu", "y.edu")]
