@@ -1,27 +1,28 @@
 """Substring search in names without reading every name: postings of trigrams.
 
-The build writes, for every run of three characters of the folded names, the sorted keys of the rows that hold it, in chunks
-by the key's first characters and sorted by trigram, and a table of how many keys each trigram has. A search reads the counts
-of its text's trigrams, then the postings of the rarest and of those that are not much longer, intersects them, and
-confirms what is left on the names themselves. No result depends on the index: it only leaves out rows that can't hold the text.
+The build writes the names with the keys of the rows that hold them, sorted by name; for every run of three characters of the
+distinct folded names, the sorted names that hold it; and a table of how many keys and names each trigram has. A search reads the counts
+of its text's trigrams, then the postings of the rarest and of those that are not much longer, intersects them, takes
+the keys of the names that are left, and confirms what it reads on the names themselves. No result depends on the index: it only leaves out rows that can't hold the text.
+All tables are sorted rows and not lists, so that no task holds a trigram's keys at once, and a name that many rows share is cut into trigrams once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 
-#: Characters of a key that place it in a chunk of a posting list.
-CHUNK_CHARS = 4
-POSTINGS, COUNTS = "trigram string, chunk string, keys array<string>", "trigram string, n long"
+NAMES, POSTINGS, COUNTS = "name string, key string", "trigram string, name string, n long", "trigram string, n long, names long"
 #: A trigram's postings are read if there are at most so many times as many as of the rarest.
 WORTH = 16
 #: Up to so many keys, by the counts, a search names them to the scan, whose statistics then skip the rest; more are joined.
 NAMED = 2_000
+#: Up to so many names go to every task that looks for their keys, more are joined by shuffle.
+BROADCAST = 50_000
 
 
 def trigrams(folded: Column) -> Column:
@@ -30,19 +31,18 @@ def trigrams(folded: Column) -> Column:
 
 
 def write_name_index(rows: DataFrame, key: str, names: list[str], path: str, folded: bool = False, **options: str) -> None:
-    """Writes the postings (trigram, chunk, keys) and counts (trigram, n) of the rows' names below `path`.
+    """Writes the names (name, key), the postings (trigram, name, n) and the counts (trigram, n, names) of the rows' names below `path`; n counts keys.
 
-    Null names and those of less than three characters have no trigrams. A key with several rows or names is in a list once.
-    A list's chunk holds the keys that begin alike, so its size doesn't grow with the table's.
+    Null names and those of less than three characters have no trigrams. A key with several rows of one name has as many rows.
     """
-    text = [F.col(n) if folded else fold(F.col(n)) for n in names]
-    none = F.array().cast("array<string>")
-    both = reduce(lambda a, b: F.array_union(a, b), (F.coalesce(trigrams(t), none) for t in text))
-    pairs = rows.select(F.col(key).cast("string").alias("key"), F.explode(both).alias("trigram")).where("key IS NOT NULL")
-    lists = pairs.groupBy("trigram", F.substring("key", 1, CHUNK_CHARS).alias("chunk")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    lists.repartitionByRange("trigram", "chunk").sortWithinPartitions("trigram", "chunk").write.options(**options).parquet(f"{path}/postings", compression="zstd")
-    postings = rows.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
-    counts = postings.groupBy("trigram").agg(F.sum(F.size("keys")).alias("n"))
+    spark, both = rows.sparkSession, F.array_distinct(F.array(*names))
+    pairs = rows.select(F.explode(both).alias("name"), F.col(key).cast("string").alias("key")).where("name IS NOT NULL AND key IS NOT NULL")
+    # ranges of names and keys, as one name may have most of the rows
+    pairs.repartitionByRange("name", "key").sortWithinPartitions("name", "key").write.options(**options).parquet(f"{path}/names", compression="zstd")
+    distinct = spark.read.schema(NAMES).parquet(f"{path}/names").groupBy("name").agg(F.count("*").alias("n"))
+    postings = distinct.select(F.explode(trigrams(F.col("name") if folded else fold(F.col("name")))).alias("trigram"), "name", "n")
+    postings.repartitionByRange("trigram", "name").sortWithinPartitions("trigram", "name").write.options(**options).parquet(f"{path}/postings", compression="zstd")
+    counts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("trigram").agg(F.sum("n").alias("n"), F.count("*").alias("names"))
     counts.repartitionByRange("trigram").sortWithinPartitions("trigram").write.options(**options).parquet(f"{path}/counts", compression="zstd")
 
 
@@ -51,30 +51,34 @@ class NameIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
+        self.names = spark.read.schema(NAMES).parquet(f"{path}/names")
         self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         self.counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
 
-    def plan(self, text: str) -> list[tuple[str, int]] | None:
-        """The trigrams to read with their numbers of keys, rarest first; empty if no name can hold the text, None if it has no trigram."""
+    def _read(self, text: str) -> list[Row] | None:
+        """The counts of the trigrams to read, as plan gives them."""
         wanted = self.spark.range(1).select(trigrams(fold(F.lit(text))).alias("t")).first().t  # at most as many as the text has characters
         if not wanted:
             return None
-        known = sorted((r.n, r.trigram) for r in self.counts.where(F.col("trigram").isin(wanted)).collect())
-        if len(known) < len(wanted):
-            return []
-        return [(t, n) for n, t in known if n <= WORTH * known[0][0]]
+        known = self.counts.where(F.col("trigram").isin(wanted)).orderBy("n", "trigram").collect()
+        return [r for r in known if r.n <= WORTH * known[0].n] if len(known) == len(wanted) else []
+
+    def plan(self, text: str) -> list[tuple[str, int]] | None:
+        """The trigrams to read with their numbers of keys, rarest first; empty if no name can hold the text, None if it has no trigram."""
+        known = self._read(text)
+        return known if known is None else [(r.trigram, r.n) for r in known]
 
     def keys(self, text: str) -> tuple[DataFrame | None, int]:
         """(key) of the rows whose names may hold the text, and how many there are at most; None where the index can't tell."""
-        plan = self.plan(text)
-        if plan is None:
+        known = self._read(text)
+        if known is None:
             return None, 0
-        lists = [self.postings.where(F.col("trigram") == t).select("chunk", F.col("keys").alias(f"k{i}")) for i, (t, _) in enumerate(plan)]
-        if not lists:
+        if not known:
             return self.spark.createDataFrame([], "key string"), 0
-        both = reduce(lambda a, b: a.join(b, "chunk"), lists)
-        met = reduce(F.array_intersect, (F.col(f"k{i}") for i in range(len(lists))))
-        return both.select(F.explode(met).alias("key")), plan[0][1]
+        lists = [self.postings.where(F.col("trigram") == r.trigram).select("name") for r in known]
+        met = reduce(DataFrame.unionByName, lists).groupBy("name").agg(F.count("*").alias("lists")).where(F.col("lists") == len(lists)).select("name")
+        met = F.broadcast(met) if min(r.names for r in known) <= BROADCAST else met
+        return self.names.join(met, "name", "left_semi").select("key"), known[0].n
 
     def narrowed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """Those of rows whose key the index gives for the text; all of them where it can't tell."""

@@ -97,6 +97,21 @@ def test_trigram_index_equals_a_scan(spark, people, tmp_path):
     assert NameIndex(spark, str(tmp_path / "none")).narrowed(frame, "cnpj_basico", "silva").count() == 0
 
 
+def test_names_that_many_rows_share_are_cut_once_and_no_row_holds_their_keys(spark, tmp_path, monkeypatch):
+    i = F.col("id")
+    rows = spark.range(6000).select(F.lpad(i.cast("string"), 8, "0").alias("k"), F.when(i % 3 == 0, "Bar do Zé").otherwise("Casa Ágata").alias("a"), F.when(i % 2 == 0, "BAR DO ZÉ").alias("b"))
+    write_name_index(rows, "k", ["a", "b"], str(tmp_path / "ix"))
+    index = NameIndex(spark, str(tmp_path / "ix"))
+    # lists of keys by trigram were sets of thousands of keys in a task's memory
+    assert not [f for t in (index.names, index.postings, index.counts) for f in t.schema.fields if f.dataType.typeName() == "array"]
+    assert index.names.count() == 9000 and index.postings.count() == 2 * 7 + 8
+    assert sorted((r.trigram, r.n, r.names) for r in index.counts.where("trigram IN ('bar', 'asa')").collect()) == [("asa", 4000, 1), ("bar", 5000, 2)]
+    for limit in (50_000, 0):
+        monkeypatch.setattr("ledgerline.operators.name_index.BROADCAST", limit)
+        keys, most = index.keys("do ze")
+        assert most == 5000 and {r.key for r in keys.collect()} == {f"{n:08}" for n in range(6000) if n % 3 == 0 or n % 2 == 0}
+
+
 def test_search_inside_names_reads_a_small_part(spark, tmp_path, monkeypatch):
     e = establishments(spark)
     build.write_by_key(e, str(tmp_path / "by_key"), "cnpj", block_bytes=64 << 10, **SMALL)
