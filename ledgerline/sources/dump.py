@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -52,15 +54,15 @@ def write_raw(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path, compression="zstd")
 
 
-def ingest_dump(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame]:
-    """Every table of the dump as raw Parquet under `target`, a partition for each shard; shards that are there already are not read again.
+def ingest_dump(spark: SparkSession, folder: str, target: str, tables: Collection[str] = tuple(FILES)) -> dict[str, DataFrame]:
+    """Every table of the dump, or those named, as raw Parquet under `target`, a partition for each shard; shards that are there already are not read again.
 
     A shard counts as done once the list of done ones names it, which is written after its rows; rows of an attempt
     that broke off are replaced. Shards that come later are added. Quoted fields can hold line ends; records.py cuts a
-    shard into records all the same in as many tasks as it has splits.
+    shard into records all the same in as many tasks as it has splits. A compressed shard is one task's, so these should be many.
     """
     files, out = shard_catalogue(spark, folder).collect(), {}  # a few dozen files
-    for table in FILES:
+    for table in tables:
         path, log = f"{target}/{table}", f"{target}/_shards/{table}"
         done = {r.shard for r in spark.read.schema("shard string").json(log).collect()} if exists(spark, log) else set()
         new = {r.path.rsplit("/", 1)[1]: r.path for r in files if r.table == table and r.path.rsplit("/", 1)[1] not in done}

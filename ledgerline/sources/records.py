@@ -2,13 +2,15 @@
 
 Lines are read by Spark's splits. A line end is a record's end if the quotes before it are even in number, so two passes
 are enough. The first sums each split's quotes; prefix sums over a file's splits (a row a split) tell whether a
-split begins inside a quoted field. The second puts the lines of a split together to records. What is left at
-a split's ends, at most two pieces, is joined with its neighbours' pieces.
+split begins inside a quoted field. The second puts the lines of a split together to records, in the reader's order, so that no
+line is shuffled. What is left at a split's ends, at most two pieces, is joined with its neighbours' pieces.
+A compressed file is one split and takes one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,75 +20,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-PIECE = "shard string, file string, block long, pos int, record string"
+PIECE = "file string, block long, pos int, record string"
 #: Of a piece: a whole record, the rest of one that an earlier split began, the begin of one that a later split ends.
 WHOLE, REST, BEGIN = 0, 1, 2
+#: Ends of the names of files that Spark decompresses and can't split.
+PACKED = (".gz", ".deflate")
+
+
+def _pieces(file: str, block: int, pos: list[int] | np.ndarray, record: pa.Array) -> pa.RecordBatch:
+    n = len(record)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(block, pa.int64()), n), pa.array(pos, pa.int32()), record], names=["file", "block", "pos", "record"])
 
 
 def records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the lines (shard, file, block, inside, line) of some splits, in order; `inside`: whether the split begins in a quoted field."""
+    """Pieces of the lines (file, block, inside, line) of some splits, in order; `inside`: whether the split begins in a quoted field."""
     at, held, odd, started = None, [], False, False
-    out: list[tuple] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["shard", "file", "block", "pos", "record"])
-            out.clear()
+    def last() -> pa.RecordBatch:
+        return _pieces(*at, [REST if started else BEGIN], pa.array(["\n".join(held)], pa.string()))
 
     for batch in batches:
-        shard, file, block, inside, line = batch.columns
+        if not len(batch):
+            continue
+        file, block, inside, line = batch.columns
         quotes = pc.count_substring(line, '"').to_numpy(zero_copy_only=False)
         # where splits change
-        if file.null_count == 0 and len(batch):
-            blocks, files = block.to_numpy(), file.dictionary_encode().indices.to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (files[1:] != files[:-1])]).tolist()
-        else:
-            cuts = []
+        changes = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.r_[True, changes]).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(batch)]):
-            key = (shard[a].as_py(), file[a].as_py(), block[a].as_py())
+            key = (file[a].as_py(), block[a].as_py())
             if key != at:
                 if held:
-                    out.append((*at, REST if started else BEGIN, "\n".join(held)))
+                    yield last()
                 at, held, odd = key, [], bool(inside[a].as_py())
                 started = odd
-            lines = line.slice(a, b - a).to_pylist()
-            # whether each line's end lies inside a quoted field
+            # whether each line's end, and so the next one's begin, lies inside a quoted field
             ends = (np.cumsum(quotes[a:b]) + odd) % 2 == 1
-            odd = bool(ends[-1])
-            for text, open_ in zip(lines, ends.tolist()):
-                if open_:
-                    held.append(text)
-                elif held or started:
-                    out.append((*at, REST if started else WHOLE, "\n".join([*held, text])))
+            parts = ends | np.r_[odd, ends[:-1]]
+            odd, lines = bool(ends[-1]), line.slice(a, b - a)
+            whole = lines.filter(pa.array(~parts)) if parts.any() else lines
+            if len(whole):
+                yield _pieces(*at, np.full(len(whole), WHOLE, np.int32), whole)
+            pos, joined = [], []
+            for i in np.flatnonzero(parts).tolist():
+                held.append(lines[i].as_py())
+                if not ends[i]:
+                    pos.append(REST if started else WHOLE)
+                    joined.append("\n".join(held))
                     held, started = [], False
-                else:
-                    out.append((*at, WHOLE, text))
-            if len(out) > 20_000:
-                yield from flush()
+            if joined:
+                yield _pieces(*at, pos, pa.array(joined, pa.string()))
     if held:
-        out.append((*at, REST if started else BEGIN, "\n".join(held)))
-    yield from flush()
+        yield last()
 
 
-def read_records(spark: SparkSession, paths: list[str] | str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(shard, record): the records of text files, the shard being the file's name.
+def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
 
-    Quotes are doubled inside quoted fields, and only quoted fields hold quotes. A record's inner line ends are kept, one
-    CR before its last goes; empty lines are no records. A file that ends inside a quoted field gives what there is of its last record.
-    """
-    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+
+def _split_records(lines: DataFrame) -> DataFrame:
     sums = lines.groupBy("file", "block").agg(F.sum(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).alias("quotes"))
     before = F.sum("quotes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = sums.select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
-    # the order within a split is the reader's; a join that keeps it leaves nothing to sort
-    ordered = lines.join(splits, ["file", "block"]).sortWithinPartitions("file", "block", "n").select("shard", "file", "block", "inside", "line")
-    pieces = ordered.mapInArrow(records_of, PIECE)
+    # a row for each split goes to every task, so that the lines stay where, and in the order in which, they are read
+    pieces = lines.join(F.broadcast(splits), ["file", "block"]).select("file", "block", "inside", "line").mapInArrow(records_of, PIECE)
     # only the pieces at the splits' ends are shuffled, at most two a split
     ends = pieces.where(F.col("pos") != WHOLE)
     number = F.count_if(F.col("pos") == BEGIN).over(Window.partitionBy("file").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    joined = ends.withColumn("number", number).groupBy("shard", "file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "record"))).alias("p"))
-    joined = joined.select("shard", F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"))
-    return pieces.where(F.col("pos") == WHOLE).select("shard", "record").unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+    joined = ends.withColumn("number", number).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "record"))).alias("p"))
+    joined = joined.select("file", F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"))
+    return pieces.where(F.col("pos") == WHOLE).select("file", "record").unionByName(joined)
+
+
+def read_records(spark: SparkSession, paths: list[str] | str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(shard, record): the records of text files, the shard being the file's name.
+
+    Quotes are doubled inside quoted fields, and only quoted fields hold quotes. A record's inner line ends are kept, one
+    CR before its last goes; empty lines are no records. A file that ends inside a quoted field gives what there is of its last record.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    packed, plain = [p for p in paths if p.endswith(PACKED)], [p for p in paths if not p.endswith(PACKED)]
+    # a compressed file begins outside of quotes, and what its only split leaves at its end is its last record
+    parts = [_lines(spark, packed, encoding).select("file", "block", F.lit(False).alias("inside"), "line").mapInArrow(records_of, PIECE).select("file", "record")] if packed else []
+    parts += [_split_records(_lines(spark, plain, encoding))] if plain else []
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows.withColumn("record", F.when(F.col("record").endswith("\r"), F.expr("substring(record, 1, length(record) - 1)")).otherwise(F.col("record"))).where("record <> ''")
+    return rows.select(F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("shard"), "record")
 
 
 def read_quoted(spark: SparkSession, paths: list[str] | str, schema: StructType, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
