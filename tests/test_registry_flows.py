@@ -44,6 +44,12 @@ def test_layout_by_state_makes_no_partners_and_leaves_no_shuffle_files(spark, ta
     assert set(data_files(spark)) <= seen
 
 
+def test_layout_partners_by_name_makes_only_partners(spark, tables):
+    made = fresh(spark, tables)
+    flows.layout_partners_by_name(spark, tables).collect()
+    assert set(made.paths) == {"socios", "socios_nome"} and made.raw.put == {"socios", "qualificacoes"}
+
+
 def test_ingested_establishments_of_large_inputs_are_many_shards(spark, tables, monkeypatch):
     monkeypatch.setattr(flows, "SHARED_OUT", 0)
     monkeypatch.setattr(flows, "SHARD_ROWS", 50)
