@@ -59,6 +59,12 @@ def test_ingested_establishments_of_large_inputs_are_many_shards(spark, tables,
     assert dump.shard_catalogue(spark, made.raw.folder).count() >= 6 and made.raw.put == {"estabelecimentos"}
 
 
+def test_shard_bytes_puts_two_tables_down_and_builds_nothing(spark, tables):
+    made = fresh(spark, tables)
+    assert flows.shard_bytes(spark, tables).count() == 2
+    assert made.raw.put == {"empresas", "simples"} and made.raw.taken == {} and made.paths == {}
+
+
 def test_compressed_shards_equal_plain_ones(spark, tmp_path):
     rng = random.Random(9)
     signs = ["a", "é", ";", '""', "\n", "\r\n", " ", "0"]
