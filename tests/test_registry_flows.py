@@ -50,6 +50,17 @@ def test_layout_partners_by_name_makes_only_partners(spark, tables):
     assert set(made.paths) == {"socios", "socios_nome"} and made.raw.put == {"socios", "qualificacoes"}
 
 
+def test_ingested_partners_take_one_pass_without_a_shuffle_of_lines(spark, tables):
+    made = fresh(spark, tables)
+    assert flows.ingested_partners(spark, tables).count() > 0 and made.paths == {} and made.raw.put == {"socios"}
+    shards = [r.path for r in dump.shard_catalogue(spark, made.raw.folder).collect()]
+    assert shards and all(p.endswith(".CSV.gz") for p in shards)
+    plan = records.read_records(spark, shards)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and plan.count("MapInArrow") == 1
+    plain = records._split_records(records._lines(spark, shards, "ISO-8859-1"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plain
+
+
 def test_ingested_establishments_of_large_inputs_are_many_shards(spark, tables, monkeypatch):
     monkeypatch.setattr(flows, "SHARED_OUT", 0)
     monkeypatch.setattr(flows, "SHARD_ROWS", 50)
