@@ -44,6 +44,13 @@ def test_layout_by_state_makes_no_partners_and_leaves_no_shuffle_files(spark, ta
     assert set(data_files(spark)) <= seen
 
 
+def test_layout_partners_by_root_makes_only_partners(spark, tables):
+    made = fresh(spark, tables)
+    assert flows.layout_partners_by_root(spark, tables).count() > 0
+    assert set(made.paths) == {"socios"} and made.raw.put == {"socios", "qualificacoes"}
+    assert made.read("socios").where("nome_key <> lower(nome_socio)").count() >= 0 and "nome_key" in made.read("socios").columns
+
+
 def test_layout_partners_by_name_makes_only_partners(spark, tables):
     made = fresh(spark, tables)
     flows.layout_partners_by_name(spark, tables).collect()
