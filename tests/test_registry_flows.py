@@ -83,6 +83,12 @@ def test_shard_bytes_puts_two_tables_down_and_builds_nothing(spark, tables):
     assert made.raw.put == {"empresas", "simples"} and made.raw.taken == {} and made.paths == {}
 
 
+def test_ingested_codes_make_only_code_tables(spark, tables):
+    made = fresh(spark, tables)
+    assert flows.ingested_codes(spark, tables).where("codigo = '9999'").count() == 1
+    assert set(made.paths) == made.raw.put == set(dump.CODE_TABLES)
+
+
 def test_compressed_shards_equal_plain_ones(spark, tmp_path):
     rng = random.Random(9)
     signs = ["a", "é", ";", '""', "\n", "\r\n", " ", "0"]
