@@ -44,6 +44,12 @@ def test_layout_by_state_makes_no_partners_and_leaves_no_shuffle_files(spark, ta
     assert set(data_files(spark)) <= seen
 
 
+def test_layout_by_key_makes_only_what_it_comes_from(spark, tables):
+    made = fresh(spark, tables)
+    flows.layout_by_key(spark, tables).collect()
+    assert set(made.paths) == {"estabelecimentos", "est_cnpj"} and "socios" not in made.raw.put
+
+
 def test_layout_partners_by_root_makes_only_partners(spark, tables):
     made = fresh(spark, tables)
     assert flows.layout_partners_by_root(spark, tables).count() > 0
