@@ -95,6 +95,13 @@ def test_ingested_codes_make_only_code_tables(spark, tables):
     assert set(made.paths) == made.raw.put == set(dump.CODE_TABLES)
 
 
+def test_snapshot_makes_two_layouts(spark, tables):
+    made = fresh(spark, tables)
+    row = flows.snapshot_from_writes(spark, tables).first()
+    assert (row.establishments, row.links) == (300, made.read("socios").count())
+    assert set(made.paths) == {"estabelecimentos", "socios", "stats"}
+
+
 def test_compressed_shards_equal_plain_ones(spark, tmp_path):
     rng = random.Random(9)
     signs = ["a", "é", ";", '""', "\n", "\r\n", " ", "0"]
