@@ -102,6 +102,12 @@ def test_snapshot_makes_two_layouts(spark, tables):
     assert set(made.paths) == {"estabelecimentos", "socios", "stats"}
 
 
+def test_published_views_are_of_the_whole_build(spark, tables):
+    made = fresh(spark, tables)
+    assert {r["view"]: r.n for r in flows.published_views(spark, tables).collect()}["est_cnpj"] == 300
+    assert set(made.paths) == set(made.layouts) and set(build.current(spark, f"{made.raw.folder}-built")) == set(made.layouts)
+
+
 def test_compressed_shards_equal_plain_ones(spark, tmp_path):
     rng = random.Random(9)
     signs = ["a", "é", ";", '""', "\n", "\r\n", " ", "0"]
